@@ -42,6 +42,9 @@ def prefix_items(items: DataFrame, threshold: float, absolute: bool = False) ->
     is at least ``threshold`` times the entity's total (or ``threshold`` itself when ``absolute``). Jaccard >= t
     implies overlap >= t * total for both sides, so a qualifying pair always meets on a kept row.
 
+    Relative thresholds also return ``rest`` (that remainder) and ``total``, with which :func:`sharing_pairs` drops
+    a pair on the row where it meets unless the remainders still allow the required overlap.
+
     Entities with very many items keep all of them, which is a superset and therefore still exact; it avoids
     sorting one oversized entity in one task.
     """
@@ -55,27 +58,38 @@ def prefix_items(items: DataFrame, threshold: float, absolute: bool = False) ->
     floor = F.lit(float(threshold)) if absolute else F.col("_total") * float(threshold)
     narrow = (
         sized.filter(F.col("_width") <= WIDE_ENTITY)
-        .withColumn("_rest", F.sum("weight").over(w))
-        .filter(F.col("_rest") >= floor - F.lit(1e-9))
-        .select("entity", "item")
+        .withColumn("rest", F.sum("weight").over(w))
+        .filter(F.col("rest") >= floor - F.lit(1e-9))
     )
-    wide = sized.filter(F.col("_width") > WIDE_ENTITY).select("entity", "item")
-    return narrow.unionByName(wide)
+    wide = sized.filter(F.col("_width") > WIDE_ENTITY).withColumn("rest", F.col("_total"))
+    kept = narrow.unionByName(wide)
+    if absolute:
+        return kept.select("entity", "item")
+    return kept.select("entity", "item", "rest", F.col("_total").alias("total"))
+
 
+def sharing_pairs(
+    items: DataFrame, hub_limit: int = HUB_LIMIT, min_similarity: float | None = None
+) -> SharedPairs:
+    """Distinct pairs a < b that have an item in common; ``items(entity, item)`` without duplicates.
 
-def sharing_pairs(items: DataFrame, hub_limit: int = HUB_LIMIT) -> SharedPairs:
-    """Distinct pairs a < b that have an item in common; ``items(entity, item)`` without duplicates."""
+    With ``min_similarity`` the items carry ``rest`` and ``total``. Jaccard >= t needs an overlap of at least
+    t / (1 + t) of both totals, and the overlap is at most the smaller remainder at the first shared item, so the
+    row of that item passes the test for every qualifying pair.
+    """
     size = items.groupBy("item").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    sized = items.select("entity", "item").join(size, "item")
+    sized = items.join(size, "item")
     near = sized.filter(F.col("_n") <= hub_limit)
-    pairs = (
-        near.select("item", F.col("entity").alias("a"))
-        .join(near.select("item", F.col("entity").alias("b")), "item")
-        .filter("a < b")
-        .select("a", "b")
-        .distinct()
+    extra = ["rest", "total"] if min_similarity is not None else []
+    left = near.select("item", F.col("entity").alias("a"), *[F.col(c).alias(f"a_{c}") for c in extra])
+    right = near.select("item", F.col("entity").alias("b"), *[F.col(c).alias(f"b_{c}") for c in extra])
+    met = left.join(right, "item").filter("a < b")
+    if min_similarity is not None:
+        needed = (F.col("a_total") + F.col("b_total")) * (min_similarity / (1.0 + min_similarity))
+        met = met.filter(F.least("a_rest", "b_rest") >= needed - F.lit(1e-9))
+    return SharedPairs(
+        met.select("a", "b").distinct(), sized.filter(F.col("_n") > hub_limit).select("item", "entity")
     )
-    return SharedPairs(pairs, sized.filter(F.col("_n") > hub_limit).select("item", "entity"))
 
 
 def shared_items(pairs: DataFrame, items: DataFrame, keep: list[str] | None = None) -> DataFrame:

@@ -60,7 +60,7 @@ def information_content(annotations: DataFrame, closure: DataFrame) -> DataFrame
     return (
         closed.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
         .crossJoin(F.broadcast(total))  # one row
-        .select("term", "n", (-F.log2(F.col("n") / F.col("_total"))).alias("ic"))
+        .select("term", "n", F.log2(F.col("_total") / F.col("n")).alias("ic"))
     )
 
 
@@ -103,7 +103,7 @@ def jaccard_of_pairs(pairs: DataFrame, items: DataFrame, name: str = "similarity
 
 def similar_pairs(items: DataFrame, min_similarity: float, hub_limit: int = HUB_LIMIT) -> SharedPairs:
     """All pairs a < b whose weighted Jaccard is at least ``min_similarity`` (> 0)."""
-    found = sharing_pairs(prefix_items(items, min_similarity), hub_limit)
+    found = sharing_pairs(prefix_items(items, min_similarity), hub_limit, min_similarity)
     scored = jaccard_of_pairs(found.pairs, items).filter(F.col("similarity") >= min_similarity)
     return SharedPairs(scored, found.stars)
 
@@ -255,10 +255,11 @@ def connection_candidates(
     least the link floor) or, because it is damped otherwise, an IC similarity of t / damping.
     """
     t = (min_score - 0.005) / 100.0
-    mechanism = sharing_pairs(prefix_items(of_kind(features, "mechanism"), t), hub_limit)
-    genes = sharing_pairs(prefix_items(of_kind(features, "gene").withColumn("weight", F.lit(1.0)), t), hub_limit)
+    near = lambda items, at: sharing_pairs(prefix_items(items, at), hub_limit, at)
+    mechanism = near(of_kind(features, "mechanism"), t)
+    genes = near(of_kind(features, "gene").withColumn("weight", F.lit(1.0)), t)
     rare = sharing_pairs(prefix_items(feature_rarity(features), LINK_FLOOR, absolute=True), hub_limit)
-    alike = sharing_pairs(prefix_items(terms, min(1.0, t / DAMPING)), hub_limit)
+    alike = near(terms, min(1.0, t / DAMPING))
     parts = [mechanism, genes, rare, alike]
     pairs, stars = parts[0]
     for p in parts[1:]:

@@ -162,9 +162,9 @@ def _rounded(found: SharedPairs):
     return with_hubs(SharedPairs(found.pairs.select("a", "b", F.round("similarity", 6).alias("similarity")), found.stars))
 
 
-@query("a10_weighted_jaccard", _jaccard_sql("mechanism", "support", 0.2))
+@query("a10_weighted_jaccard", _jaccard_sql("mechanism", "support", 0.203))
 def _a10(t):
-    return _rounded(S.weighted_jaccard(S.of_kind(core_features(t), "mechanism"), 0.2))
+    return _rounded(S.weighted_jaccard(S.of_kind(core_features(t), "mechanism"), 0.203))
 
 
 @query("a11_shared_feature_support", """
@@ -176,9 +176,9 @@ def _a11(t):
     return support.select("a", "b", F.round("support", 6).alias("support"))
 
 
-@query("a12_set_jaccard", _jaccard_sql("phenotype", "1.0::DOUBLE", 0.3))
+@query("a12_set_jaccard", _jaccard_sql("phenotype", "1.0::DOUBLE", 0.303))
 def _a12(t):
-    return _rounded(S.set_jaccard(S.of_kind(core_features(t), "phenotype"), 0.3))
+    return _rounded(S.set_jaccard(S.of_kind(core_features(t), "phenotype"), 0.303))
 
 
 @query("a13_pair_connection", PAIR_SQL + """
@@ -205,10 +205,11 @@ def flagship(t):
 
 
 @query("a15_annotate_connections", PAIR_SQL + """
-, top AS (SELECT a, b, string_agg(name, ', ' ORDER BY rank) AS labels FROM (
-  SELECT c.a, c.b, coalesce(p.name, x.term) AS name, row_number() OVER (PARTITION BY c.a,c.b ORDER BY round(i.ic,9) DESC, x.term) AS rank
-  FROM conn c JOIN closed x ON x.entity=c.a JOIN closed y ON y.entity=c.b AND y.term=x.term JOIN ic i ON i.term=x.term
-  LEFT JOIN phenotype p ON p.id=x.term WHERE round(c.score,2)>=20) WHERE rank<=3 GROUP BY a,b),
+, cx AS MATERIALIZED (SELECT c.a, c.b, x.term FROM conn c JOIN closed x ON x.entity=c.a WHERE round(c.score,2)>=20),
+top AS (SELECT a, b, string_agg(name, ', ' ORDER BY rank) AS labels FROM (
+  SELECT c.a, c.b, coalesce(p.name, c.term) AS name, row_number() OVER (PARTITION BY c.a,c.b ORDER BY round(i.ic,9) DESC, c.term) AS rank
+  FROM cx c JOIN closed y ON y.entity=c.b AND y.term=c.term JOIN ic i ON i.term=c.term
+  LEFT JOIN phenotype p ON p.id=c.term) WHERE rank<=3 GROUP BY a,b),
 direct AS (SELECT a, b, string_agg(coalesce(p.name,d), '; ' ORDER BY d) AS labels
   FROM (SELECT a, b, unnest(string_split(shared_p, ',')) AS d FROM conn WHERE shared_p IS NOT NULL AND round(score,2)>=20) q
   LEFT JOIN phenotype p ON p.id=d GROUP BY a,b)
@@ -242,13 +243,13 @@ def _a16(t):
 
 
 @query("a18_match_edges", PAIR_SQL + """
-SELECT 'DISEASE_MATCH:'||a||':'||b AS edge_id, a AS src, b AS dst, round(score,1) AS score,
+SELECT 'DISEASE_MATCH:'||a||':'||b AS edge_id, a AS src, b AS dst, round(score,2) AS score,
  CASE WHEN round(ev,3)>=0.85 THEN 'high' WHEN round(ev,3)>=0.6 THEN 'moderate' ELSE 'low' END AS confidence,
  coalesce(replace(shared_g,',','; '),'') AS shared_genes, coalesce(replace(shared_m,',','; '),'') AS shared_mechanisms
 FROM conn WHERE round(score,2)>=20""")
 def _a18(t):
     return S.match_edges(annotated(t), F.lit("2026-01-01").cast("date")).select(
-        "edge_id", "src", "dst", F.round("score", 1).alias("score"), "confidence", "shared_genes", "shared_mechanisms")
+        "edge_id", "src", "dst", "score", "confidence", "shared_genes", "shared_mechanisms")
 
 
 @query("a19_shortcut_edges", """

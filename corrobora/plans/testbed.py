@@ -342,7 +342,7 @@ closure AS (SELECT child AS term, child AS ancestor FROM ontology UNION SELECT p
   UNION SELECT a.child, b.parent FROM ontology a JOIN ontology b ON a.parent=b.child
   UNION SELECT a.child, c.parent FROM ontology a JOIN ontology b ON a.parent=b.child JOIN ontology c ON b.parent=c.child),
 closed AS (SELECT DISTINCT a.entity, coalesce(c.ancestor,a.term) AS term FROM annotation a LEFT JOIN closure c ON a.term=c.term),
-ic AS (SELECT term, count(*) AS n, -log2(count(*)/(SELECT count(DISTINCT entity) FROM annotation)) AS ic FROM closed GROUP BY term),
+ic AS (SELECT term, count(*) AS n, log2((SELECT count(DISTINCT entity) FROM annotation)/count(*)) AS ic FROM closed GROUP BY term),
 evidence AS (SELECT e.src, e.dst, e.rel, e.edge_id, greatest(0.0::DOUBLE, least(1.0::DOUBLE,
   CASE status WHEN 'observation' THEN 1.0::DOUBLE WHEN 'inference' THEN 0.8::DOUBLE WHEN 'hypothesis' THEN 0.5::DOUBLE ELSE 0::DOUBLE END
   * CASE source_tier WHEN 1 THEN 1.0::DOUBLE WHEN 2 THEN 0.9::DOUBLE WHEN 3 THEN 0.65::DOUBLE ELSE 0::DOUBLE END

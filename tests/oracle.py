@@ -21,7 +21,7 @@ DATA = "/root/testdata/sf{}"
 
 def connect(sf: str):
     con = duckdb.connect()
-    con.execute("SET TimeZone='UTC'")
+    con.execute("SET TimeZone='UTC'; SET memory_limit='8GB'")
     for path in glob.glob(f"{DATA.format(sf)}/*.parquet"):
         con.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
     return con
@@ -63,7 +63,7 @@ def main():
     wanted = sys.argv[2:]
     spark = (
         SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
-        .config("spark.ui.enabled", "false").config("spark.driver.memory", "12g")
+        .config("spark.ui.enabled", "false").config("spark.driver.memory", "12g").config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
