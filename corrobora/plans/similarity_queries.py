@@ -243,13 +243,13 @@ def _a16(t):
 
 
 @query("a18_match_edges", PAIR_SQL + """
-SELECT 'DISEASE_MATCH:'||a||':'||b AS edge_id, a AS src, b AS dst, round(score,2) AS score,
+SELECT 'DISEASE_MATCH:'||a||':'||b AS edge_id, a AS src, b AS dst, connection_type,
  CASE WHEN round(ev,3)>=0.85 THEN 'high' WHEN round(ev,3)>=0.6 THEN 'moderate' ELSE 'low' END AS confidence,
  coalesce(replace(shared_g,',','; '),'') AS shared_genes, coalesce(replace(shared_m,',','; '),'') AS shared_mechanisms
 FROM conn WHERE round(score,2)>=20""")
 def _a18(t):
     return S.match_edges(annotated(t), F.lit("2026-01-01").cast("date")).select(
-        "edge_id", "src", "dst", "score", "confidence", "shared_genes", "shared_mechanisms")
+        "edge_id", "src", "dst", "connection_type", "confidence", "shared_genes", "shared_mechanisms")
 
 
 @query("a19_shortcut_edges", """
