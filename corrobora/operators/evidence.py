@@ -105,7 +105,7 @@ def metadata_authors(docs: DataFrame) -> DataFrame:
     """(source_id, idx, name, quote): the author list given in the header of a document, first spelling of each."""
     header = F.regexp_extract("text", _HEADER, 1)
     line = F.regexp_extract(header, "(?m)^(Authors: .+)$", 1)
-    names = F.array_distinct(F.filter(F.transform(F.split(F.substring(F.col("_line"), 10, 1_000_000), ";"), F.trim), lambda n: n != ""))
+    names = F.array_distinct(F.filter(F.transform(F.split(F.substring(F.col("_line"), 10, 1_000_000), ";"), lambda n: F.trim(n)), lambda n: n != ""))
     return (
         docs.select("source_id", line.alias("_line")).filter("_line <> ''")
         .select("source_id", F.col("_line").alias("quote"), F.posexplode(names).alias("idx", "name"))
