@@ -211,6 +211,37 @@ class Testbed:
         return self.table("customer").selectExpr(
             "concat('G', c_custkey) AS src", "concat('GG', c_custkey div 3) AS dst")
 
+    @cached_property
+    def discusses(self) -> DataFrame:
+        return self.claim.select(F.col("pmid").alias("src"), F.col("subject").alias("dst")).distinct()
+
+    @cached_property
+    def org(self) -> DataFrame:
+        """Organisations with a focus (by customer group) and a scope (every fifth is specific to one disease)."""
+        return self.represented_by.select(F.col("dst").alias("id")).distinct().selectExpr(
+            "id", "'PatientOrg' AS type", "concat('org ', id) AS name", "false AS paper_scoped",
+            "CASE cast(substr(split(id, '-')[0], 2) AS bigint) % 4 WHEN 0 THEN 'Disease-specific' WHEN 1 THEN 'Epilepsy' "
+            "WHEN 2 THEN 'Rare diseases (general)' ELSE 'Children & disability' END AS focus",
+            "CASE WHEN cast(substr(split(id, '-')[0], 2) AS bigint) % 5 = 0 THEN 'specific' ELSE 'shared' END AS scope")
+
+    @cached_property
+    def serving(self) -> EvidenceGraph:
+        """The serving graph: core node types and all asset relations."""
+        cols = NODE_COLUMNS
+        nodes = self.nodes.select(*cols).unionByName(self.gene_group.select(*cols))
+        plain = lambda df, t: df.select("id", F.lit(t).alias("type"), F.col("id").alias("name"), F.lit(False).alias("paper_scoped")).distinct()
+        nodes = nodes.unionByName(plain(self.studies.select(F.col("src").alias("id")), "Study"))
+        nodes = nodes.unionByName(plain(self.tests.select(F.col("dst").alias("id")), "Intervention"))
+        nodes = nodes.unionByName(plain(self.grant, "Grant")).unionByName(plain(self.grant.select(F.col("researcher").alias("id")), "Researcher"))
+        nodes = nodes.unionByName(self.org, allowMissingColumns=True)
+        rel = lambda df, name, s="src", d="dst": df.select(
+            F.concat_ws(":", F.lit(name), s, d).alias("edge_id"), F.col(s).alias("src"), F.col(d).alias("dst"), F.lit(name).alias("rel"))
+        edges = self.edges.select("edge_id", "src", "dst", "rel")
+        for df in (rel(self.studies, "STUDIES"), rel(self.tests, "TESTS"), rel(self.member_of, "MEMBER_OF"), rel(self.represented_by, "REPRESENTED_BY"),
+                   rel(self.discusses, "DISCUSSES"), rel(self.grant, "RESEARCHES", "id", "gene"), rel(self.grant, "LEADS", "researcher", "id")):
+            edges = edges.unionByName(df)
+        return EvidenceGraph(nodes, edges.withColumn("reason", F.lit(None).cast("string")))
+
     # ---- derived
 
     @cached_property
@@ -323,6 +354,10 @@ grants AS (SELECT 'GR'||event_id AS id, 'G'||user_id AS gene, user_id, event_id,
   'org '||(event_id%8) AS organization,
   'R'||(user_id//2)||'-'||(CAST(json_extract_string(props,'$.k') AS INTEGER)%5) AS researcher FROM events WHERE event_type='purchase'),
 represented_by AS (SELECT DISTINCT 'D'||o_orderkey AS src, 'O'||(o_custkey//2)||'-'||o_orderpriority[1] AS dst FROM orders),
+discusses AS (SELECT DISTINCT pmid AS src, subject AS dst FROM claim),
+org AS (SELECT DISTINCT dst AS id, 'org '||dst AS name, (['Disease-specific','Epilepsy','Rare diseases (general)','Children & disability'])[CAST(string_split(dst,'-')[1][2:] AS BIGINT)%4+1] AS focus,
+  CASE WHEN CAST(string_split(dst,'-')[1][2:] AS BIGINT)%5=0 THEN 'specific' ELSE 'shared' END AS scope FROM represented_by),
+core AS (SELECT id FROM disease WHERE NOT paper_scoped),
 member_of AS (SELECT 'G'||c_custkey AS src, 'GG'||(c_custkey//3) AS dst FROM customer),
 ontology AS (SELECT 'P'||p_partkey AS child, 'T1:'||(p_partkey//4) AS parent FROM part
   UNION SELECT 'P'||p_partkey, 'T1:'||((p_partkey+2)//4) FROM part
