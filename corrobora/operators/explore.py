@@ -224,10 +224,12 @@ def search(nodes: DataFrame, q: str, limit: int = 80) -> DataFrame:
     needle = q.strip().lower()
     if len(needle) < 2:
         return nodes.select("type", "id", F.lit("").alias("field"), F.lit("").alias("matched"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
-    entries = [
-        F.transform(F.col(c) if dict(nodes.dtypes)[c].startswith("array") else F.array(c), lambda v, f=c, w=w: F.struct(F.lit(f).alias("field"), F.lit(w).alias("weight"), v.alias("value")))
-        for c, w in SEARCH_WEIGHTS.items() if c in nodes.columns
-    ]
+
+    def entry(field: str, weight: float) -> Column:
+        values = F.col(field) if dict(nodes.dtypes)[field].startswith("array") else F.array(field)
+        return F.transform(values, lambda v: F.struct(F.lit(field).alias("field"), F.lit(weight).alias("weight"), v.alias("value")))
+
+    entries = [entry(c, w) for c, w in SEARCH_WEIGHTS.items() if c in nodes.columns]
     rows = nodes.select("type", "id", F.explode(F.concat(*[F.coalesce(e, F.expr("array()")) for e in entries])).alias("e")).select("type", "id", "e.*").filter("value is not null")
     v, lit = F.lower("value"), F.lit(needle)
     words = F.transform(F.split(v, r"[^\p{L}\p{N}]+"), lambda w: 1.0 - F.levenshtein(w, lit) / F.greatest(F.length(w), F.lit(len(needle))))
@@ -379,7 +381,7 @@ def prevalence(has_phenotype: DataFrame, core: DataFrame) -> DataFrame:
     """(phenotype, seen_in, of): seen in k of n core diseases."""
     total = core.agg(F.count(F.lit(1)).alias("of"))
     seen = has_phenotype.join(core.select(F.col("id").alias("src")), "src", "left_semi").groupBy(F.col("dst").alias("phenotype")).agg(F.count_distinct("src").alias("seen_in"))
-    return seen.crossJoin(F.broadcast(total))  # one row
+    return seen.withColumn("of", total.scalar())
 
 
 def match_card(match_pairs: DataFrame, has_phenotype: DataFrame, informative: DataFrame) -> DataFrame:

@@ -163,7 +163,7 @@ def org_scope(represented: DataFrame, orgs: DataFrame, covered: DataFrame, direc
     )
     umbrella = (F.col("directory") == directory) & (F.col("_total") > 2) & (F.col("_n_covered") == F.col("_total"))
     return (
-        per_org.join(orgs, "id").crossJoin(F.broadcast(total))  # one row
+        per_org.join(orgs, "id").withColumn("_total", total.scalar())
         .select("id", "n_diseases", org_focus("name").alias("focus"),
                 F.when(umbrella, "umbrella").when(F.col("n_diseases") > 1, "shared").otherwise("specific").alias("scope"))
     )

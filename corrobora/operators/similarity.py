@@ -59,8 +59,7 @@ def information_content(annotations: DataFrame, closure: DataFrame) -> DataFrame
     total = annotations.agg(F.count_distinct("entity").alias("_total"))
     return (
         closed.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-        .crossJoin(F.broadcast(total))  # one row
-        .select("term", "n", F.log2(F.col("_total") / F.col("n")).alias("ic"))
+        .select("term", "n", F.log2(total.scalar() / F.col("n")).alias("ic"))
     )
 
 
@@ -72,8 +71,7 @@ def weighted_terms(closed: DataFrame, ic: DataFrame, n_entities: DataFrame | Non
     """
     joined = closed.join(ic.select("term", "ic"), "term", "left")
     if n_entities is not None:
-        joined = joined.crossJoin(F.broadcast(n_entities.select(F.col("n").alias("_n"))))
-        weight = F.coalesce("ic", F.log2(F.greatest(F.col("_n"), F.lit(1))))
+        weight = F.coalesce("ic", F.log2(F.greatest(n_entities.select("n").scalar(), F.lit(1))))
     else:
         weight = F.coalesce("ic", F.lit(0.0))
     return (

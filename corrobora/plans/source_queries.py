@@ -143,11 +143,13 @@ def _s08(t):
 
 def _article_xml(t):
     esc = lambda c: F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-    return t.table("benchmark").select("item_id", F.concat(
+    records = t.table("benchmark").select("item_id", F.concat(
         F.lit("<PubmedArticle><MedlineCitation><PMID Version='1'>"), F.col("item_id").cast("string"), F.lit("</PMID><Article><Journal><Title>J</Title><JournalIssue><PubDate><Year>2020</Year></PubDate></JournalIssue></Journal><ArticleTitle>"),
         F.lit("Study "), F.col("item_id").cast("string"), F.lit("</ArticleTitle><Abstract>"),
         F.when(F.col("item_id") % 4 == 0, F.lit("")).otherwise(F.concat(F.lit("<AbstractText Label='Methods'>"), esc(F.regexp_replace("text", r"\s+", " ")), F.lit("</AbstractText><AbstractText Label='Results'>done</AbstractText>"))),
         F.lit("</Abstract><AuthorList><Author><LastName>Li</LastName><ForeName>Bo</ForeName><Initials>B</Initials></Author><Author><CollectiveName>Group X</CollectiveName></Author></AuthorList></Article></MedlineCitation></PubmedArticle>")).alias("xml"))
+    sets = records.groupBy(F.expr("item_id div 20").alias("s")).agg(F.array_join(F.collect_list("xml"), "\n").alias("x"))
+    return sets.select(F.concat(F.lit("<PubmedArticleSet>\n"), "x", F.lit("\n</PubmedArticleSet>")).alias("value"))
 
 
 @query("s09_read_pubmed_xml", r"""
@@ -156,7 +158,7 @@ CASE WHEN item_id%4=0 THEN '' ELSE md5('METHODS: '||trim(regexp_replace(text,'\s
 def _s09(t):
     """Writes the records as XML files and reads them back with the XML source."""
     path = _scratch(t, "articles")
-    _article_xml(t).select(F.col("xml").alias("value")).write.text(path)
+    _article_xml(t).write.option("maxRecordsPerFile", 1).text(path)
     a = feeds.flatten_articles(feeds.read_pubmed(t.spark, path))
     first = F.get(F.col("abstract_lines"), F.lit(0))
     return a.select("pmid", "title", J("authors", ";").alias("authors"), "journal", "year", F.coalesce(F.md5(first), F.lit("")).alias("h"))
@@ -167,7 +169,7 @@ SELECT 'PMID:'||item_id AS source_id, md5('Title: Study '||item_id||chr(10)||'Au
 UNION ALL SELECT 'missing '||(item_id+1000000), NULL FROM benchmark""")
 def _s10(t):
     path = _scratch(t, "articles")
-    _article_xml(t).select(F.col("xml").alias("value")).write.text(path)
+    _article_xml(t).write.option("maxRecordsPerFile", 1).text(path)
     articles = feeds.flatten_articles(feeds.read_pubmed(t.spark, path), initials=False)
     requested = t.table("benchmark").selectExpr("explode(array(cast(item_id AS string), cast(item_id + 1000000 AS string))) AS pmid")
     lost = feeds.missing_articles(requested, articles).select(F.concat(F.lit("missing "), "pmid").alias("source_id"), F.lit(None).cast("string").alias("h"))
@@ -276,16 +278,16 @@ def _s18(t):
 @query("s19_sitemap_to_slug_map", """
 SELECT unnest(['type '||s_suppkey||' disorder','type-'||s_suppkey||'-disorder']) AS key, 'https://reports.example.org/rare-diseases/type-'||s_suppkey||'-disorder/' AS url FROM supplier""")
 def _s19(t):
-    maps = t.table("supplier").groupBy("s_nationkey").agg(F.array_join(F.collect_list(F.expr("concat('<loc>https://reports.example.org/rare-diseases/type-', s_suppkey, '-disorder</loc><loc>https://other.org/x</loc>')")), "").alias("html"))
-    return pages.sitemap_to_slug_map(maps, "https://reports.example.org/rare-diseases", "s_nationkey").select("key", "url")
+    maps = t.table("supplier").groupBy(F.expr("s_suppkey div 50").alias("page_id")).agg(F.array_join(F.collect_list(F.expr("concat('<loc>https://reports.example.org/rare-diseases/type-', s_suppkey, '-disorder</loc><loc>https://other.org/x</loc>')")), "").alias("html"))
+    return pages.sitemap_to_slug_map(maps, "https://reports.example.org/rare-diseases").select("key", "url")
 
 
 @query("s20_extract_directory_orgs", """
-SELECT s_nationkey AS page_id, s_suppkey::VARCHAR AS id, 'Verein für '||s_suppkey AS name, 'Côte-D''Or' AS country, 'Saint-Ouen' AS city FROM supplier""")
+SELECT s_suppkey//50 AS page_id, s_suppkey::VARCHAR AS id, 'Verein für '||s_suppkey AS name, 'Côte-D''Or' AS country, 'Saint-Ouen' AS city FROM supplier""")
 def _s20(t):
     card = ("concat('<div class=\"fw-bold\">CÔTE-D''OR</div><div>Region</div><div>SAINT-OUEN</div><a class=\"x\" href=\"/en/patient-organisations/patient/', s_suppkey, '?a=1\"> Verein f&uuml;r ', s_suppkey, ' </a>"
             "<div class=\"fw-bold\">Second</div><a href=\"/en/patient-organisations/patient/', s_suppkey, '\">copy</a>')")
-    html = t.table("supplier").groupBy(F.col("s_nationkey").alias("page_id")).agg(F.array_join(F.collect_list(F.expr(card)), "").alias("html"))
+    html = t.table("supplier").groupBy(F.expr("s_suppkey div 50").alias("page_id")).agg(F.array_join(F.collect_list(F.expr(card)), "").alias("html"))
     return pages.extract_directory_orgs(html).select("page_id", "id", "name", "country", "city")
 
 

@@ -62,7 +62,7 @@ def write_tables(tables: dict[str, DataFrame], path: str, fmt: str = "parquet",
 def export_meta(graph: EvidenceGraph, generated: str, includes_pending: bool) -> DataFrame:
     nodes = graph.nodes.agg(F.count(F.lit(1)).alias("nodes"))
     edges = graph.edges.agg(F.count(F.lit(1)).alias("edges"))
-    return nodes.crossJoin(edges).withColumn("generated", F.lit(generated)).withColumn("includes_pending_papers", F.lit(includes_pending))  # one row each
+    return nodes.withColumn("edges", edges.scalar()).withColumn("generated", F.lit(generated)).withColumn("includes_pending_papers", F.lit(includes_pending))
 
 
 def write_export(graph: EvidenceGraph, path: str, generated: str, includes_pending: bool = False, mode: str = "overwrite") -> None:
