@@ -192,7 +192,9 @@ def validate_candidates(claims: DataFrame, entities: DataFrame, chunks: DataFram
             F.when((F.trim("mention") == "") | ~F.contains("quote", "mention"), F.lit("entity mention missing from evidence"))))
         .select(*CHUNK, "local_id", "kind", "_p")
     )
-    out = claims.join(chunks, CHUNK)
+    # the text is dropped before the next joins, so that it is shuffled once per chunk and not once per claim
+    where = span("chunk", "quote", F.col("chunk_start"))
+    out = claims.join(chunks, CHUNK).withColumn("_claim_p", span_problem("chunk", "quote")).withColumn("start", where["start"]).withColumn("end", where["end"]).drop("chunk")
     for end in ("subject", "object"):
         side = checked_entities.select(*CHUNK, F.col("local_id").alias(end), F.col("kind").alias(f"{end}_kind"), F.col("_p").alias(f"_{end}_p"))
         out = out.join(side, [*CHUNK, end], "left")
@@ -201,13 +203,10 @@ def validate_candidates(claims: DataFrame, entities: DataFrame, chunks: DataFram
     target = F.when(F.col("object") == "PAPER", F.lit("Paper")).otherwise(F.col("object_kind"))
     wrong = F.col("relation").isin(*CLAIM_ENDPOINTS) & ~endpoint_allowed(F.col("relation"), F.col("subject_kind"), target, CLAIM_ENDPOINTS)
     reason = F.coalesce(
-        span_problem("chunk", "quote"), of_end("subject"), of_end("object"),
-        F.when(wrong, F.lit("invalid relation endpoint types")))
+        "_claim_p", of_end("subject"), of_end("object"), F.when(wrong, F.lit("invalid relation endpoint types")))
     out = out.withColumn("reason", reason)
-    where = span("chunk", "quote", F.col("chunk_start"))
-    valid = out.filter("reason is null").withColumn("start", where["start"]).withColumn("end", where["end"])
-    internal = ["chunk", "reason", "_subject_p", "_object_p"]
-    return Checked(valid.drop(*internal), out.filter("reason is not null").select(*CHUNK, "local_id", "reason"))
+    internal = ["reason", "_claim_p", "_subject_p", "_object_p"]
+    return Checked(out.filter("reason is null").drop(*internal), out.filter("reason is not null").select(*CHUNK, "local_id", "reason"))
 
 
 def verdict_problems(candidates: DataFrame, verdicts: DataFrame) -> DataFrame:

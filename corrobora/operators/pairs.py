@@ -21,6 +21,7 @@ from pyspark.sql.window import Window
 
 HUB_LIMIT = 5_000
 WIDE_ENTITY = 20_000
+EPSILON = 1e-9
 
 
 class SharedPairs(NamedTuple):
@@ -35,61 +36,73 @@ def with_hubs(found: SharedPairs) -> DataFrame:
 
 
 def prefix_items(items: DataFrame, threshold: float, absolute: bool = False) -> DataFrame:
-    """Rows (entity, item) that can be the rarest shared item of a pair reaching ``threshold``.
+    """Rows (entity, item, weight, rest, total, tail) that can be the rarest shared item of a pair at ``threshold``.
 
-    ``items(entity, item, weight)``: the overlap of a pair is at most the weight an entity has left from the
-    first shared item on. With items sorted rarest first in one global order, a row is kept while that remainder
-    is at least ``threshold`` times the entity's total (or ``threshold`` itself when ``absolute``). Jaccard >= t
-    implies overlap >= t * total for both sides, so a qualifying pair always meets on a kept row.
+    ``items(entity, item, weight)``: the overlap of a pair is at most the weight an entity has left from the first
+    shared item on (``rest``). With items sorted rarest first in one global order, a row is kept while that remainder is
+    at least ``threshold`` times the entity's total (or ``threshold`` itself when ``absolute``). Jaccard >= t implies
+    overlap >= t * total for both sides, so a qualifying pair always meets on a kept row. ``tail`` is the weight of the
+    rows that were not kept.
 
-    Relative thresholds also return ``rest`` (that remainder) and ``total``, with which :func:`sharing_pairs` drops
-    a pair on the row where it meets unless the remainders still allow the required overlap.
-
-    Entities with very many items keep all of them, which is a superset and therefore still exact; it avoids
-    sorting one oversized entity in one task.
+    Entities with very many items keep all of them, which is a superset and therefore still exact; it avoids sorting
+    one oversized entity in one task.
     """
     freq = items.groupBy("item").agg(F.count(F.lit(1)).alias("_freq"))
-    width = items.groupBy("entity").agg(F.count(F.lit(1)).alias("_width"), F.sum("weight").alias("_total"))
-    sized = items.join(freq, "item").join(width, "entity")
+    width = items.groupBy("entity").agg(F.count(F.lit(1)).alias("_width"), F.sum("weight").alias("total"))
+    sized = items.select("entity", "item", "weight").join(freq, "item").join(width, "entity")
     # commonest first: the running sum is the weight from this item to the end of the rarest-first order
-    w = Window.partitionBy("entity").orderBy(F.desc("_freq"), F.desc("item")).rowsBetween(
+    order = Window.partitionBy("entity").orderBy(F.desc("_freq"), F.desc("item")).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    floor = F.lit(float(threshold)) if absolute else F.col("_total") * float(threshold)
+    floor = F.lit(float(threshold)) if absolute else F.col("total") * float(threshold)
     narrow = (
         sized.filter(F.col("_width") <= WIDE_ENTITY)
-        .withColumn("rest", F.sum("weight").over(w))
-        .filter(F.col("rest") >= floor - F.lit(1e-9))
+        .withColumn("rest", F.sum("weight").over(order))
+        .withColumn("_kept", F.col("rest") >= floor - F.lit(EPSILON))
+        # the largest remainder that was not kept is what lies beyond the prefix
+        .withColumn("tail", F.coalesce(F.max(F.when(~F.col("_kept"), F.col("rest"))).over(Window.partitionBy("entity")), F.lit(0.0)))
+        .filter("_kept")
     )
-    wide = sized.filter(F.col("_width") > WIDE_ENTITY).withColumn("rest", F.col("_total"))
-    kept = narrow.unionByName(wide)
-    if absolute:
-        return kept.select("entity", "item")
-    return kept.select("entity", "item", "rest", F.col("_total").alias("total"))
+    wide = sized.filter(F.col("_width") > WIDE_ENTITY).withColumn("rest", F.col("total")).withColumn("tail", F.lit(0.0))
+    cols = ["entity", "item", "weight", "rest", "total", "tail"]
+    return narrow.select(*cols).unionByName(wide.select(*cols))
 
 
 def sharing_pairs(
-    items: DataFrame, hub_limit: int = HUB_LIMIT, min_similarity: float | None = None
+    items: DataFrame, hub_limit: int = HUB_LIMIT, min_similarity: float | None = None, min_overlap: float | None = None
 ) -> SharedPairs:
     """Distinct pairs a < b that have an item in common; ``items(entity, item)`` without duplicates.
 
-    With ``min_similarity`` the items carry ``rest`` and ``total``. Jaccard >= t needs an overlap of at least
-    t / (1 + t) of both totals, and the overlap is at most the smaller remainder at the first shared item, so the
-    row of that item passes the test for every qualifying pair.
+    With a bound the items come from :func:`prefix_items` and a pair is kept only if it can still reach it. The needed
+    overlap is ``min_overlap``, or t / (1 + t) of both totals for a Jaccard of t. A pair's overlap is at most (1) the
+    smaller remainder at its first shared item and (2) what it shares inside both prefixes plus the larger tail, because
+    from the first item outside one prefix on, all shared items lie outside that same prefix. Both bounds are widened by
+    the hub weight of the pair, since hub items are not among the rows it meets on.
     """
-    size = items.groupBy("item").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    sized = items.join(size, "item")
-    near = sized.filter(F.col("_n") <= hub_limit)
-    extra = ["rest", "total"] if min_similarity is not None else []
-    left = near.select("item", F.col("entity").alias("a"), *[F.col(c).alias(f"a_{c}") for c in extra])
-    right = near.select("item", F.col("entity").alias("b"), *[F.col(c).alias(f"b_{c}") for c in extra])
-    met = left.join(right, "item").filter("a < b")
+    hubs = items.groupBy("item").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hub_limit).select("item")
+    near = items.join(hubs, "item", "left_anti")
+    stars = items.join(hubs, "item", "left_semi").select("item", "entity")
+    bounded = min_similarity is not None or min_overlap is not None
+    extra = ["weight", "rest", "total", "tail", "hub"] if bounded else []
+    if bounded:
+        in_hubs = items.join(hubs, "item", "left_semi").groupBy("entity").agg(F.sum("weight").alias("hub"))
+        near = near.join(in_hubs, "entity", "left").withColumn("hub", F.coalesce("hub", F.lit(0.0)))
+    side = lambda e: near.select("item", F.col("entity").alias(e), *[F.col(c).alias(f"{e}_{c}") for c in extra])
+    met = side("a").join(side("b"), "item").filter("a < b")
+    if not bounded:
+        return SharedPairs(met.select("a", "b").distinct(), stars)
     if min_similarity is not None:
         needed = (F.col("a_total") + F.col("b_total")) * (min_similarity / (1.0 + min_similarity))
-        met = met.filter(F.least("a_rest", "b_rest") >= needed - F.lit(1e-9))
-    return SharedPairs(
-        met.select("a", "b").distinct(), sized.filter(F.col("_n") > hub_limit).select("item", "entity")
+    else:
+        needed = F.lit(float(min_overlap))
+    reach = met.select(
+        "a", "b", F.least("a_weight", "b_weight").alias("_w"),
+        (F.least("a_rest", "b_rest") + F.least("a_hub", "b_hub") - needed).alias("_first"),
+        (needed - F.greatest("a_tail", "b_tail") - F.least("a_hub", "b_hub")).alias("_inside"),
     )
+    possible = reach.groupBy("a", "b").agg(F.sum("_w").alias("_w"), F.max("_first").alias("_first"), F.max("_inside").alias("_inside"))
+    pairs = possible.filter((F.col("_first") >= -EPSILON) & (F.col("_w") >= F.col("_inside") - EPSILON)).select("a", "b")
+    return SharedPairs(pairs, stars)
 
 
 def shared_items(pairs: DataFrame, items: DataFrame, keep: list[str] | None = None) -> DataFrame:

@@ -256,7 +256,7 @@ def connection_candidates(
     near = lambda items, at: sharing_pairs(prefix_items(items, at), hub_limit, at)
     mechanism = near(of_kind(features, "mechanism"), t)
     genes = near(of_kind(features, "gene").withColumn("weight", F.lit(1.0)), t)
-    rare = sharing_pairs(prefix_items(feature_rarity(features), LINK_FLOOR, absolute=True), hub_limit)
+    rare = sharing_pairs(prefix_items(feature_rarity(features), LINK_FLOOR, absolute=True), hub_limit, min_overlap=LINK_FLOOR)
     alike = near(terms, min(1.0, t / DAMPING))
     parts = [mechanism, genes, rare, alike]
     pairs, stars = parts[0]
@@ -425,7 +425,7 @@ def entity_projection(features: DataFrame, min_weight: float = LINK_FLOOR, hub_l
         .unionByName(feature_rarity(features).withColumn("kind", F.lit("phenotype")))
         .withColumn("item", F.concat_ws(":", "kind", "item"))
     )
-    found = sharing_pairs(prefix_items(items.select("entity", "item", "weight"), min_weight, absolute=True), hub_limit)
+    found = sharing_pairs(prefix_items(items.select("entity", "item", "weight"), min_weight, absolute=True), hub_limit, min_overlap=min_weight)
     weights = (
         shared_items(cut_lineage(found.pairs), items, ["weight", "kind"]).groupBy("a", "b")
         .agg(
