@@ -35,6 +35,13 @@ def with_hubs(found: SharedPairs) -> DataFrame:
     return found.pairs.withColumn("hub", F.lit(None).cast("string")).unionByName(stars, allowMissingColumns=True)
 
 
+def hub_edges(found: SharedPairs, edges: DataFrame) -> DataFrame:
+    """The edges made from the pair rows, and an edge disease -> hub item for every hub membership."""
+    stars = found.stars.select(
+        F.concat_ws(":", F.lit("HUB"), "entity", "item").alias("edge_id"), F.col("entity").alias("src"), F.col("item").alias("dst")).distinct()
+    return edges.unionByName(stars, allowMissingColumns=True)
+
+
 def prefix_items(items: DataFrame, threshold: float, absolute: bool = False) -> DataFrame:
     """Rows (entity, item, weight, rest, total, tail) that can be the rarest shared item of a pair at ``threshold``.
 

@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from corrobora.functions.text import (
     first_xref, nonempty, norm_mention, norm_name, norm_xref, specific_terms, unpadded, whole_word,
@@ -219,7 +220,7 @@ def resolve_mentions(mentions: DataFrame, vocabulary: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _lexical_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio; pairs whose cheap upper bound is below 0.4 are not aligned."""
 

@@ -9,7 +9,8 @@ from corrobora.operators import claims as C
 from corrobora.operators import evidence as T
 from corrobora.plans.registry import query
 
-TODAY = F.lit("2026-01-01").cast("date")
+def today():
+    return F.lit("2026-01-01").cast("date")
 NOHIDDEN = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f­​-‏‪-‮⁠-⁤﻿]"
 
 
@@ -361,7 +362,7 @@ def _imported(t):
     graph_nodes = t.disease.select("id", "type").unionByName(t.gene.select("id", "type")).unionByName(t.phenotype.select("id", "type"))
     graph_nodes = graph_nodes.unionByName(t.claim.filter("pos % 9 = 0").select("id", F.lit("Claim").alias("type")))
     approved = t.claim.filter("pos % 4 <> 0").select("id")
-    return C.import_claims(C.EvidenceGraph(graph_nodes, t.edges), _bundle_claims(t), _bundle_entities(t), _sources(t), approved, TODAY)
+    return C.import_claims(C.EvidenceGraph(graph_nodes, t.edges), _bundle_claims(t), _bundle_entities(t), _sources(t), approved, today())
 
 
 @query("t20_import_claims", IMPORT + """
@@ -429,7 +430,7 @@ CUR = """
 SELECT 'problem' AS what, disease AS a, reason AS b FROM cur WHERE reason IS NOT NULL
 UNION ALL SELECT 'INVOLVES', disease, m FROM cur WHERE reason IS NULL""")
 def _t23(t):
-    out = C.import_curated_mechanisms(_curated(t), _sources(t), t.disease, TODAY)
+    out = C.import_curated_mechanisms(_curated(t), _sources(t), t.disease, today())
     return out.problems.select(F.lit("problem").alias("what"), F.col("disease").alias("a"), F.col("reason").alias("b")).unionByName(
         out.edges.filter("rel = 'INVOLVES'").select(F.col("rel").alias("what"), F.col("src").alias("a"), F.col("dst").alias("b")))
 

@@ -10,12 +10,13 @@ from corrobora.operators import explore as Q
 from corrobora.operators import serve as E
 from corrobora.operators import similarity as S
 from corrobora.operators.cluster import cluster
-from corrobora.operators.pairs import SharedPairs, with_hubs
+from corrobora.operators.pairs import SharedPairs, hub_edges, with_hubs
 from corrobora.plans.registry import query
 from corrobora.plans.similarity_queries import NO_HUB, PAIR_SQL, annotated, closed_terms, connections, core_terms
 from corrobora.session import cut_lineage
 
-TODAY = F.lit("2026-01-01").cast("date")
+def today():
+    return F.lit("2026-01-01").cast("date")
 
 
 @query("a17_cluster")
@@ -38,13 +39,14 @@ def _e01(t):
 @query("e02_match_edges_rich", PAIR_SQL + """
 , direct AS (SELECT a, b, string_agg(d||'='||coalesce(p.name,d), '; ' ORDER BY d) AS labels FROM (SELECT a, b, unnest(string_split(shared_p, ',')) AS d FROM conn WHERE shared_p IS NOT NULL AND round(score,2)>=20) q
   LEFT JOIN phenotype p ON p.id=d GROUP BY a,b)
-SELECT 'DISEASE_MATCH:'||c.a||':'||c.b AS edge_id, CASE connection_type WHEN 'mechanistic_and_phenotypic' THEN 'Shared mechanism and symptoms' WHEN 'mechanistic' THEN 'Shared mechanism' WHEN 'genetic_overlap' THEN 'Shared gene'
+SELECT 'DISEASE_MATCH:'||c.a||':'||c.b AS edge_id, c.a AS src, c.b AS dst, CASE connection_type WHEN 'mechanistic_and_phenotypic' THEN 'Shared mechanism and symptoms' WHEN 'mechanistic' THEN 'Shared mechanism' WHEN 'genetic_overlap' THEN 'Shared gene'
  WHEN 'phenotypic_neighbor' THEN 'Similar symptoms' WHEN 'same_gene_different_mechanism' THEN 'Same gene, different mechanism' ELSE 'No supported route' END AS connection_label,
  coalesce(d.labels,'') AS shared_phenotypes FROM conn c LEFT JOIN direct d ON d.a=c.a AND d.b=c.b WHERE round(score,2)>=20""")
 def _e02(t):
-    rich = E.match_edges_rich(annotated(t), TODAY)
+    found = annotated(t)
+    rich = E.match_edges_rich(found.pairs, today())
     named = F.array_join(F.transform("shared_phenotypes", lambda p: F.concat_ws("=", p["id"], p["name"])), "; ")
-    return rich.select("edge_id", "connection_label", named.alias("shared_phenotypes"))
+    return hub_edges(found, rich.select("edge_id", "src", "dst", "connection_label", named.alias("shared_phenotypes")))
 
 
 def _bundle(t):
@@ -235,11 +237,12 @@ def _q06(t):
     return Q.mode_counts(Q.mode_pairs(lens_links(t, PAIR_LENSES)).pairs)
 
 
-def layers(t):
+def layers(t) -> SharedPairs:
     """All hub layers plus symptom pairs scored by IC similarity."""
-    alike = S.ic_jaccard(core_terms(t), 0.4).pairs.select("a", "b", (F.col("similarity") * 50).alias("score"))
-    pairs = Q.mode_pairs(lens_links(t, PAIR_LENSES)).pairs.select("a", "b", "lens", "strength", "n_items")
-    return cut_lineage(Q.pair_layers(pairs.unionByName(Q.symptom_pairs(alike)), 25.0))
+    similar, modes = S.ic_jaccard(core_terms(t), 0.4), Q.mode_pairs(lens_links(t, PAIR_LENSES))
+    alike = similar.pairs.select("a", "b", (F.col("similarity") * 50).alias("score"))
+    pairs = modes.pairs.select("a", "b", "lens", "strength", "n_items").unionByName(Q.symptom_pairs(alike))
+    return SharedPairs(cut_lineage(Q.pair_layers(pairs, 25.0)), modes.stars.unionByName(similar.stars))
 
 
 LAYERS = PAIRS + """
@@ -251,14 +254,16 @@ lay AS (SELECT * FROM mp UNION ALL SELECT * FROM sy WHERE strength*40>=25)
 """
 
 
-@query("q07_pair_layers", LAYERS + "SELECT a, b, lens, round(strength,6) AS strength, n_items FROM lay")
+@query("q07_pair_layers", LAYERS + f"SELECT a, b, lens, round(strength,6) AS strength, n_items, {NO_HUB} FROM lay")
 def _q07(t):
-    return layers(t).withColumn("strength", F.round("strength", 6))
+    found = layers(t)
+    return with_hubs(SharedPairs(found.pairs.withColumn("strength", F.round("strength", 6)), found.stars))
 
 
-@query("q08_combined_strength", LAYERS + "SELECT a, b, round(1-exp(sum(ln(1-0.85::DOUBLE*strength))),6) AS strength, count(*) AS n_layers FROM lay GROUP BY ALL")
+@query("q08_combined_strength", LAYERS + f"SELECT a, b, round(1-exp(sum(ln(1-0.85::DOUBLE*strength))),6) AS strength, count(*) AS n_layers, {NO_HUB} FROM lay GROUP BY ALL")
 def _q08(t):
-    return Q.combined_strength(layers(t)).withColumn("strength", F.round("strength", 6))
+    found = layers(t)
+    return with_hubs(SharedPairs(Q.combined_strength(found.pairs).withColumn("strength", F.round("strength", 6)), found.stars))
 
 
 @query("q09_describe_contribution", PAIRS + """
@@ -402,9 +407,11 @@ def _q21(t):
 @query("q22_bridge_list", ASSETS + """
 , k AS (SELECT a, b, concat_ws(',', CASE WHEN shared_gene_groups>0 THEN 'gene_groups' END, CASE WHEN shared_studies>0 THEN 'studies' END, CASE WHEN shared_interventions>0 THEN 'interventions' END,
  CASE WHEN shared_researchers>0 THEN 'researchers' END, CASE WHEN shared_orgs>0 THEN 'orgs' END) AS kinds FROM br)
-SELECT a AS id, b AS other, kinds FROM k UNION ALL SELECT b, a, kinds FROM k""")
+SELECT a AS id, b AS other, kinds, CAST(NULL AS VARCHAR) AS hub FROM k UNION ALL SELECT b, a, kinds, NULL FROM k""")
 def _q22(t):
-    return Q.bridge_list(E.shared_asset_bridges(assets(t)).pairs)
+    found = E.shared_asset_bridges(assets(t))
+    listed = Q.bridge_list(found.pairs).withColumn("hub", F.lit(None).cast("string"))
+    return listed.unionByName(found.stars.select(F.col("entity").alias("id"), F.col("item").alias("hub")), allowMissingColumns=True)
 
 
 @query("q23_gene_card", """
@@ -467,9 +474,11 @@ def _q28(t):
     return Q.match_card(pairs, t.has_phenotype, S.top_shared_terms(pairs, closed, ic)).select("a", "b", "phenotype", "informative")
 
 
-@query("q28_pair_card", LAYERS + "SELECT a, b, lens, round(strength,6) AS strength, round(1-exp(sum(ln(1-0.85::DOUBLE*strength)) OVER (PARTITION BY a, b)),6) AS combined FROM lay")
+@query("q28_pair_card", LAYERS + "SELECT a, b, lens, round(strength,6) AS strength, round(1-exp(sum(ln(1-0.85::DOUBLE*strength)) OVER (PARTITION BY a, b)),6) AS combined, " + NO_HUB + " FROM lay")
 def _q28b(t):
-    return Q.pair_card(layers(t)).select("a", "b", "lens", F.round("strength", 6).alias("strength"), F.round("combined", 6).alias("combined"))
+    found = layers(t)
+    card = Q.pair_card(found.pairs).select("a", "b", "lens", F.round("strength", 6).alias("strength"), F.round("combined", 6).alias("combined"))
+    return with_hubs(SharedPairs(card, found.stars))
 
 
 @query("q29_coverage_gap", SERVING + """

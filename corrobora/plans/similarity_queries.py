@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corrobora.operators import similarity as S
-from corrobora.operators.pairs import SharedPairs, sharing_pairs, with_hubs
+from corrobora.operators.pairs import SharedPairs, hub_edges, sharing_pairs, with_hubs
 from corrobora.plans.registry import query
 from corrobora.session import cut_lineage
 
@@ -139,13 +139,14 @@ def _a08(t):
     return S.feature_table(t.disease_graph, t.claim).withColumn("support", F.round("support", 6))
 
 
-@query("a09_shared_feature_weight", """
-SELECT x.entity AS a, y.entity AS b, round(sum(x.weight),6) AS weight, count(*) AS n_shared
+@query("a09_shared_feature_weight", f"""
+SELECT x.entity AS a, y.entity AS b, round(sum(x.weight),6) AS weight, count(*) AS n_shared, {NO_HUB}
 FROM rarity x JOIN rarity y ON x.item=y.item AND x.entity<y.entity GROUP BY ALL HAVING count(*)>=2""")
 def _a09(t):
     rarity = cut_lineage(S.feature_rarity(core_features(t)))
-    weights = S.shared_feature_weight(sharing_pairs(rarity).pairs, rarity)
-    return weights.filter("n_shared >= 2").select("a", "b", F.round("weight", 6).alias("weight"), "n_shared")
+    found = sharing_pairs(rarity)
+    weights = S.shared_feature_weight(found.pairs, rarity).filter("n_shared >= 2")
+    return with_hubs(SharedPairs(weights.select("a", "b", F.round("weight", 6).alias("weight"), "n_shared"), found.stars))
 
 
 def _jaccard_sql(kind: str, weight: str, t: float) -> str:
@@ -166,13 +167,14 @@ def _a10(t):
     return _rounded(S.weighted_jaccard(S.of_kind(core_features(t), "mechanism"), 0.203))
 
 
-@query("a11_shared_feature_support", """
-SELECT x.entity AS a, y.entity AS b, round(avg(sqrt(x.support*y.support)),6) AS support FROM features x
+@query("a11_shared_feature_support", f"""
+SELECT x.entity AS a, y.entity AS b, round(avg(sqrt(x.support*y.support)),6) AS support, {NO_HUB} FROM features x
 JOIN features y ON x.kind='gene' AND y.kind='gene' AND x.item=y.item AND x.entity<y.entity GROUP BY ALL""")
 def _a11(t):
     genes = S.of_kind(core_features(t), "gene")
-    support = S.shared_feature_support(sharing_pairs(genes).pairs, genes)
-    return support.select("a", "b", F.round("support", 6).alias("support"))
+    found = sharing_pairs(genes)
+    support = S.shared_feature_support(found.pairs, genes)
+    return with_hubs(SharedPairs(support.select("a", "b", F.round("support", 6).alias("support")), found.stars))
 
 
 @query("a12_set_jaccard", _jaccard_sql("phenotype", "1.0::DOUBLE", 0.303))
@@ -180,16 +182,17 @@ def _a12(t):
     return _rounded(S.set_jaccard(S.of_kind(core_features(t), "phenotype"), 0.303))
 
 
-@query("a13_pair_connection", PAIR_SQL + """
+@query("a13_pair_connection", PAIR_SQL + f"""
 SELECT a, b, round(mechanism,5) AS mechanism, round(genetic,5) AS genetic, round(pheno,5) AS phenotype, round(ev,5) AS evidence_quality,
- meaningful AS meaningful_phenotype_link, counter AS same_gene_different_mechanism, connection_type, round(score,4) AS score FROM conn WHERE gn>0""")
+ meaningful AS meaningful_phenotype_link, counter AS same_gene_different_mechanism, connection_type, round(score,4) AS score, {NO_HUB} FROM conn WHERE gn>0""")
 def _a13(t):
     features, terms = core_features(t), core_terms(t)
-    pairs = cut_lineage(sharing_pairs(S.of_kind(features, "gene")).pairs)
-    return S.pair_connection(pairs, features, terms).select(
+    found = sharing_pairs(S.of_kind(features, "gene"))
+    records = S.pair_connection(cut_lineage(found.pairs), features, terms).select(
         "a", "b", F.round("mechanism", 5).alias("mechanism"), F.round("genetic", 5).alias("genetic"),
         F.round("phenotype", 5).alias("phenotype"), F.round("evidence_quality", 5).alias("evidence_quality"),
         "meaningful_phenotype_link", "same_gene_different_mechanism", "connection_type", F.round("score", 4).alias("score"))
+    return with_hubs(SharedPairs(records, found.stars))
 
 
 @query("a14_all_connections", PAIR_SQL + f"""
@@ -203,7 +206,7 @@ def flagship(t):
     return with_hubs(SharedPairs(out, found.stars))
 
 
-@query("a15_annotate_connections", PAIR_SQL + """
+@query("a15_annotate_connections", PAIR_SQL + f"""
 , cx AS MATERIALIZED (SELECT c.a, c.b, x.term FROM conn c JOIN closed x ON x.entity=c.a WHERE round(c.score,2)>=20),
 top AS (SELECT a, b, string_agg(name, ', ' ORDER BY rank) AS labels FROM (
   SELECT c.a, c.b, coalesce(p.name, c.term) AS name, row_number() OVER (PARTITION BY c.a,c.b ORDER BY round(i.ic,9) DESC, c.term) AS rank
@@ -217,19 +220,22 @@ SELECT c.a, c.b, coalesce(d.labels,'') AS shared_phenotypes,
  concat_ws(' | ', CASE WHEN shared_m IS NOT NULL THEN 'Both diseases involve: '||replace(shared_m,',',', ')||'.' END,
   CASE WHEN shared_g IS NOT NULL THEN 'Shared gene(s): '||replace(shared_g,',',', ')||'.' END,
   CASE WHEN t.labels IS NOT NULL THEN 'Meaningful phenotype overlap: '||t.labels||'.' END,
-  CASE WHEN counter THEN 'The diseases share a gene but have different supported mechanisms, so this is not treated as a direct mechanistic match.' END) AS why_connected
+  CASE WHEN counter THEN 'The diseases share a gene but have different supported mechanisms, so this is not treated as a direct mechanistic match.' END) AS why_connected, {NO_HUB}
 FROM conn c LEFT JOIN top t ON t.a=c.a AND t.b=c.b LEFT JOIN direct d ON d.a=c.a AND d.b=c.b WHERE round(c.score,2)>=20""")
 def _a15(t):
-    return annotated(t).select(
+    found = annotated(t)
+    return with_hubs(SharedPairs(found.pairs.select(
         "a", "b", F.array_join("shared_phenotype_labels", "; ").alias("shared_phenotypes"), "confidence",
-        F.array_join("why_connected", " | ").alias("why_connected"))
+        F.array_join("why_connected", " | ").alias("why_connected")), found.stars))
 
 
-def annotated(t):
+def annotated(t) -> SharedPairs:
     closure, closed = closed_terms(t)
     ic = cut_lineage(S.information_content(t.annotation, closure).withColumn("ic", F.round("ic", 9)))
-    found = cut_lineage(connections(t).pairs)
-    return S.annotate_connections(found, t.phenotype.select("id", "name"), S.top_shared_terms(found, closed, ic))
+    found = connections(t)
+    pairs = cut_lineage(found.pairs)
+    labelled = S.annotate_connections(pairs, t.phenotype.select("id", "name"), S.top_shared_terms(pairs, closed, ic))
+    return SharedPairs(labelled, found.stars)
 
 
 @query("a16_entity_projection", f"""
@@ -247,8 +253,9 @@ SELECT 'DISEASE_MATCH:'||a||':'||b AS edge_id, a AS src, b AS dst, connection_ty
  coalesce(replace(shared_g,',','; '),'') AS shared_genes, coalesce(replace(shared_m,',','; '),'') AS shared_mechanisms
 FROM conn WHERE round(score,2)>=20""")
 def _a18(t):
-    return S.match_edges(annotated(t), F.lit("2026-01-01").cast("date")).select(
-        "edge_id", "src", "dst", "connection_type", "confidence", "shared_genes", "shared_mechanisms")
+    found = annotated(t)
+    return hub_edges(found, S.match_edges(found.pairs, F.lit("2026-01-01").cast("date")).select(
+        "edge_id", "src", "dst", "connection_type", "confidence", "shared_genes", "shared_mechanisms"))
 
 
 @query("a19_shortcut_edges", """

@@ -16,7 +16,8 @@ from corrobora.plans.registry import query
 from corrobora.session import checkpoint_dir, cut_lineage
 from corrobora.sources import feeds, ontology, pages, sinks
 
-TODAY = F.lit("2026-01-01").cast("date")
+def today():
+    return F.lit("2026-01-01").cast("date")
 J = lambda c, sep=",": F.array_join(c, sep)
 
 
@@ -367,7 +368,7 @@ SELECT 'D'||o_orderkey AS src, 'HGNC:'||o_custkey AS dst, CASE WHEN o_orderkey%3
 UNION ALL SELECT 'D'||o_orderkey, 'GENE:GX', 3, 'hypothesis' FROM orders""")
 def _g05(t):
     genes = t.table("customer").selectExpr("concat('C', c_custkey) AS symbol", "concat('HGNC:', c_custkey) AS hgnc_id", "c_name AS name")
-    return G.gene_nodes_and_links(resolved(t), genes, TODAY).edges.select("src", "dst", "source_tier", "status")
+    return G.gene_nodes_and_links(resolved(t), genes, today()).edges.select("src", "dst", "source_tier", "status")
 
 
 @query("g06_rewrite_alt_ids", "SELECT l_orderkey, CASE WHEN l_partkey%3=0 THEN 'P'||(l_partkey//3) ELSE 'P'||l_partkey END AS hpo_id, count(*) AS n FROM lineitem GROUP BY ALL")
@@ -381,7 +382,7 @@ def _g06(t):
 SELECT 'edge' AS what, src AS a, dst AS b, count(*) AS n FROM has_phenotype GROUP BY ALL UNION ALL SELECT 'node', dst, coalesce(max(p.name), dst), 1 FROM has_phenotype h LEFT JOIN phenotype p ON p.id=h.dst GROUP BY dst""")
 def _g07(t):
     ph = t.table("lineitem").selectExpr("concat('D', l_orderkey) AS mondo", "concat('P', l_partkey) AS hpo_id", "concat('M', l_suppkey) AS source_id", "'' AS frequency", "'IEA' AS evidence", "'ref' AS reference")
-    g, _ = G.annotation_links(ph, t.phenotype.selectExpr("id", "name AS label"), TODAY)
+    g, _ = G.annotation_links(ph, t.phenotype.selectExpr("id", "name AS label"), today())
     return g.edges.select(F.lit("edge").alias("what"), F.col("src").alias("a"), F.col("dst").alias("b"), F.col("n_evidence").alias("n")).unionByName(
         g.nodes.select(F.lit("node").alias("what"), F.col("id").alias("a"), F.col("name").alias("b"), F.lit(1).cast("long").alias("n")))
 
@@ -392,13 +393,13 @@ def _g08(t):
     v = t.variant.selectExpr("gene AS hgnc_id", "CASE WHEN num % 2 = 0 THEN concat('VCV', num) ELSE '' END AS accession", "cast(num AS string) AS variation_id", "name AS title", "classification", "consequence", "traits",
         "'' AS protein_change", "'' AS cdna_change", "review_status", "CASE WHEN num % 3 = 0 THEN 'bad' ELSE cast(num % 5 AS string) END AS review_stars")
     genes = t.gene.filter("cast(substr(id, 2) AS bigint) % 2 = 0")
-    return G.variant_nodes_and_links(v, genes, TODAY).edges.select("src", "dst", "review_stars")
+    return G.variant_nodes_and_links(v, genes, today()).edges.select("src", "dst", "review_stars")
 
 
 @query("g09_trial_layer", """
 SELECT 'NCT:N'||o_orderkey AS src, 'D'||o_orderkey AS dst, 'STUDIES' AS rel FROM orders WHERE o_orderkey%9<>0 UNION ALL SELECT 'NCT:N'||o_orderkey, 'INT:compound-'||o_custkey, 'TESTS' FROM orders WHERE o_orderkey%9<>0""")
 def _g09(t):
-    return G.trial_layer(trials(t).withColumn("why", F.lit("w")), TODAY).edges.select("src", "dst", "rel")
+    return G.trial_layer(trials(t).withColumn("why", F.lit("w")), today()).edges.select("src", "dst", "rel")
 
 
 @query("g10_org_layer", """
@@ -410,20 +411,20 @@ def _g10(t):
     cards = o.selectExpr("concat('D', o_orderkey) AS entity", "concat('Org: ', o_custkey) AS name")
     com = o.filter("o_orderkey % 2 = 0").selectExpr("concat('D', o_orderkey) AS entity", "concat('c', o_custkey) AS slug", "'c' AS name")
     dr = o.filter("o_orderkey % 3 = 0").selectExpr("concat('D', o_orderkey) AS entity", "cast(o_custkey AS string) AS id", "'n' AS name", "cast(o_custkey AS string) AS code", "CASE WHEN o_orderkey % 6 = 0 THEN 'near' END AS closest")
-    return G.org_layer(cards, com, dr, TODAY).edges.select("src", "dst", "match_reason")
+    return G.org_layer(cards, com, dr, today()).edges.select("src", "dst", "match_reason")
 
 
 @query("g11_grant_layer", """
 SELECT DISTINCT 'RES:nih:'||(user_id+1) AS src, 'NIH:'||core_project AS dst, 'LEADS' AS rel, 1 AS n FROM grants UNION ALL SELECT 'NIH:'||core_project, gene, 'RESEARCHES', count(*) FROM grants GROUP BY ALL""")
 def _g11(t):
-    e = G.grant_layer(grants(t).withColumn("symbol", F.col("gene")), TODAY).edges
+    e = G.grant_layer(grants(t).withColumn("symbol", F.col("gene")), today()).edges
     return e.groupBy("src", "dst", "rel").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("g12_gene_group_layer", "SELECT 'G'||c_custkey AS src, 'HGNC_GROUP:'||(c_custkey//3) AS dst FROM customer UNION ALL SELECT 'G'||c_custkey, 'HGNC_GROUP:'||(c_custkey+1000000) FROM customer WHERE c_custkey%2=0")
 def _g12(t):
     genes = t.table("customer").selectExpr("concat('G', c_custkey) AS id", "array(c_custkey div 3, c_custkey + 1000000) AS gene_group_id", "CASE WHEN c_custkey % 2 = 0 THEN array('a', 'b') ELSE array('a') END AS gene_group")
-    return G.gene_group_layer(genes, TODAY).edges.select("src", "dst")
+    return G.gene_group_layer(genes, today()).edges.select("src", "dst")
 
 
 @query("g13_entity_props", "SELECT 'D'||o_orderkey AS id, CASE WHEN o_orderkey%6<>0 THEN 'GARD'||o_orderkey END AS gard_id, CASE WHEN o_orderkey%6=0 THEN NULL ELSE 6 END AS n_reading FROM orders")
@@ -444,7 +445,7 @@ def _g14(t):
     return G.bundle_to_graph(
         o.selectExpr(q, "concat('name', o_orderkey) AS canonical_name", "CASE WHEN o_orderkey % 6 = 0 THEN '' ELSE concat('GARD', o_orderkey) END AS gard_id"), o.selectExpr(q, "concat('C', o_custkey) AS gene_symbol"),
         o.selectExpr(q, "CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE cast(o_orderkey AS string) END AS pmid", "'' AS title"), o.filter("o_orderkey % 2 = 0").selectExpr(q, "concat('c', o_custkey) AS slug", "'n' AS name"),
-        o.selectExpr(q, "concat('Org: ', o_custkey) AS name"), TODAY).edges.select("src", "dst", "rel")
+        o.selectExpr(q, "concat('Org: ', o_custkey) AS name"), today()).edges.select("src", "dst", "rel")
 
 
 @query("g15_clean_text", "SELECT p_partkey, p_name||'–x' AS name FROM part")
