@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from corrobora.functions.text import match_reason, org_focus, review_stars, specific_terms, whole_word
 from corrobora.model import EvidenceGraph
-from corrobora.session import first_by, top_by
+from corrobora.operators.resolve import containment_pairs
+from corrobora.session import cut_lineage, first_by, top_by
 
 KEPT_CLASSES = ["pathogenic", "likely pathogenic", "pathogenic/likely pathogenic"]
 LOSS_CONSEQUENCES = ["nonsense", "frameshift", "splice"]
@@ -87,10 +88,29 @@ def rank_variants(
     links = graph.of_rel("ASSOCIATED_WITH").select(F.col("src").alias("disease"), F.col("dst").alias("gene")).distinct()
     in_gene = graph.of_rel("IN_GENE").select(F.col("src").alias("id"), F.col("dst").alias("gene")).distinct()
     named = diseases.select(F.col("id").alias("disease"), F.lower("name").alias("_name"))
-    words = lambda c: F.filter(F.split(c, r"(?U)\s+"), lambda w: F.length(w) >= 4)
+    words = lambda c: F.array_distinct(F.filter(F.split(c, r"(?U)\s+"), lambda w: F.length(w) >= 4))
+    # Score = base(variant) + 20 if the trait matches. So a variant can only reach the top k of a disease if it is in the
+    # top k by base of its gene, or of its gene and a shared trait word, or of its gene and a trait text that contains the
+    # disease name. A gene with very many diseases and variants never multiplies the two.
+    base = cut_lineage(scored.withColumn("_base", F.col("_class") + F.col("_review") + F.col("_cons") + F.col("_lit") + F.col("_mech")).join(in_gene, "id"))
+    order = [F.desc("_base"), F.asc("name"), F.asc("id")]
+    columns = base.columns
+    by_gene = top_by(base, ["gene"], order, k).select(*columns)
+    by_word = top_by(base.withColumn("_word", F.explode(words(F.col("_traits")))), ["gene", "_word"], order, k).select("_word", *columns)
+    by_text = top_by(base, ["gene", "_traits"], order, k).select(*columns)
+    pairs = cut_lineage(links.join(named, "disease").join(genes, "gene", "left_semi"))
+    inside = containment_pairs(named.select(F.col("_name").alias("pattern")), base.select(F.col("_traits").alias("text"))).select(
+        F.col("pattern").alias("_name"), F.col("text").alias("_traits"))
+    wanted = ["disease", "_name", *columns]
+    options = (
+        pairs.join(by_gene, "gene").select(*wanted)
+        .unionByName(pairs.withColumn("_word", F.explode(words(F.col("_name")))).join(by_word, ["gene", "_word"]).select(*wanted))
+        .unionByName(pairs.join(inside, "_name").join(by_text, ["gene", "_traits"]).select(*wanted))
+        .dropDuplicates(["disease", "gene", "id"])
+    )
     match = ((F.col("_name") != "") & F.contains(F.col("_traits"), F.col("_name"))) | F.arrays_overlap(words(F.col("_name")), words(F.col("_traits")))
     trait = F.when(match, 20).otherwise(0)
-    total = F.least(F.col("_class") + F.col("_review") + trait + F.col("_cons") + F.col("_lit") + F.col("_mech"), F.lit(100))
+    total = F.least(F.col("_base") + trait, F.lit(100))
     reasons = F.array_compact(F.array(
         F.when(F.col("_class") >= 24, "pathogenic classification"),
         F.when(F.col("_review") >= 11, "strong review").when(F.col("_review") >= 6, "review evidence"),
@@ -99,11 +119,8 @@ def rank_variants(
         F.when(F.col("_lit") > 0, F.concat(F.col("_lit").cast("string"), F.lit(" points literature support"))),
         F.when(F.col("_mech") > 0, "mechanism evidence"),
     ))
-    candidates = (
-        links.join(named, "disease").join(genes, "gene", "left_semi").join(in_gene, "gene").join(scored, "id")
-        .select("disease", "gene", F.col("id").alias("variant"), "name", "classification", "consequence",
-                total.alias("score"), reasons.alias("reasons"))
-    )
+    candidates = options.select(
+        "disease", "gene", F.col("id").alias("variant"), "name", "classification", "consequence", total.alias("score"), reasons.alias("reasons"))
     return top_by(candidates, ["disease"], [F.desc("score"), F.asc("name"), F.asc("variant")], k)
 
 

@@ -33,21 +33,20 @@ def containment_pairs(patterns: DataFrame, texts: DataFrame) -> DataFrame:
     grams = lambda c, n: F.transform(
         F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, n if isinstance(n, Column) else F.lit(n)))
     texts = texts.select("text").filter(F.length("text") > 0).distinct()
-    patterns = patterns.select("pattern").filter(F.length("pattern") > 0).distinct()
+    longest = texts.agg(F.max(F.length("text")))
+    patterns = patterns.select("pattern").filter((F.length("pattern") > 0) & (F.length("pattern") <= longest.scalar())).distinct()
     every = F.array_distinct(F.concat(grams(F.col("text"), 1), grams(F.col("text"), 2), grams(F.col("text"), 3)))
     text_grams = texts.select("text", F.explode(every).alias("gram"))
     size = F.least(F.length("pattern"), F.lit(3))
     pattern_grams = patterns.select("pattern", F.explode(F.array_distinct(grams(F.col("pattern"), size))).alias("gram"))
-    used = text_grams.join(pattern_grams.select("gram").distinct(), "gram", "left_semi")
-    frequency = used.groupBy("gram").agg(F.count(F.lit(1)).alias("_df"))
-    rarest = first_by(
-        pattern_grams.join(frequency, "gram", "left").withColumn("_df", F.coalesce("_df", F.lit(0))),
-        ["pattern"], [F.asc("_df"), F.asc("gram")],
-    ).filter("_df > 0")
-    return (
-        rarest.select("pattern", "gram").join(used, "gram")
-        .filter(F.contains("text", "pattern")).select("pattern", "text")
+    frequency = text_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("_df"))
+    rarest = (
+        pattern_grams.join(frequency, "gram", "left")
+        .groupBy("pattern").agg(F.min(F.struct(F.coalesce("_df", F.lit(0)).alias("df"), "gram")).alias("_m"))
+        .filter(F.col("_m.df") > 0)  # a gram that no text has rules the pattern out
+        .select("pattern", F.col("_m.gram").alias("gram"))
     )
+    return rarest.join(text_grams, "gram").filter(F.contains("text", "pattern")).select("pattern", "text")
 
 
 # ---------------------------------------------------------------- ontology names
