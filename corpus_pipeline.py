@@ -5,18 +5,45 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corrobora.llm.near_dedup import drop_near_duplicates
+from corrobora.llm import decontaminate, mixing, near_dedup, pii
+from corrobora.llm import toxicity as tox
 from corrobora.session import checkpoint_dir
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the learned lexicon rates toxic go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~tox.held_out(F.col("doc_id")))
+    return tox.drop_toxic(docs, tox.learn_lexicon(docs, labels))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    return drop_near_duplicates(docs)
+    return near_dedup.drop_near_duplicates(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, verbatim or re-parameterised, go."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts is replaced by its kind."""
+    return pii.redact_documents(docs, pii.train_skip_chain(docs))
+
+
+def mixing_plan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document, and its training positions."""
+    return mixing.mix_plan(docs)
 
 
 STAGES = [
-    ("near_dedup", near_dedup),
+    ("toxicity", toxicity),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("pii", redaction),
+    ("mixing", mixing_plan),
 ]
 
 #: Learned lexicons, minhash and belief propagation have no SQL form; the stages are tested against brute force.

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corrobora.llm.near_dedup import near_duplicates
+from corrobora.llm import decontaminate, mixing, near_dedup, pii, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +27,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op2_benchmark_decontamination")
+def op2(spark, sf_dir):
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op4_minhash_near_dedup")
 def op4(spark, sf_dir):
-    return near_duplicates(table(spark, sf_dir, "documents"), words=4)
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=4)
+
+
+@query("op6_pii_skip_chain")
+def op6(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return pii.personal_data(docs, pii.train_skip_chain(docs))
+
+
+@query("op7_toxicity_lexicon")
+def op7(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    lexicon = toxicity.learn_lexicon(docs, labels.where(~toxicity.held_out(F.col("doc_id"))))
+    return toxicity.score_texts(docs, lexicon).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+@query("op9_robust_quality")
+def op9(spark, sf_dir):
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
+@query("op10_curriculum_mix")
+def op10(spark, sf_dir):
+    return mixing.mix_plan(table(spark, sf_dir, "documents")).drop("positions")
