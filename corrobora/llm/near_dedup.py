@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,7 +65,71 @@ def _confirm(words: int, percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 64, rows: int = 8) -> DataFrame:
+def _links_in_blocks(words: int, percent: int):
+    """Compares two blocks of a bucket exactly and emits links that join different components, a spanning set of them."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        sets = [shingle_set(body, words) for body in pdf["body"]]
+        sizes = np.array([len(s) for s in sets])
+        comp, ids = pdf["comp"].to_numpy(), pdf["id"].to_numpy()
+        names, of, held_by = np.unique(comp, return_inverse=True, return_counts=True)
+        minor = of != held_by.argmax()  # every pair of different components has an end outside the largest one
+        block = pdf["block"].to_numpy()
+        left = np.flatnonzero(minor)
+        right = np.arange(len(sets))
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        kept = count[code] > 1
+        owner, code = owner[kept], np.unique(code[kept], return_inverse=True)[1]
+        order = np.argsort(code, kind="stable")
+        owner, code = owner[order], code[order]
+        both = np.zeros((len(left), len(right)), dtype=np.float32)
+        width = 4096  # a slice of shingles at a time bounds the matrices
+        for start in range(0, int(code[-1]) + 1 if len(code) else 0, width):
+            at = slice(np.searchsorted(code, start), np.searchsorted(code, start + width))
+            held = np.zeros((len(sets), width), dtype=np.float32)
+            held[owner[at], code[at] - start] = 1
+            both += held[left] @ held[right].T
+        near = (100 + percent) * both >= percent * (sizes[left][:, None] + sizes[right][None, :])
+        root = {c: c for c in names}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        out = []
+        other = comp[left][:, None] != comp[right][None, :]
+        if block.min() != block.max():  # pairs inside one block meet in that block's own group
+            other &= block[left][:, None] != block[right][None, :]
+        for x, y in np.argwhere(near & other):
+            one, two = find(comp[left[x]]), find(comp[right[y]])
+            if one != two:
+                root[one] = two
+                out.append((ids[left[x]], ids[right[y]]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def _blocked(live: DataFrame, bodies: DataFrame, words: int, percent: int, block: int) -> DataFrame:
+    """Links between the components of every open bucket. A bucket is cut into blocks of about ``block`` shingles, and
+    every two blocks meet in a group of their own, so groups stay small however large the bucket is."""
+    before = Window.partitionBy("bucket").orderBy("n", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cut = live.withColumn("block", F.floor((F.sum("n").over(before) - F.col("n")) / block).cast("int"))
+    cut = cut_lineage(cut.select("bucket", "id", "comp", "block"))
+    last = cut.groupBy("bucket").agg(F.collect_set("block").alias("blocks"))
+    met = cut.join(last, "bucket").withColumn("other", F.explode("blocks")).select(
+        "bucket", "id", "comp", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")
+    )
+    tasks = int(live.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # work follows groups, not bytes: no coalescing
+    return met.join(bodies, "id").repartition(tasks, "bucket", "lo", "hi").groupBy("bucket", "lo", "hi").applyInPandas(_links_in_blocks(words, percent), "a long, b long")
+
+
+def near_duplicates(
+    docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 64, rows: int = 8, block: int = 200_000
+) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs(doc_id, text)``.
 
     Documents are linked when ``100 * intersection >= percent * union`` over their sets of ``words``-word shingles;
@@ -74,16 +139,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
       With 64 bands of 8 a pair at exactly 0.8 shares no bucket with probability 8e-6; more similar pairs are missed
       far more rarely.
     * Equal sets are one class; the rest works on classes, so copies never form pairs.
-    * In a bucket that still holds several components, candidates are a star: every class against the bucket's first
-      centre. Links merge components. Rounds go on with 4, 16, ... centres for the buckets that are not yet one
-      component, until every two classes of a bucket are in one component or were compared. No pair is dropped.
-    * Links are confirmed on the full sets of both texts. Pairs whose set sizes rule a link out are not compared.
+    * Candidates are stars: every class against the smallest centre of all its buckets, then against the centre of each
+      bucket that still holds several components. Links are confirmed on the full sets of both texts; pairs whose set
+      sizes rule a link out are not compared.
+    * Buckets that are then still open are settled exactly: their classes meet block by block, with all intersections
+      of two blocks from one matrix product, and only links that join components come out. So no link of a bucket is lost,
+      and the rows made grow with the members of buckets, not with their pairs.
 
     Edge cases: null or blank text has an empty set, links with nothing and is its own component. A text of fewer words
     is one shingle. Rows that repeat a doc_id each get a row. A null doc_id takes part, is never a component's name
     unless nothing else is in it, and is kept only then. Other columns of ``docs`` are ignored.
     """
-    spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     sketched = cut_lineage(
         base.mapInArrow(_signatures(words, bands, rows), "doc_id long, n_shingles long, fp binary, bands array<long>")
@@ -91,69 +157,53 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     classes = cut_lineage(
         sketched.where("fp is not null").groupBy("fp")
         .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+        .withColumn("id", F.monotonically_increasing_id())
     )
-    exploded = classes.select("fp", "n", F.explode("bands").alias("bucket"))
-    shared = cut_lineage(exploded.groupBy("bucket").count().where("count > 1"))
-    members = cut_lineage(exploded.join(small(shared), "bucket").select("bucket", "fp", "n", "count"))
-    candidates = cut_lineage(members.select("fp").distinct())
-    wanted = classes.join(small(candidates), "fp", "left_semi").select(F.col("rep").alias("doc_id"))
+    exploded = classes.select("id", "n", F.explode("bands").alias("bucket"))
+    shared = cut_lineage(exploded.groupBy("bucket").count().where("count > 1").select("bucket"))
+    members = cut_lineage(exploded.join(small(shared), "bucket").select("bucket", "id", "n"))
+    candidates = cut_lineage(classes.join(small(cut_lineage(members.select("id").distinct())), "id", "left_semi").select("id", "fp", "rep"))
     has_text = F.length(F.regexp_replace(base["text"].cast("string"), r"[\x20\x09-\x0D]+", "")) > 0
     bodies = cut_lineage(
-        base.join(small(cut_lineage(wanted)), "doc_id", "left_semi").where(has_text).select("text")
-        .mapInArrow(_prints(words), "fp binary, body binary").join(small(candidates), "fp", "left_semi")
-        .dropDuplicates(["fp"])
+        base.join(small(candidates.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi").where(has_text).select("text")
+        .mapInArrow(_prints(words), "fp binary, body binary").join(small(candidates.select("fp", "id")), "fp")
+        .dropDuplicates(["id"]).select("id", "body")
     )
-    owner = candidates.select("fp", F.col("fp").alias("comp"))
-    compared = spark.createDataFrame([], "a binary, b binary")
-    step = 0
-    while True:
-        centres = 1 if step == 0 else 4 ** (step - 1)
-        placed = members.join(owner, "fp")
-        open_buckets = (
-            placed.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("bucket")
+
+    def open_members(owner: DataFrame) -> DataFrame:
+        placed = members.join(owner, "id")
+        split = placed.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
+        return cut_lineage(placed.join(split.select("bucket"), "bucket", "left_semi"))
+
+    def merge(owner: DataFrame, links: DataFrame) -> DataFrame:
+        if links.isEmpty():
+            return owner
+        roots = connected_components(
+            links.join(owner.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a")
+            .join(owner.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b")
+            .select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         )
-        live = cut_lineage(placed.join(open_buckets, "bucket", "left_semi"))
-        largest = live.agg(F.max("count")).first()[0]
-        if largest is None:
-            break
-        if centres == 1:
-            star = live.groupBy("bucket").agg(F.min(F.struct("fp", "n", "comp")).alias("c"))
-        else:
-            first = Window.partitionBy("bucket").orderBy("fp")
-            star = (
-                live.withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") <= centres)
-                .select("bucket", F.struct("fp", "n", "comp").alias("c"))
-            )
+        named = owner.join(roots.withColumnRenamed("node", "comp"), "comp", "left")
+        return cut_lineage(named.select("id", F.coalesce("root", "comp").alias("comp")))
+
+    owner = candidates.select("id", F.col("id").alias("comp"))
+    for one_each in (True, False):
+        live = open_members(owner)
+        star = live.groupBy("bucket").agg(F.min(F.struct("id", "n", "comp")).alias("c"))
         pairs = (
             live.join(star, "bucket").where("comp <> c.comp")
             .where(F.lit(100) * F.least("n", "c.n") >= F.lit(percent) * F.greatest("n", "c.n"))
-            .select("fp", F.col("c.fp").alias("centre"))
-        )
-        pairs = pairs.groupBy("fp").agg(F.min("centre").alias("centre")) if step == 0 else pairs.distinct()
-        fresh = cut_lineage(
-            pairs.select(F.least("fp", "centre").alias("a"), F.greatest("fp", "centre").alias("b")).distinct()
-            .join(compared, ["a", "b"], "left_anti")
+            .select(F.col("c.id").alias("a"), F.col("id").alias("b"))
         )
+        pairs = cut_lineage(pairs.groupBy("b").agg(F.min("a").alias("a")) if one_each else pairs.distinct())
         links = cut_lineage(
-            fresh.join(bodies.select(F.col("fp").alias("b"), F.col("body").alias("body_b")), "b")
-            .join(bodies.select(F.col("fp").alias("a"), F.col("body").alias("body_a")), "a")
-            .select("a", "b", "body_a", "body_b").mapInArrow(_confirm(words, percent), "a binary, b binary")
-        )
-        merged = (
-            links.join(owner.select(F.col("fp").alias("a"), F.col("comp").alias("ca")), "a")
-            .join(owner.select(F.col("fp").alias("b"), F.col("comp").alias("cb")), "b")
-            .select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-        )
-        roots = connected_components(merged)
-        owner = cut_lineage(
-            owner.join(roots.withColumnRenamed("node", "comp"), "comp", "left")
-            .select("fp", F.coalesce("root", "comp").alias("comp"))
+            pairs.join(bodies.select(F.col("id").alias("b"), F.col("body").alias("body_b")), "b")
+            .join(bodies.select(F.col("id").alias("a"), F.col("body").alias("body_a")), "a")
+            .select("a", "b", "body_a", "body_b").mapInArrow(_confirm(words, percent), "a long, b long")
         )
-        compared = compared.union(fresh)
-        if step > 0 and centres >= largest:
-            break
-        step += 1
-    owned = classes.select("fp", "rep").join(owner, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+        owner = merge(owner, links)
+    owner = merge(owner, cut_lineage(_blocked(open_members(owner), bodies, words, percent, block)))
+    owned = classes.select("fp", "id", "rep").join(owner, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     names = owned.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = owned.join(names, "comp").select("fp", "component_id")
     out = sketched.drop("bands").join(named, "fp", "left")

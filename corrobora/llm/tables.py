@@ -61,24 +61,27 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the undirected ``edges(a, b)``; the root is the smallest node reachable.
 
     Alternates large-star and small-star steps; each keeps at most as many edges as there are nodes and links, groups
-    are only aggregated, never gathered. Every iteration reads a written table.
+    are only aggregated, never gathered. Every iteration reads a written table. It is done when every node has one
+    parent and no parent has one.
     """
     flat = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    flat, seen = cut_lineage(flat), None
     while True:
-        state = flat.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen:
+        flat = cut_lineage(flat)
+        ends = flat.select(F.col("b").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("parent")).union(
+            flat.select("a", F.lit(0), F.lit(1))
+        )
+        roles = ends.groupBy("node").agg(F.sum("child").alias("child"), F.max("parent").alias("parent"))
+        if roles.where("child > 1 or (child > 0 and parent > 0)").isEmpty():
             return flat.select(F.col("b").alias("node"), F.col("a").alias("root")).union(
                 flat.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
             )
-        seen = state
         both = flat.select(F.col("a").alias("u"), F.col("b").alias("v")).union(flat.select("b", "a"))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
         large = (
             both.where("v > u").join(least, "u").select(F.least("u", "m").alias("a"), F.col("v").alias("b")).distinct()
         )
         least = large.groupBy("b").agg(F.min("a").alias("m"))
-        flat = cut_lineage(
+        flat = (
             large.join(least, "b").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
             .union(least.select("m", "b")).distinct()
         )
