@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corrobora.llm import decontaminate, mixing, near_dedup, pii, quality, toxicity
+from corrobora.llm import chat, decontaminate, licences, mixing, near_dedup, pii, quality, toxicity, url_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,16 +27,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_url_rules")
+def op1(spark, sf_dir):
+    return url_rules.judge_urls(table(spark, sf_dir, "pages"))
+
+
 @query("op2_benchmark_decontamination")
 def op2(spark, sf_dir):
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op3_chat_repair")
+def op3(spark, sf_dir):
+    return chat.repair_roles(table(spark, sf_dir, "conversations"))
+
+
 @query("op4_minhash_near_dedup")
 def op4(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=4)
 
 
+@query("op5_licence_scan")
+def op5(spark, sf_dir):
+    return licences.scan_licences(table(spark, sf_dir, "documents"))
+
+
 @query("op6_pii_skip_chain")
 def op6(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -52,6 +67,11 @@ def op7(spark, sf_dir):
     )
 
 
+@query("op8_warc_zstd")
+def op8(spark, sf_dir):
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 @query("op9_robust_quality")
 def op9(spark, sf_dir):
     return quality.quality(table(spark, sf_dir, "documents"))
