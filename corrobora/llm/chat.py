@@ -34,14 +34,11 @@ class Costs:
 def _step(costs: Costs, role: str, state: int, target: int) -> tuple[float, str, tuple[int, ...]]:
     """(cost, kind, inserted states) of taking a turn of ``role`` as ``target`` after ``state``."""
     base = 0.0 if ROLES[target - 1] == role else costs.relabel
-    if state == target:
-        return base + costs.merge, "merge", ()
     if (state, target) in LEGAL:
         return base, "append", ()
-    for via in (2, 3):
-        if (state, via) in LEGAL and (via, target) in LEGAL:
-            return base + costs.insert, "append", (via,)
-    return math.inf, "", ()
+    ways = [(base + costs.merge, "merge", ())] if state == target else []
+    ways += [(base + costs.insert, "append", (via,)) for via in (2, 3) if (state, via) in LEGAL and (via, target) in LEGAL]
+    return min(ways, key=lambda w: w[0], default=(math.inf, "", ()))
 
 
 def _closing(state: int) -> tuple[int, ...]:
