@@ -6,6 +6,9 @@ Unicode NFKC folding, which Spark has no function for; it is an Arrow UDF that o
 
 from __future__ import annotations
 
+import json
+from html.entities import name2codepoint
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,14 +26,30 @@ def norm_name(c) -> Column:
     return F.trim(F.regexp_replace(F.lower(_c(c)), "[^a-z0-9]+", " "))
 
 
+@F.pandas_udf(StringType())
+def _casefold(values: pd.Series) -> pd.Series:
+    return values.str.casefold()
+
+
+def casefolded(c) -> Column:
+    """Caseless form. Lower-casing does it for ASCII text; only other text crosses to Python."""
+    c = _c(c)
+    return F.coalesce(_casefold(F.when(F.rlike(c, F.lit(r"[^\x00-\x7F]")), c)), F.lower(c))
+
+
+def is_blank(c) -> Column:
+    """Nothing but white space of any kind."""
+    return F.regexp_replace(_c(c), r"(?U)[\s\x1c-\x1f]", "") == ""
+
+
 def norm_mention(c) -> Column:
-    """Lower case and single spaces; punctuation stays, so that variant notations never collapse."""
-    return F.trim(F.regexp_replace(F.lower(_c(c)), r"(?U)\s+", " "))
+    """Caseless with single spaces; punctuation stays, so that variant notations never collapse."""
+    return F.trim(F.regexp_replace(casefolded(c), r"(?U)[\s\x1c-\x1f]+", " "))
 
 
 def norm_xref(c) -> Column:
     c = _c(c)
-    return F.when(F.lower(c).startswith("orphanet:"), F.concat(F.lit("ORPHA:"), F.substring(c, 10, 1_000_000))).otherwise(c)
+    return F.when(F.lower(c).startswith("orphanet:"), F.concat(F.lit("ORPHA:"), F.substr(c, F.lit(10)))).otherwise(c)
 
 
 def slug(c) -> Column:
@@ -56,7 +75,7 @@ def nonempty(c) -> Column:
 def title_case(c) -> Column:
     """Upper-cases the first letter of every run of letters (also after hyphen and apostrophe)."""
     runs = F.regexp_extract_all(F.lower(_c(c)), F.lit(r"(\p{L}+|[^\p{L}]+)"), 1)
-    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.left(r, F.lit(1))), F.substring(r, 2, 1_000_000))), "")
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.left(r, F.lit(1))), F.substr(r, F.lit(2)))), "")
 
 
 def clean_text(c) -> Column:
@@ -76,18 +95,32 @@ def decode_obfuscated(c) -> Column:
     return F.when((F.length(c) >= 4) & (F.length(c) % 2 == 0) & c.rlike("^[0-9a-fA-F]+$"), decoded).otherwise(F.lit(""))
 
 
+def _code_point(number: Column) -> Column:
+    return F.when(
+        (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF),
+        F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"),
+    ).otherwise(F.lit("\ufffd"))
+
+
 def unescape_html(c) -> Column:
-    """The named and numeric entities that occur in directory pages."""
-    out = _c(c)
-    for entity, char in {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&#x27;": "'", "&nbsp;": " ",
-                         "&eacute;": "é", "&egrave;": "è", "&ouml;": "ö", "&uuml;": "ü",
-                         "&auml;": "ä", "&amp;": "&"}.items():
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return out
+    """Named, decimal and hexadecimal entities decoded in one pass; unknown ones stay as they are."""
+    names = F.from_json(F.lit(json.dumps({f"&{k};": chr(v) for k, v in name2codepoint.items()} | {"&apos;": "'"})), "map<string,string>")
+
+    def decoded(part: Column) -> Column:
+        number = F.when(part.rlike("^&#[xX]"), F.conv(F.regexp_extract(part, "([0-9a-fA-F]+);$", 1), 16, 10)).otherwise(F.regexp_extract(part, "([0-9]+);$", 1))
+        return (
+            F.when(part.rlike("^&#(?:[0-9]{1,9}|[xX][0-9a-fA-F]{1,8});$"), _code_point(number.cast("bigint")))
+            .when(part.rlike("^&[A-Za-z0-9]+;$"), F.coalesce(F.try_element_at(names, part), part)).otherwise(part)
+        )
+
+    c = _c(c)
+    parts = F.regexp_extract_all(c, F.lit("(&#?[A-Za-z0-9]+;|[^&]+|&)"), 1)
+    return F.when(F.contains(c, F.lit("&")), F.array_join(F.transform(parts, decoded), "")).otherwise(c)
 
 
 def strip_tags(c) -> Column:
-    return F.trim(F.regexp_replace(_c(c), r"(?s)<[^>]+>", ""))
+    """The text of a fragment: tags off, then entities decoded."""
+    return F.trim(unescape_html(F.regexp_replace(_c(c), r"(?s)<[^>]+>", "")))
 
 
 # ---------------------------------------------------------------- matching
@@ -145,7 +178,7 @@ def intervention_label(c) -> Column:
     """Upper-cases the first letter of names written all in lower case."""
     c = norm_intervention(c)
     lower = (c == F.lower(c)) & (c != F.upper(c))
-    return F.when(lower, F.concat(F.upper(F.left(c, F.lit(1))), F.substring(c, 2, 1_000_000))).otherwise(c)
+    return F.when(lower, F.concat(F.upper(F.left(c, F.lit(1))), F.substr(c, F.lit(2)))).otherwise(c)
 
 
 def review_stars(c) -> Column:
@@ -288,7 +321,7 @@ def external_links(node_type, node_id, xrefs, hgnc_id, entrez_id, url, nord_url)
         when(t == "Gene", "NCBI Gene", "https://www.ncbi.nlm.nih.gov/gene/", nonempty(entrez_id)),
         when((t == "Variant") & i.rlike(r"^(CLINVAR:)?VCV\d+"), "ClinVar", "https://www.ncbi.nlm.nih.gov/clinvar/variation/", number, "/"),
         when(t == "Phenotype", "HPO", "https://hpo.jax.org/browse/term/", i),
-        when((t == "Paper") & i.startswith("PMID:"), "PubMed", "https://pubmed.ncbi.nlm.nih.gov/", F.substring(i, 6, 1_000_000), "/"),
+        when((t == "Paper") & i.startswith("PMID:"), "PubMed", "https://pubmed.ncbi.nlm.nih.gov/", F.substr(i, F.lit(6)), "/"),
         when(org, "Website", nonempty(u)),
         when(org & ~(_c(nord_url).eqNullSafe(u)), "NORD profile", nonempty(nord_url)),
         when(t == "Study", "ClinicalTrials.gov", nonempty(u)),

@@ -11,7 +11,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corrobora.functions.text import content_digest, folded, screening_flags, span, span_problem
+from corrobora.functions.text import content_digest, folded, is_blank, screening_flags, span, span_problem
 from corrobora.model import CLAIM_ENDPOINTS, endpoint_allowed
 from corrobora.session import first_by, ordinal_within
 
@@ -105,7 +105,7 @@ def metadata_authors(docs: DataFrame) -> DataFrame:
     """(source_id, idx, name, quote): the author list given in the header of a document, first spelling of each."""
     header = F.regexp_extract("text", _HEADER, 1)
     line = F.regexp_extract(header, "(?m)^(Authors: .+)$", 1)
-    names = F.array_distinct(F.filter(F.transform(F.split(F.substring(F.col("_line"), 10, 1_000_000), ";"), lambda n: F.trim(n)), lambda n: n != ""))
+    names = F.array_distinct(F.filter(F.transform(F.split(F.substr(F.col("_line"), F.lit(10)), ";"), lambda n: F.trim(n)), lambda n: n != ""))
     return (
         docs.select("source_id", line.alias("_line")).filter("_line <> ''")
         .select("source_id", F.col("_line").alias("quote"), F.posexplode(names).alias("idx", "name"))
@@ -189,7 +189,7 @@ def validate_candidates(claims: DataFrame, entities: DataFrame, chunks: DataFram
         entities.join(chunks, CHUNK)
         .withColumn("_p", F.coalesce(
             span_problem("chunk", "quote"),
-            F.when((F.trim("mention") == "") | ~F.contains("quote", "mention"), F.lit("entity mention missing from evidence"))))
+            F.when(is_blank("mention") | ~F.contains("quote", "mention"), F.lit("entity mention missing from evidence"))))
         .select(*CHUNK, "local_id", "kind", "_p")
     )
     # the text is dropped before the next joins, so that it is shuffled once per chunk and not once per claim
@@ -265,7 +265,7 @@ def claim_quality(sources: DataFrame, claims: DataFrame, summaries: DataFrame) -
 def summary_problems(sentences: DataFrame, claims: DataFrame) -> DataFrame:
     """(source_id, idx, reason) of sentences that are empty, unsafe, uncited or cite a claim the source lacks."""
     flags = screen_text(sentences, ["source_id", "idx"], ["text"]).filter(F.size("flags") > 0).select("source_id", "idx", F.lit("unsafe content").alias("reason"))
-    blank = sentences.filter(F.trim("text") == "").select("source_id", "idx", F.lit("empty sentence").alias("reason"))
+    blank = sentences.filter(is_blank("text")).select("source_id", "idx", F.lit("empty sentence").alias("reason"))
     uncited = sentences.filter(F.size("claim_ids") < 1).select("source_id", "idx", F.lit("missing citation").alias("reason"))
     cited = sentences.select("source_id", "idx", F.explode("claim_ids").alias("id"))
     unknown = cited.join(claims.select("source_id", "id"), ["source_id", "id"], "left_anti").select(
@@ -333,7 +333,7 @@ def validate_bundle(
     canonical_ok = prefix.isNotNull() & F.coalesce(F.rlike("canonical_id", F.concat(F.lit("^"), prefix, F.lit(r":\d+$"))), F.lit(False)) & (F.col("status") == "resolved") & (F.col("n_candidates") == 1)
     e = entities.join(claims.select(F.col("id").alias("claim_id"), "source_id"), "claim_id").join(texts, "source_id")
     per_entity = F.array_compact(F.array(
-        F.when((F.trim("mention") == "") | ~F.contains("quote", "mention") | offsets("start", "end", "quote"), "invalid entity evidence"),
+        F.when(is_blank("mention") | ~F.contains("quote", "mention") | offsets("start", "end", "quote"), "invalid entity evidence"),
         F.when(F.col("canonical_id").isNotNull() & ~canonical_ok, "invalid canonical identity"),
         F.when(F.col("canonical_id").isNull() & ~F.col("status").isin("unresolved", "ambiguous"), "invalid resolution status")))
     out = out.unionByName(e.select(F.col("claim_id").alias("id"), F.explode(per_entity).alias("reason")).distinct())
@@ -357,7 +357,7 @@ def validate_review(
     bundle_sha256: Column, review: DataFrame, approved: DataFrame, approved_sentences: DataFrame, claims: DataFrame, sentences: DataFrame
 ) -> DataFrame:
     """(id, reason). review(reviewer, bundle_sha256); approved(id); approved_sentences(source_id, idx)."""
-    head = review.filter((F.trim("reviewer") == "") | (F.col("bundle_sha256") != bundle_sha256)).select(
+    head = review.filter(is_blank("reviewer") | (F.col("bundle_sha256") != bundle_sha256)).select(
         F.col("bundle_sha256").alias("id"), F.lit("review must identify a reviewer and match the bundle").alias("reason"))
     unknown = approved.join(claims.select("id"), "id", "left_anti").select("id", F.lit("unknown approved claim").alias("reason"))
     key = F.concat_ws("#", "source_id", "idx")

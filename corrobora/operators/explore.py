@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corrobora.functions.text import DEFAULT_FOCUS, ORG_FOCUS
 from corrobora.model import EvidenceGraph
-from corrobora.operators.pairs import HUB_LIMIT, SharedPairs, shared_items, sharing_pairs
+from corrobora.operators.pairs import shared_items, sharing_pairs
 from corrobora.session import cut_lineage, first_by, top_by
 
 # Fixed values.
@@ -167,15 +167,12 @@ def symptom_pairs(matches: DataFrame) -> DataFrame:
     return matches.select("a", "b", F.lit("symptoms").alias("lens"), F.least(F.lit(1.0), F.col("score") / SYMPTOM_SCALE).alias("strength"), F.lit(1).cast("long").alias("n_items"))
 
 
-def mode_pairs(links: DataFrame, hub_limit: int = HUB_LIMIT) -> SharedPairs:
-    """Strength of every pair in every hub layer: one shared hub 0.5, two 0.75, and so on.
-
-    Hubs above the limit stay stars (item = lens and hub); pairs that meet in a smaller hub still count them.
-    """
+def mode_pairs(links: DataFrame) -> DataFrame:
+    """Strength of every pair in every hub layer: one shared hub 0.5, two 0.75, and so on."""
     items = cut_lineage(links.select(F.col("disease").alias("entity"), F.concat_ws("|", "lens", "hub").alias("item"), "lens"))
-    found = sharing_pairs(items.select("entity", "item"), hub_limit)
-    pairs = shared_items(found.pairs, items, ["lens"]).groupBy("a", "b", F.col("left_lens").alias("lens")).agg(F.count(F.lit(1)).alias("n_items"))
-    return SharedPairs(pairs.withColumn("strength", 1.0 - F.pow(F.lit(0.5), F.col("n_items"))).select("a", "b", "lens", "strength", "n_items"), found.stars)
+    found = sharing_pairs(items.select("entity", "item"))
+    pairs = shared_items(found, items, ["lens"]).groupBy("a", "b", F.col("left_lens").alias("lens")).agg(F.count(F.lit(1)).alias("n_items"))
+    return pairs.withColumn("strength", 1.0 - F.pow(F.lit(0.5), F.col("n_items"))).select("a", "b", "lens", "strength", "n_items")
 
 
 def mode_counts(pairs: DataFrame) -> DataFrame:

@@ -1,47 +1,25 @@
-"""Finding the pairs of entities that share something, without enumerating whole groups.
+"""Finding the pairs of entities that share something, without a task that holds a whole group.
 
 Every pair operator of the library (similarity, projection, bridges, lenses) starts here. Three rules keep
-the work proportional to the answer:
+the work proportional to the answer and even over tasks, whatever the size of a group:
 
 * a pair is only formed inside the posting list of an item both sides have (never a cross join);
 * when the score has a lower bound, only the *prefix* of each entity's items, rarest first, is joined. Items
   carried by a large part of all entities never reach the join unless they could decide the pair on their own;
-* an item carried by more than ``hub_limit`` entities is not expanded into pairs. Its members are returned as
-  ``stars`` rows (item, entity), which say the same in linear space: :func:`partners_of` expands them for any
-  requested entities, so no partner is lost.
+* posting lists are cut into blocks of about ``BLOCK`` entities by hash, and blocks meet two by two, each two under a key
+  of their own. So no task forms more than a block squared of pairs at a time, and no pair is left out.
 """
 
 from __future__ import annotations
 
-from typing import NamedTuple
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-HUB_LIMIT = 5_000
-WIDE_ENTITY = 20_000
+BLOCK = 1_000
 EPSILON = 1e-9
 
 
-class SharedPairs(NamedTuple):
-    pairs: DataFrame  # a, b with a < b
-    stars: DataFrame  # item, entity of every item too common to expand
-
-
-def with_hubs(found: SharedPairs) -> DataFrame:
-    """One whole result table: the pair rows, and a row (a = member, hub = item, b null) per hub membership."""
-    stars = found.stars.select(F.col("entity").alias("a"), F.col("item").alias("hub")).distinct()
-    return found.pairs.withColumn("hub", F.lit(None).cast("string")).unionByName(stars, allowMissingColumns=True)
-
-
-def hub_edges(found: SharedPairs, edges: DataFrame) -> DataFrame:
-    """The edges made from the pair rows, and an edge disease -> hub item for every hub membership."""
-    stars = found.stars.select(
-        F.concat_ws(":", F.lit("HUB"), "entity", "item").alias("edge_id"), F.col("entity").alias("src"), F.col("item").alias("dst")).distinct()
-    return edges.unionByName(stars, allowMissingColumns=True)
-
-
 def prefix_items(items: DataFrame, threshold: float, absolute: bool = False) -> DataFrame:
     """Rows (entity, item, weight, rest, total, tail) that can be the rarest shared item of a pair at ``threshold``.
 
@@ -50,9 +28,6 @@ def prefix_items(items: DataFrame, threshold: float, absolute: bool = False) ->
     at least ``threshold`` times the entity's total (or ``threshold`` itself when ``absolute``). Jaccard >= t implies
     overlap >= t * total for both sides, so a qualifying pair always meets on a kept row. ``tail`` is the weight of the
     rows that were not kept.
-
-    Entities with very many items keep all of them, which is a superset and therefore still exact; it avoids sorting
-    one oversized entity in one task.
     """
     freq = items.groupBy("item").agg(F.count(F.lit(1)).alias("_freq"))
     width = items.groupBy("entity").agg(F.count(F.lit(1)).alias("_width"), F.sum("weight").alias("total"))
@@ -62,54 +37,51 @@ def prefix_items(items: DataFrame, threshold: float, absolute: bool = False) ->
         Window.unboundedPreceding, Window.currentRow
     )
     floor = F.lit(float(threshold)) if absolute else F.col("total") * float(threshold)
-    narrow = (
-        sized.filter(F.col("_width") <= WIDE_ENTITY)
-        .withColumn("rest", F.sum("weight").over(order))
+    kept = (
+        sized.withColumn("rest", F.sum("weight").over(order))
         .withColumn("_kept", F.col("rest") >= floor - F.lit(EPSILON))
         # the largest remainder that was not kept is what lies beyond the prefix
         .withColumn("tail", F.coalesce(F.max(F.when(~F.col("_kept"), F.col("rest"))).over(Window.partitionBy("entity")), F.lit(0.0)))
         .filter("_kept")
     )
-    wide = sized.filter(F.col("_width") > WIDE_ENTITY).withColumn("rest", F.col("total")).withColumn("tail", F.lit(0.0))
-    cols = ["entity", "item", "weight", "rest", "total", "tail"]
-    return narrow.select(*cols).unionByName(wide.select(*cols))
+    return kept.select("entity", "item", "weight", "rest", "total", "tail")
+
+
+def meetings(items: DataFrame, extra: list[str], block: int = BLOCK) -> DataFrame:
+    """Every two entities of an item: (item, x, y, x_*, y_*) once per unordered pair, formed block by block."""
+    sizes = items.groupBy("item").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks"))
+    cut = items.join(sizes, "item").withColumn("_block", F.pmod(F.xxhash64("entity"), F.col("_blocks")).cast("int"))
+    side = lambda df, e: df.select("item", "_lo", "_hi", F.col("entity").alias(e), *[F.col(c).alias(f"{e}_{c}") for c in extra])
+    left = cut.withColumn("_lo", F.col("_block")).withColumn("_hi", F.explode(F.sequence("_block", F.col("_blocks") - 1)))
+    right = cut.withColumn("_hi", F.col("_block")).withColumn("_lo", F.explode(F.sequence(F.lit(0), F.col("_block"))))
+    return side(left, "x").join(side(right, "y"), ["item", "_lo", "_hi"]).filter("_lo < _hi or x < y")
 
 
 def sharing_pairs(
-    items: DataFrame, hub_limit: int = HUB_LIMIT, min_similarity: float | None = None, min_overlap: float | None = None
-) -> SharedPairs:
+    items: DataFrame, min_similarity: float | None = None, min_overlap: float | None = None, block: int = BLOCK
+) -> DataFrame:
     """Distinct pairs a < b that have an item in common; ``items(entity, item)`` without duplicates.
 
     With a bound the items come from :func:`prefix_items` and a pair is kept only if it can still reach it. The needed
     overlap is ``min_overlap``, or t / (1 + t) of both totals for a Jaccard of t. A pair's overlap is at most (1) the
     smaller remainder at its first shared item and (2) what it shares inside both prefixes plus the larger tail, because
-    from the first item outside one prefix on, all shared items lie outside that same prefix. Both bounds are widened by
-    the hub weight of the pair, since hub items are not among the rows it meets on.
+    from the first item outside one prefix on, all shared items lie outside that same prefix.
     """
-    hubs = items.groupBy("item").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hub_limit).select("item")
-    near = items.join(hubs, "item", "left_anti")
-    stars = items.join(hubs, "item", "left_semi").select("item", "entity")
     bounded = min_similarity is not None or min_overlap is not None
-    extra = ["weight", "rest", "total", "tail", "hub"] if bounded else []
-    if bounded:
-        in_hubs = items.join(hubs, "item", "left_semi").groupBy("entity").agg(F.sum("weight").alias("hub"))
-        near = near.join(in_hubs, "entity", "left").withColumn("hub", F.coalesce("hub", F.lit(0.0)))
-    side = lambda e: near.select("item", F.col("entity").alias(e), *[F.col(c).alias(f"{e}_{c}") for c in extra])
-    met = side("a").join(side("b"), "item").filter("a < b")
+    met = meetings(items, ["weight", "rest", "total", "tail"] if bounded else [], block)
+    pair = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
     if not bounded:
-        return SharedPairs(met.select("a", "b").distinct(), stars)
+        return met.select(*pair).distinct()
     if min_similarity is not None:
-        needed = (F.col("a_total") + F.col("b_total")) * (min_similarity / (1.0 + min_similarity))
+        needed = (F.col("x_total") + F.col("y_total")) * (min_similarity / (1.0 + min_similarity))
     else:
         needed = F.lit(float(min_overlap))
     reach = met.select(
-        "a", "b", F.least("a_weight", "b_weight").alias("_w"),
-        (F.least("a_rest", "b_rest") + F.least("a_hub", "b_hub") - needed).alias("_first"),
-        (needed - F.greatest("a_tail", "b_tail") - F.least("a_hub", "b_hub")).alias("_inside"),
+        *pair, F.least("x_weight", "y_weight").alias("_w"), (F.least("x_rest", "y_rest") - needed).alias("_first"),
+        (needed - F.greatest("x_tail", "y_tail")).alias("_inside"),
     )
     possible = reach.groupBy("a", "b").agg(F.sum("_w").alias("_w"), F.max("_first").alias("_first"), F.max("_inside").alias("_inside"))
-    pairs = possible.filter((F.col("_first") >= -EPSILON) & (F.col("_w") >= F.col("_inside") - EPSILON)).select("a", "b")
-    return SharedPairs(pairs, stars)
+    return possible.filter((F.col("_first") >= -EPSILON) & (F.col("_w") >= F.col("_inside") - EPSILON)).select("a", "b")
 
 
 def shared_items(pairs: DataFrame, items: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -121,7 +93,7 @@ def shared_items(pairs: DataFrame, items: DataFrame, keep: list[str] | None = No
 
 
 def partners_of(focus: DataFrame, items: DataFrame) -> DataFrame:
-    """Every pair that involves a ``focus(entity)`` row, through all items including hubs.
+    """Every pair that involves a ``focus(entity)`` row, through all items.
 
     The work is the size of the posting lists of the focus entities only.
     """

@@ -9,16 +9,14 @@ from corrobora.model import (
     DAMPING, EVIDENCE_MIX, LINK_FLOOR, METHOD_WEIGHT, MIN_SCORE, PAIR_WEIGHTS, STATUS_WEIGHT,
     TIER_WEIGHT, EvidenceGraph, lookup,
 )
-from corrobora.operators.pairs import (
-    HUB_LIMIT, SharedPairs, partners_of, prefix_items, shared_items, sharing_pairs,
-)
+from corrobora.operators.pairs import partners_of, prefix_items, shared_items, sharing_pairs
 from corrobora.session import cut_lineage, top_by
 
 
 # ---------------------------------------------------------------- closure and information content
 
 
-def ancestor_closure(parents: DataFrame, terms: DataFrame | None = None, max_depth: int = 64) -> DataFrame:
+def ancestor_closure(parents: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """term -> itself and all its ancestors in a multi-parent DAG; ``parents(child, parent)``.
 
     Semi-naive: each round only extends the pairs found in the round before and drops those already known, so a
@@ -29,7 +27,7 @@ def ancestor_closure(parents: DataFrame, terms: DataFrame | None = None, max_dep
         terms = edges.select(F.col("child").alias("term")).unionByName(edges.select(F.col("parent").alias("term")))
     closed = cut_lineage(terms.select("term").distinct().withColumn("ancestor", F.col("term")))
     frontier = closed
-    for _ in range(max_depth):
+    while True:
         step = (
             frontier.join(edges, frontier["ancestor"] == edges["child"])
             .select("term", F.col("parent").alias("ancestor"))
@@ -99,16 +97,15 @@ def jaccard_of_pairs(pairs: DataFrame, items: DataFrame, name: str = "similarity
     )
 
 
-def similar_pairs(items: DataFrame, min_similarity: float, hub_limit: int = HUB_LIMIT) -> SharedPairs:
+def similar_pairs(items: DataFrame, min_similarity: float) -> DataFrame:
     """All pairs a < b whose weighted Jaccard is at least ``min_similarity`` (> 0)."""
-    found = sharing_pairs(prefix_items(items, min_similarity), hub_limit, min_similarity)
-    scored = jaccard_of_pairs(found.pairs, items).filter(F.col("similarity") >= min_similarity)
-    return SharedPairs(scored, found.stars)
+    found = sharing_pairs(prefix_items(items, min_similarity), min_similarity)
+    return jaccard_of_pairs(found, items).filter(F.col("similarity") >= min_similarity)
 
 
-def ic_jaccard(items: DataFrame, min_similarity: float, hub_limit: int = HUB_LIMIT) -> SharedPairs:
+def ic_jaccard(items: DataFrame, min_similarity: float) -> DataFrame:
     """IC-weighted Jaccard of closed term sets: sum of IC over the intersection / over the union."""
-    return similar_pairs(items, min_similarity, hub_limit)
+    return similar_pairs(items, min_similarity)
 
 
 def similarity_matrix_rows(pairs: DataFrame, items: DataFrame, entities: DataFrame) -> DataFrame:
@@ -222,14 +219,14 @@ def shared_feature_weight(pairs: DataFrame, rarity: DataFrame) -> DataFrame:
     )
 
 
-def weighted_jaccard(items: DataFrame, min_similarity: float, hub_limit: int = HUB_LIMIT) -> SharedPairs:
+def weighted_jaccard(items: DataFrame, min_similarity: float) -> DataFrame:
     """Evidence-weighted Jaccard: sum of minima over sum of maxima of the two supports."""
-    return similar_pairs(items, min_similarity, hub_limit)
+    return similar_pairs(items, min_similarity)
 
 
-def set_jaccard(items: DataFrame, min_similarity: float, hub_limit: int = HUB_LIMIT) -> SharedPairs:
+def set_jaccard(items: DataFrame, min_similarity: float) -> DataFrame:
     """Plain Jaccard: |A and B| / |A or B|."""
-    return similar_pairs(items.withColumn("weight", F.lit(1.0)), min_similarity, hub_limit)
+    return similar_pairs(items.withColumn("weight", F.lit(1.0)), min_similarity)
 
 
 def shared_feature_support(pairs: DataFrame, items: DataFrame) -> DataFrame:
@@ -244,8 +241,8 @@ def shared_feature_support(pairs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def connection_candidates(
-    features: DataFrame, terms: DataFrame, min_score: float = MIN_SCORE, hub_limit: int = HUB_LIMIT
-) -> SharedPairs:
+    features: DataFrame, terms: DataFrame, min_score: float = MIN_SCORE
+) -> DataFrame:
     """A superset of the pairs whose final score can reach ``min_score``, far smaller than all sharing pairs.
 
     The raw score is a weighted mean of the present parts and the other factors are at most 1, so one part must
@@ -253,16 +250,12 @@ def connection_candidates(
     least the link floor) or, because it is damped otherwise, an IC similarity of t / damping.
     """
     t = (min_score - 0.005) / 100.0
-    near = lambda items, at: sharing_pairs(prefix_items(items, at), hub_limit, at)
+    near = lambda items, at: sharing_pairs(prefix_items(items, at), at)
     mechanism = near(of_kind(features, "mechanism"), t)
     genes = near(of_kind(features, "gene").withColumn("weight", F.lit(1.0)), t)
-    rare = sharing_pairs(prefix_items(feature_rarity(features), LINK_FLOOR, absolute=True), hub_limit, min_overlap=LINK_FLOOR)
+    rare = sharing_pairs(prefix_items(feature_rarity(features), LINK_FLOOR, absolute=True), min_overlap=LINK_FLOOR)
     alike = near(terms, min(1.0, t / DAMPING))
-    parts = [mechanism, genes, rare, alike]
-    pairs, stars = parts[0]
-    for p in parts[1:]:
-        pairs, stars = pairs.unionByName(p.pairs), stars.unionByName(p.stars)
-    return SharedPairs(pairs.distinct(), stars)
+    return mechanism.unionByName(genes).unionByName(rare).unionByName(alike).distinct()
 
 
 def pair_connection(pairs: DataFrame, features: DataFrame, terms: DataFrame) -> DataFrame:
@@ -350,23 +343,17 @@ def pair_connection(pairs: DataFrame, features: DataFrame, terms: DataFrame) ->
 
 
 def all_connections(
-    features: DataFrame, terms: DataFrame, min_score: float = MIN_SCORE, hub_limit: int = HUB_LIMIT
-) -> SharedPairs:
-    """Every pair a < b whose rounded score reaches ``min_score``.
-
-    Pairs that meet only through an item above ``hub_limit`` stay factored in the stars; :func:`connections_of`
-    scores them for any requested diseases.
-    """
-    found = connection_candidates(features, terms, min_score, hub_limit)
-    pairs = cut_lineage(found.pairs)
-    scored = pair_connection(pairs, features, terms).filter(F.round("score", 2) >= min_score)
-    return SharedPairs(scored, found.stars)
+    features: DataFrame, terms: DataFrame, min_score: float = MIN_SCORE
+) -> DataFrame:
+    """Every pair a < b whose rounded score reaches ``min_score``."""
+    pairs = cut_lineage(connection_candidates(features, terms, min_score))
+    return pair_connection(pairs, features, terms).filter(F.round("score", 2) >= min_score)
 
 
 def connections_of(
     focus: DataFrame, features: DataFrame, terms: DataFrame, min_score: float = MIN_SCORE
 ) -> DataFrame:
-    """All connections of the ``focus(entity)`` diseases, hubs included: work follows their posting lists."""
+    """All connections of the ``focus(entity)`` diseases: work follows their posting lists."""
     items = features.select("entity", F.concat_ws(":", "kind", "item").alias("item")).unionByName(
         terms.select("entity", F.concat(F.lit("term:"), "item").alias("item"))
     )
@@ -417,7 +404,7 @@ def annotate_connections(connections: DataFrame, labels: DataFrame, top_terms: D
     )
 
 
-def entity_projection(features: DataFrame, min_weight: float = LINK_FLOOR, hub_limit: int = HUB_LIMIT) -> SharedPairs:
+def entity_projection(features: DataFrame, min_weight: float = LINK_FLOOR) -> DataFrame:
     """Weighted disease graph: 2 per shared mechanism plus 1/frequency per shared phenotype, from ``min_weight`` up."""
     mechanisms = of_kind(features, "mechanism").withColumn("weight", F.lit(2.0))
     items = (
@@ -425,9 +412,9 @@ def entity_projection(features: DataFrame, min_weight: float = LINK_FLOOR, hub_l
         .unionByName(feature_rarity(features).withColumn("kind", F.lit("phenotype")))
         .withColumn("item", F.concat_ws(":", "kind", "item"))
     )
-    found = sharing_pairs(prefix_items(items.select("entity", "item", "weight"), min_weight, absolute=True), hub_limit, min_overlap=min_weight)
-    weights = (
-        shared_items(cut_lineage(found.pairs), items, ["weight", "kind"]).groupBy("a", "b")
+    found = sharing_pairs(prefix_items(items.select("entity", "item", "weight"), min_weight, absolute=True), min_overlap=min_weight)
+    return (
+        shared_items(cut_lineage(found), items, ["weight", "kind"]).groupBy("a", "b")
         .agg(
             F.sum("left_weight").alias("weight"),
             F.count(F.when(F.col("left_kind") == "mechanism", 1)).alias("n_mechanisms"),
@@ -435,7 +422,6 @@ def entity_projection(features: DataFrame, min_weight: float = LINK_FLOOR, hub_l
         )
         .filter(F.col("weight") >= min_weight - 1e-9)
     )
-    return SharedPairs(weights, found.stars)
 
 
 # ---------------------------------------------------------------- serving edges from scores

@@ -16,9 +16,9 @@ def _n01(t):
     return t.table("documents").select("doc_id", F.md5(X.norm_name("text")).alias("norm"))
 
 
-@query("n02_norm_mention", r"SELECT id, md5(trim(regexp_replace(lower(quote),'[\s\x0b\x1c-\x1f\x85\xa0]+',' ','g'),' ')) AS norm FROM claim WHERE regexp_full_match(quote,'[\x20-\x7e]+')")
+@query("n02_norm_mention", r"SELECT id, md5(trim(regexp_replace(replace(lower(quote),'ß','ss'),'[\s\x0b\x1c-\x1f\x85\xa0]+',' ','g'),' ')) AS norm FROM claim")
 def _n02(t):
-    return t.claim.filter(F.rlike("quote", F.lit(r"^[\x20-\x7e]+$"))).select("id", F.md5(X.norm_mention("quote")).alias("norm"))
+    return t.claim.select("id", F.md5(X.norm_mention("quote")).alias("norm"))
 
 
 @query("n03_norm_xref", """
@@ -247,10 +247,10 @@ def _n21(t):
     return N.get_by_slug(_communities(t), slugs).select("slug")
 
 
-@query("n21_get_by_padded_id", "SELECT min(p_partkey) AS p_partkey FROM part WHERE p_partkey//2 IN (SELECT s_suppkey*3 FROM supplier WHERE s_suppkey>0) GROUP BY p_partkey//2")
+@query("n21_get_by_padded_id", "SELECT min(p_partkey) AS p_partkey FROM part WHERE p_partkey//2 IN (SELECT s_suppkey*3 FROM supplier) GROUP BY p_partkey//2")
 def _n21b(t):
     catalog = t.table("part").selectExpr("p_partkey", "p_partkey AS seq", "lpad(cast(p_partkey div 2 AS string), 7, '0') AS gard_id")
-    ids = t.table("supplier").filter("s_suppkey > 0").selectExpr("concat('00', s_suppkey * 3, ' ') AS id")
+    ids = t.table("supplier").selectExpr("concat('00', s_suppkey * 3, ' ') AS id")
     return N.get_by_padded_id(catalog, ids).select("p_partkey")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corrobora.functions import text as X
@@ -10,9 +11,8 @@ from corrobora.operators import explore as Q
 from corrobora.operators import serve as E
 from corrobora.operators import similarity as S
 from corrobora.operators.cluster import cluster
-from corrobora.operators.pairs import SharedPairs, hub_edges, with_hubs
 from corrobora.plans.registry import query
-from corrobora.plans.similarity_queries import NO_HUB, PAIR_SQL, annotated, closed_terms, connections, core_terms
+from corrobora.plans.similarity_queries import PAIR_SQL, annotated, closed_terms, connections, core_terms
 from corrobora.session import cut_lineage
 
 def today():
@@ -22,7 +22,7 @@ def today():
 @query("a17_cluster")
 def _a17(t):
     """Communities over the scored matches from 35 up."""
-    pairs = connections(t, 35.0).pairs.select("a", "b", F.col("score").alias("weight"))
+    pairs = connections(t, 35.0).select("a", "b", F.col("score").alias("weight"))
     return cluster(pairs, t.disease.filter("NOT paper_scoped"), max_levels=3, max_rounds=6)
 
 
@@ -44,9 +44,9 @@ SELECT 'DISEASE_MATCH:'||c.a||':'||c.b AS edge_id, c.a AS src, c.b AS dst, CASE
  coalesce(d.labels,'') AS shared_phenotypes FROM conn c LEFT JOIN direct d ON d.a=c.a AND d.b=c.b WHERE round(score,2)>=20""")
 def _e02(t):
     found = annotated(t)
-    rich = E.match_edges_rich(found.pairs, today())
+    rich = E.match_edges_rich(found, today())
     named = F.array_join(F.transform("shared_phenotypes", lambda p: F.concat_ws("=", p["id"], p["name"])), "; ")
-    return hub_edges(found, rich.select("edge_id", "src", "dst", "connection_label", named.alias("shared_phenotypes")))
+    return rich.select("edge_id", "src", "dst", "connection_label", named.alias("shared_phenotypes"))
 
 
 def _bundle(t):
@@ -145,9 +145,9 @@ br AS (SELECT x.entity AS a, y.entity AS b, count(*) FILTER (x.kind='gene_groups
 
 @query("e08_shared_asset_bridges", ASSETS + f"""
 SELECT *, CASE WHEN shared_gene_groups>0 THEN 'Same gene family' WHEN shared_studies>0 THEN 'Studied in the same trial' WHEN shared_interventions>0 THEN 'Same drug tested'
- WHEN shared_researchers>0 THEN 'Shared NIH-funded researcher' ELSE 'Same patient organisation' END AS connection_label, {NO_HUB} FROM br""")
+ WHEN shared_researchers>0 THEN 'Shared NIH-funded researcher' ELSE 'Same patient organisation' END AS connection_label FROM br""")
 def _e08(t):
-    return with_hubs(E.shared_asset_bridges(assets(t)))
+    return E.shared_asset_bridges(assets(t))
 
 
 @query("e09_variant_counts", "SELECT gene, CASE WHEN num%4=0 THEN 'Unknown' ELSE classification END AS classification, count(*) AS n FROM variant GROUP BY ALL")
@@ -218,31 +218,29 @@ mp AS (SELECT x.disease AS a, y.disease AS b, x.lens, 1-pow(0.5::DOUBLE, count(*
 PAIR_LENSES = [x for x in Q.HUB_LENSES if x != "groups"]
 
 
-@query("q05_mode_pairs", PAIRS + f"SELECT a, b, lens, strength, n_items, {NO_HUB} FROM mp")
+@query("q05_mode_pairs", PAIRS + f"SELECT a, b, lens, strength, n_items FROM mp")
 def _q05(t):
-    return with_hubs(Q.mode_pairs(lens_links(t, PAIR_LENSES)))
+    return Q.mode_pairs(lens_links(t, PAIR_LENSES))
 
 
-@query("q05_mode_pairs_groups", LENS + """
-, g AS (SELECT disease, hub, count(*) OVER (PARTITION BY hub) AS n FROM links WHERE lens='groups'), sm AS (SELECT * FROM g WHERE n<=500)
-SELECT x.disease AS a, y.disease AS b, 'groups' AS lens, 1-pow(0.5::DOUBLE, count(*)) AS strength, count(*) AS n_items, CAST(NULL AS VARCHAR) AS hub FROM sm x JOIN sm y ON x.hub=y.hub AND x.disease<y.disease GROUP BY ALL
-UNION ALL SELECT disease, NULL, NULL, NULL, NULL, 'groups|'||hub FROM g WHERE n>500""")
+@query("q05_mode_pairs_groups", LENS + "SELECT lens, hub, disease, count(*) OVER (PARTITION BY hub) AS n_diseases FROM links WHERE lens='groups'")
 def _q05b(t):
-    """Bundles of organisations reach a large part of all diseases, so they stay factored."""
-    return with_hubs(Q.mode_pairs(lens_links(t, ["groups"]), hub_limit=500))
+    """Bundles of organisations reach a large part of all diseases, so this layer is always told as hub and member."""
+    links = lens_links(t, ["groups"]).select("lens", "hub", "disease")
+    return links.join(Q.hub_card(links), ["lens", "hub"])
 
 
 @query("q06_mode_counts", PAIRS + "SELECT lens, count(*) AS n_pairs FROM mp GROUP BY lens")
 def _q06(t):
-    return Q.mode_counts(Q.mode_pairs(lens_links(t, PAIR_LENSES)).pairs)
+    return Q.mode_counts(Q.mode_pairs(lens_links(t, PAIR_LENSES)))
 
 
-def layers(t) -> SharedPairs:
+def layers(t) -> DataFrame:
     """All hub layers plus symptom pairs scored by IC similarity."""
     similar, modes = S.ic_jaccard(core_terms(t), 0.4), Q.mode_pairs(lens_links(t, PAIR_LENSES))
-    alike = similar.pairs.select("a", "b", (F.col("similarity") * 50).alias("score"))
-    pairs = modes.pairs.select("a", "b", "lens", "strength", "n_items").unionByName(Q.symptom_pairs(alike))
-    return SharedPairs(cut_lineage(Q.pair_layers(pairs, 25.0)), modes.stars.unionByName(similar.stars))
+    alike = similar.select("a", "b", (F.col("similarity") * 50).alias("score"))
+    pairs = modes.select("a", "b", "lens", "strength", "n_items").unionByName(Q.symptom_pairs(alike))
+    return cut_lineage(Q.pair_layers(pairs, 25.0))
 
 
 LAYERS = PAIRS + """
@@ -254,23 +252,23 @@ lay AS (SELECT * FROM mp UNION ALL SELECT * FROM sy WHERE strength*40>=25)
 """
 
 
-@query("q07_pair_layers", LAYERS + f"SELECT a, b, lens, round(strength,6) AS strength, n_items, {NO_HUB} FROM lay")
+@query("q07_pair_layers", LAYERS + f"SELECT a, b, lens, round(strength,6) AS strength, n_items FROM lay")
 def _q07(t):
     found = layers(t)
-    return with_hubs(SharedPairs(found.pairs.withColumn("strength", F.round("strength", 6)), found.stars))
+    return found.withColumn("strength", F.round("strength", 6))
 
 
-@query("q08_combined_strength", LAYERS + f"SELECT a, b, round(1-exp(sum(ln(1-0.85::DOUBLE*strength))),6) AS strength, count(*) AS n_layers, {NO_HUB} FROM lay GROUP BY ALL")
+@query("q08_combined_strength", LAYERS + f"SELECT a, b, round(1-exp(sum(ln(1-0.85::DOUBLE*strength))),6) AS strength, count(*) AS n_layers FROM lay GROUP BY ALL")
 def _q08(t):
     found = layers(t)
-    return with_hubs(SharedPairs(Q.combined_strength(found.pairs).withColumn("strength", F.round("strength", 6)), found.stars))
+    return Q.combined_strength(found).withColumn("strength", F.round("strength", 6))
 
 
 @query("q09_describe_contribution", PAIRS + """
 SELECT a, b, lens, CASE WHEN n_items=1 THEN CASE lens WHEN 'family' THEN 'gene family' WHEN 'treatments' THEN 'drug' WHEN 'trials' THEN 'study' ELSE lens END
  ELSE n_items||' '||CASE lens WHEN 'family' THEN 'gene families' WHEN 'mechanism' THEN 'mechanisms' WHEN 'treatments' THEN 'drugs' WHEN 'trials' THEN 'studies' ELSE lens END END AS text FROM mp WHERE lens IN ('family','treatments','trials','mechanism')""")
 def _q09(t):
-    pairs = Q.mode_pairs(lens_links(t, ["family", "treatments", "trials", "mechanism"])).pairs
+    pairs = Q.mode_pairs(lens_links(t, ["family", "treatments", "trials", "mechanism"]))
     text = Q.describe_contribution(F.col("lens"), F.col("strength"), F.col("n_items"), F.lit("x"))
     return pairs.select("a", "b", "lens", F.regexp_replace(text, ": x$", "").alias("text"))
 
@@ -320,9 +318,9 @@ def _q14(t):
     return Q.induced_edges(t.edges, visible).select("edge_id")
 
 
-@query("q15_strength_label", "SELECT o_orderkey, CASE WHEN o_totalprice>=300000 THEN 'strong' WHEN o_totalprice>=240000 THEN 'moderate' ELSE 'weak' END AS label FROM orders WHERE o_totalprice>=200000")
+@query("q15_strength_label", "SELECT o_orderkey, CASE WHEN o_totalprice>=300000 THEN 'strong' WHEN o_totalprice>=240000 THEN 'moderate' ELSE 'weak' END AS label FROM orders")
 def _q15(t):
-    scored = t.table("orders").select("o_orderkey", (F.col("o_totalprice") / 10000).alias("score")).filter("score >= 20")
+    scored = t.table("orders").select("o_orderkey", (F.col("o_totalprice") / 10000).alias("score"))
     return scored.select("o_orderkey", X.strength_label("score").alias("label"))
 
 
@@ -350,11 +348,11 @@ def _q16b(t):
 
 @query("q17_external_links", """
 SELECT id, 'MONDO' AS label, 'https://monarchinitiative.org/'||id AS url FROM disease UNION ALL SELECT id, 'OMIM', 'https://omim.org/entry/'||num FROM disease UNION ALL SELECT id, 'Orphanet', 'https://www.orpha.net/en/disease/detail/'||(num+1) FROM disease
-UNION ALL SELECT 'CLINVAR:VCV000'||num, 'ClinVar', 'https://www.ncbi.nlm.nih.gov/clinvar/variation/'||num||'/' FROM variant WHERE num>0 UNION ALL SELECT id, 'PubMed', 'https://pubmed.ncbi.nlm.nih.gov/'||num||'/' FROM paper""")
+UNION ALL SELECT 'CLINVAR:VCV000'||num, 'ClinVar', 'https://www.ncbi.nlm.nih.gov/clinvar/variation/'||num||'/' FROM variant UNION ALL SELECT id, 'PubMed', 'https://pubmed.ncbi.nlm.nih.gov/'||num||'/' FROM paper""")
 def _q17(t):
     none = F.lit(None).cast("string")
     rows = t.disease.selectExpr("id", "type", "array(concat('OMIM:', num), 'SCTID:1', concat('ORPHA:', num + 1)) AS xrefs").unionByName(
-        t.variant.filter("num > 0").selectExpr("concat('CLINVAR:VCV000', num) AS id", "type", "cast(NULL AS array<string>) AS xrefs")).unionByName(t.paper.selectExpr("id", "type", "cast(NULL AS array<string>) AS xrefs"))
+        t.variant.selectExpr("concat('CLINVAR:VCV000', num) AS id", "type", "cast(NULL AS array<string>) AS xrefs")).unionByName(t.paper.selectExpr("id", "type", "cast(NULL AS array<string>) AS xrefs"))
     return rows.select("id", F.explode(X.external_links("type", "id", "xrefs", none, none, none, none)).alias("l")).select("id", "l.label", "l.url")
 
 
@@ -367,7 +365,7 @@ SELECT c.id, 1 AS n_genes, (SELECT count(*) FROM discusses d WHERE d.dst=c.id) A
  (SELECT count(*) FROM associated_with a JOIN grants g ON g.gene=a.dst WHERE a.src=c.id) AS n_grants, (SELECT count(DISTINCT dst) FROM involves i WHERE i.src=c.id) AS n_mechanisms, coalesce(n.n,0) AS n_bridges
 FROM core c LEFT JOIN n ON n.id=c.id""")
 def _q18(t):
-    return Q.disease_card(t.serving, E.shared_asset_bridges(assets(t)).pairs)
+    return Q.disease_card(t.serving, E.shared_asset_bridges(assets(t)))
 
 
 @query("q18_symptom_list", """
@@ -407,11 +405,10 @@ def _q21(t):
 @query("q22_bridge_list", ASSETS + """
 , k AS (SELECT a, b, concat_ws(',', CASE WHEN shared_gene_groups>0 THEN 'gene_groups' END, CASE WHEN shared_studies>0 THEN 'studies' END, CASE WHEN shared_interventions>0 THEN 'interventions' END,
  CASE WHEN shared_researchers>0 THEN 'researchers' END, CASE WHEN shared_orgs>0 THEN 'orgs' END) AS kinds FROM br)
-SELECT a AS id, b AS other, kinds, CAST(NULL AS VARCHAR) AS hub FROM k UNION ALL SELECT b, a, kinds, NULL FROM k""")
+SELECT a AS id, b AS other, kinds FROM k UNION ALL SELECT b, a, kinds FROM k""")
 def _q22(t):
     found = E.shared_asset_bridges(assets(t))
-    listed = Q.bridge_list(found.pairs).withColumn("hub", F.lit(None).cast("string"))
-    return listed.unionByName(found.stars.select(F.col("entity").alias("id"), F.col("item").alias("hub")), allowMissingColumns=True)
+    return Q.bridge_list(found)
 
 
 @query("q23_gene_card", """
@@ -470,15 +467,15 @@ SELECT p.a, p.b, x.dst AS phenotype, tk.term IS NOT NULL AS informative FROM p J
 def _q28(t):
     closure, closed = closed_terms(t)
     ic = cut_lineage(S.information_content(t.annotation, closure).withColumn("ic", F.round("ic", 9)))
-    pairs = cut_lineage(S.ic_jaccard(core_terms(t), 0.4).pairs)
+    pairs = cut_lineage(S.ic_jaccard(core_terms(t), 0.4))
     return Q.match_card(pairs, t.has_phenotype, S.top_shared_terms(pairs, closed, ic)).select("a", "b", "phenotype", "informative")
 
 
-@query("q28_pair_card", LAYERS + "SELECT a, b, lens, round(strength,6) AS strength, round(1-exp(sum(ln(1-0.85::DOUBLE*strength)) OVER (PARTITION BY a, b)),6) AS combined, " + NO_HUB + " FROM lay")
+@query("q28_pair_card", LAYERS + "SELECT a, b, lens, round(strength,6) AS strength, round(1-exp(sum(ln(1-0.85::DOUBLE*strength)) OVER (PARTITION BY a, b)),6) AS combined FROM lay")
 def _q28b(t):
     found = layers(t)
-    card = Q.pair_card(found.pairs).select("a", "b", "lens", F.round("strength", 6).alias("strength"), F.round("combined", 6).alias("combined"))
-    return with_hubs(SharedPairs(card, found.stars))
+    card = Q.pair_card(found).select("a", "b", "lens", F.round("strength", 6).alias("strength"), F.round("combined", 6).alias("combined"))
+    return card
 
 
 @query("q29_coverage_gap", SERVING + """

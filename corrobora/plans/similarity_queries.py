@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corrobora.operators import similarity as S
-from corrobora.operators.pairs import SharedPairs, hub_edges, sharing_pairs, with_hubs
+from corrobora.operators.pairs import sharing_pairs
 from corrobora.plans.registry import query
 from corrobora.session import cut_lineage
 
-NO_HUB = "CAST(NULL AS VARCHAR) AS hub"
 
 # The brute-force pair score in SQL: all pairs that share a feature or a closed term.
 PAIR_SQL = """
@@ -42,7 +42,7 @@ p2 AS (SELECT *, CASE WHEN mtt-mmin>0 THEN mmin/(mtt-mmin) ELSE 0 END AS mechani
   (CASE WHEN mn>0 THEN msup ELSE 0 END + CASE WHEN gn>0 THEN gsup ELSE 0 END + pmin)
    / greatest((mn>0)::INT+(gn>0)::INT+pn,1) AS ev, gn>0 AND mca>0 AND mcb>0 AND mn=0 AS counter FROM p1),
 p3 AS (SELECT *, (CASE WHEN mn>0 THEN 0.5::DOUBLE ELSE 0 END+CASE WHEN gn>0 THEN 0.2::DOUBLE ELSE 0 END+CASE WHEN pheno>0 THEN 0.3::DOUBLE ELSE 0 END) AS used FROM p2),
-conn AS (SELECT *, CASE WHEN used>0 THEN 100*(CASE WHEN mn>0 THEN 0.5::DOUBLE*mechanism ELSE 0 END+CASE WHEN gn>0 THEN 0.2::DOUBLE*genetic ELSE 0 END
+conn AS MATERIALIZED (SELECT *, CASE WHEN used>0 THEN 100*(CASE WHEN mn>0 THEN 0.5::DOUBLE*mechanism ELSE 0 END+CASE WHEN gn>0 THEN 0.2::DOUBLE*genetic ELSE 0 END
    +CASE WHEN pheno>0 THEN 0.3::DOUBLE*pheno ELSE 0 END)/used ELSE 0 END*(0.6::DOUBLE+0.4::DOUBLE*ev)*CASE WHEN counter THEN 0.35::DOUBLE ELSE 1 END AS score,
   CASE WHEN mn>0 AND meaningful THEN 'mechanistic_and_phenotypic' WHEN mn>0 THEN 'mechanistic'
    WHEN gn>0 AND NOT counter THEN 'genetic_overlap' WHEN meaningful THEN 'phenotypic_neighbor'
@@ -67,7 +67,7 @@ def core_features(t):
     return cut_lineage(S.feature_table(t.disease_graph, t.claim))
 
 
-def connections(t, min_score: float = 20.0) -> SharedPairs:
+def connections(t, min_score: float = 20.0) -> DataFrame:
     return S.all_connections(core_features(t), core_terms(t), min_score)
 
 
@@ -90,11 +90,11 @@ def _a02(t):
   WHERE i.ic>0 AND c.entity IN (SELECT id FROM disease WHERE NOT paper_scoped)),
 tot AS (SELECT entity, sum(w) AS t FROM items GROUP BY entity),
 ov AS (SELECT x.entity AS a, y.entity AS b, sum(x.w) AS o FROM items x JOIN items y ON x.item=y.item AND x.entity<y.entity GROUP BY ALL)
-SELECT a, b, round(o/(ta.t+tb.t-o),6) AS similarity, {NO_HUB} FROM ov JOIN tot ta ON ta.entity=a JOIN tot tb ON tb.entity=b
+SELECT a, b, round(o/(ta.t+tb.t-o),6) AS similarity FROM ov JOIN tot ta ON ta.entity=a JOIN tot tb ON tb.entity=b
 WHERE o/(ta.t+tb.t-o) >= 0.4""")
 def _a03(t):
     found = S.ic_jaccard(core_terms(t), 0.4)
-    return with_hubs(SharedPairs(found.pairs.select("a", "b", F.round("similarity", 6).alias("similarity")), found.stars))
+    return found.select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @query("a04_top_shared_terms", """
@@ -109,7 +109,7 @@ SELECT a, b, term, ic, rank FROM (SELECT a, b, x.term, round(i.ic,6) AS ic,
 def _a04(t):
     closure, closed = closed_terms(t)
     ic = cut_lineage(S.information_content(t.annotation, closure).withColumn("ic", F.round("ic", 9)))
-    pairs = S.ic_jaccard(core_terms(t), 0.5).pairs
+    pairs = S.ic_jaccard(core_terms(t), 0.5)
     return S.top_shared_terms(pairs, closed, ic).select("a", "b", "term", F.round("ic", 6).alias("ic"), "rank")
 
 
@@ -140,13 +140,13 @@ def _a08(t):
 
 
 @query("a09_shared_feature_weight", f"""
-SELECT x.entity AS a, y.entity AS b, round(sum(x.weight),6) AS weight, count(*) AS n_shared, {NO_HUB}
+SELECT x.entity AS a, y.entity AS b, round(sum(x.weight),6) AS weight, count(*) AS n_shared
 FROM rarity x JOIN rarity y ON x.item=y.item AND x.entity<y.entity GROUP BY ALL HAVING count(*)>=2""")
 def _a09(t):
     rarity = cut_lineage(S.feature_rarity(core_features(t)))
     found = sharing_pairs(rarity)
-    weights = S.shared_feature_weight(found.pairs, rarity).filter("n_shared >= 2")
-    return with_hubs(SharedPairs(weights.select("a", "b", F.round("weight", 6).alias("weight"), "n_shared"), found.stars))
+    weights = S.shared_feature_weight(found, rarity).filter("n_shared >= 2")
+    return weights.select("a", "b", F.round("weight", 6).alias("weight"), "n_shared")
 
 
 def _jaccard_sql(kind: str, weight: str, t: float) -> str:
@@ -154,12 +154,12 @@ def _jaccard_sql(kind: str, weight: str, t: float) -> str:
 , it AS (SELECT entity, item, {weight} AS w FROM features WHERE kind='{kind}'),
 tot AS (SELECT entity, sum(w) AS t FROM it GROUP BY entity),
 ov AS (SELECT x.entity AS a, y.entity AS b, sum(least(x.w,y.w)) AS o FROM it x JOIN it y ON x.item=y.item AND x.entity<y.entity GROUP BY ALL)
-SELECT a, b, round(o/(ta.t+tb.t-o),6) AS similarity, {NO_HUB} FROM ov JOIN tot ta ON ta.entity=a JOIN tot tb ON tb.entity=b
+SELECT a, b, round(o/(ta.t+tb.t-o),6) AS similarity FROM ov JOIN tot ta ON ta.entity=a JOIN tot tb ON tb.entity=b
 WHERE ta.t+tb.t-o > 0 AND o/(ta.t+tb.t-o) >= {t}"""
 
 
-def _rounded(found: SharedPairs):
-    return with_hubs(SharedPairs(found.pairs.select("a", "b", F.round("similarity", 6).alias("similarity")), found.stars))
+def _rounded(found: DataFrame):
+    return found.select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @query("a10_weighted_jaccard", _jaccard_sql("mechanism", "support", 0.203))
@@ -168,13 +168,13 @@ def _a10(t):
 
 
 @query("a11_shared_feature_support", f"""
-SELECT x.entity AS a, y.entity AS b, round(avg(sqrt(x.support*y.support)),6) AS support, {NO_HUB} FROM features x
+SELECT x.entity AS a, y.entity AS b, round(avg(sqrt(x.support*y.support)),6) AS support FROM features x
 JOIN features y ON x.kind='gene' AND y.kind='gene' AND x.item=y.item AND x.entity<y.entity GROUP BY ALL""")
 def _a11(t):
     genes = S.of_kind(core_features(t), "gene")
     found = sharing_pairs(genes)
-    support = S.shared_feature_support(found.pairs, genes)
-    return with_hubs(SharedPairs(support.select("a", "b", F.round("support", 6).alias("support")), found.stars))
+    support = S.shared_feature_support(found, genes)
+    return support.select("a", "b", F.round("support", 6).alias("support"))
 
 
 @query("a12_set_jaccard", _jaccard_sql("phenotype", "1.0::DOUBLE", 0.303))
@@ -184,26 +184,26 @@ def _a12(t):
 
 @query("a13_pair_connection", PAIR_SQL + f"""
 SELECT a, b, round(mechanism,5) AS mechanism, round(genetic,5) AS genetic, round(pheno,5) AS phenotype, round(ev,5) AS evidence_quality,
- meaningful AS meaningful_phenotype_link, counter AS same_gene_different_mechanism, connection_type, round(score,4) AS score, {NO_HUB} FROM conn WHERE gn>0""")
+ meaningful AS meaningful_phenotype_link, counter AS same_gene_different_mechanism, connection_type, round(score,4) AS score FROM conn WHERE gn>0""")
 def _a13(t):
     features, terms = core_features(t), core_terms(t)
     found = sharing_pairs(S.of_kind(features, "gene"))
-    records = S.pair_connection(cut_lineage(found.pairs), features, terms).select(
+    records = S.pair_connection(cut_lineage(found), features, terms).select(
         "a", "b", F.round("mechanism", 5).alias("mechanism"), F.round("genetic", 5).alias("genetic"),
         F.round("phenotype", 5).alias("phenotype"), F.round("evidence_quality", 5).alias("evidence_quality"),
         "meaningful_phenotype_link", "same_gene_different_mechanism", "connection_type", F.round("score", 4).alias("score"))
-    return with_hubs(SharedPairs(records, found.stars))
+    return records
 
 
 @query("a14_all_connections", PAIR_SQL + f"""
 SELECT a, b, round(score,4) AS score, connection_type, coalesce(shared_m,'') AS shared_mechanisms, coalesce(shared_g,'') AS shared_genes,
- coalesce(shared_p,'') AS shared_phenotypes, {NO_HUB} FROM conn WHERE round(score,2)>=20""")
+ coalesce(shared_p,'') AS shared_phenotypes FROM conn WHERE round(score,2)>=20""")
 def flagship(t):
     found = connections(t)
-    out = found.pairs.select(
+    out = found.select(
         "a", "b", F.round("score", 4).alias("score"), "connection_type",
         *[F.array_join(c, ",").alias(c) for c in ("shared_mechanisms", "shared_genes", "shared_phenotypes")])
-    return with_hubs(SharedPairs(out, found.stars))
+    return out
 
 
 @query("a15_annotate_connections", PAIR_SQL + f"""
@@ -220,31 +220,31 @@ SELECT c.a, c.b, coalesce(d.labels,'') AS shared_phenotypes,
  concat_ws(' | ', CASE WHEN shared_m IS NOT NULL THEN 'Both diseases involve: '||replace(shared_m,',',', ')||'.' END,
   CASE WHEN shared_g IS NOT NULL THEN 'Shared gene(s): '||replace(shared_g,',',', ')||'.' END,
   CASE WHEN t.labels IS NOT NULL THEN 'Meaningful phenotype overlap: '||t.labels||'.' END,
-  CASE WHEN counter THEN 'The diseases share a gene but have different supported mechanisms, so this is not treated as a direct mechanistic match.' END) AS why_connected, {NO_HUB}
+  CASE WHEN counter THEN 'The diseases share a gene but have different supported mechanisms, so this is not treated as a direct mechanistic match.' END) AS why_connected
 FROM conn c LEFT JOIN top t ON t.a=c.a AND t.b=c.b LEFT JOIN direct d ON d.a=c.a AND d.b=c.b WHERE round(c.score,2)>=20""")
 def _a15(t):
     found = annotated(t)
-    return with_hubs(SharedPairs(found.pairs.select(
+    return found.select(
         "a", "b", F.array_join("shared_phenotype_labels", "; ").alias("shared_phenotypes"), "confidence",
-        F.array_join("why_connected", " | ").alias("why_connected")), found.stars))
+        F.array_join("why_connected", " | ").alias("why_connected"))
 
 
-def annotated(t) -> SharedPairs:
+def annotated(t) -> DataFrame:
     closure, closed = closed_terms(t)
     ic = cut_lineage(S.information_content(t.annotation, closure).withColumn("ic", F.round("ic", 9)))
     found = connections(t)
-    pairs = cut_lineage(found.pairs)
+    pairs = cut_lineage(found)
     labelled = S.annotate_connections(pairs, t.phenotype.select("id", "name"), S.top_shared_terms(pairs, closed, ic))
-    return SharedPairs(labelled, found.stars)
+    return labelled
 
 
 @query("a16_entity_projection", f"""
 , it AS (SELECT entity, item, 2.0::DOUBLE AS w, 1 AS m FROM features WHERE kind='mechanism' UNION ALL SELECT entity, item, weight, 0 FROM rarity)
-SELECT x.entity AS a, y.entity AS b, round(sum(x.w),6) AS weight, count(*) FILTER (x.m=1) AS n_mechanisms, count(*) FILTER (x.m=0) AS n_phenotypes, {NO_HUB}
+SELECT x.entity AS a, y.entity AS b, round(sum(x.w),6) AS weight, count(*) FILTER (x.m=1) AS n_mechanisms, count(*) FILTER (x.m=0) AS n_phenotypes
 FROM it x JOIN it y ON x.item=y.item AND x.m=y.m AND x.entity<y.entity GROUP BY ALL HAVING sum(x.w)>=1.0-1e-9""")
 def _a16(t):
     found = S.entity_projection(core_features(t))
-    return with_hubs(SharedPairs(found.pairs.withColumn("weight", F.round("weight", 6)), found.stars))
+    return found.withColumn("weight", F.round("weight", 6))
 
 
 @query("a18_match_edges", PAIR_SQL + """
@@ -254,8 +254,8 @@ SELECT 'DISEASE_MATCH:'||a||':'||b AS edge_id, a AS src, b AS dst, connection_ty
 FROM conn WHERE round(score,2)>=20""")
 def _a18(t):
     found = annotated(t)
-    return hub_edges(found, S.match_edges(found.pairs, F.lit("2026-01-01").cast("date")).select(
-        "edge_id", "src", "dst", "connection_type", "confidence", "shared_genes", "shared_mechanisms"))
+    return S.match_edges(found, F.lit("2026-01-01").cast("date")).select(
+        "edge_id", "src", "dst", "connection_type", "confidence", "shared_genes", "shared_mechanisms")
 
 
 @query("a19_shortcut_edges", """

@@ -242,7 +242,7 @@ def report_pages(t):
 
 
 @query("s15_extract_org_cards", """
-SELECT s_suppkey AS page_id, 1 AS card, 'Org &amp; '||s_suppkey AS name, '/org/'||s_suppkey AS nord_url, '55-'||s_suppkey AS phone, 'a@b.c' AS email, '9' AS fax, 'A,B' AS related FROM supplier
+SELECT s_suppkey AS page_id, 1 AS card, 'Org & '||s_suppkey AS name, '/org/'||s_suppkey AS nord_url, '55-'||s_suppkey AS phone, 'a@b.c' AS email, '9' AS fax, 'A,B' AS related FROM supplier
 UNION ALL SELECT s_suppkey, 2, 'Second', '', '77', 'a@'||s_suppkey||'.org', '', '' FROM supplier""")
 def _s15(t):
     return pages.extract_org_cards(report_pages(t)).select("page_id", "card", "name", "nord_url", "phone", "email", "fax", J("related_diseases").alias("related"))
@@ -250,18 +250,18 @@ def _s15(t):
 
 def profile_pages(t):
     return t.table("supplier").selectExpr("concat('/org/', s_suppkey) AS url",
-        "concat('<div class=\"contact-info\"><i class=\"bi bi-pin-map\"></i> <p>Street ', s_suppkey, '<br/>Town</p><i class=\"bi-telephone\"></i><p> 12 </p><i class=\"bi-envelope\"></i><p>x@y.org</p>"
+        "concat('<div class=\"contact-info\"><i class=\"bi bi-pin-map\"></i> <p>Calle Espa&ntilde;a&#8217;s ', s_suppkey, '<br/>Town</p><i class=\"bi-telephone\"></i><p> 12 </p><i class=\"bi-envelope\"></i><p>x@y.org</p>"
         "<i class=\"bi-link\"></i><p><a href=\"https://o', s_suppkey, '.org\">site</a></p></div><h2>About Us</h2><p>First.</p><div><p> </p><p>Second <b>x</b>.</p></div><h2>Next</h2><p>no</p>') AS html")
 
 
 @query("s16_extract_org_profile", """
-SELECT '/org/'||s_suppkey AS url, 'Street '||s_suppkey||' Town' AS address, '12' AS phone, 'x@y.org' AS email, 'https://o'||s_suppkey||'.org' AS website, 'First. Second x.' AS description FROM supplier""")
+SELECT '/org/'||s_suppkey AS url, 'Calle España’s '||s_suppkey||' Town' AS address, '12' AS phone, 'x@y.org' AS email, 'https://o'||s_suppkey||'.org' AS website, 'First. Second x.' AS description FROM supplier""")
 def _s16(t):
     return pages.extract_org_profile(profile_pages(t))
 
 
 @query("s17_enrich_orgs", """
-SELECT s_suppkey AS page_id, '55-'||s_suppkey AS phone, 'a@b.c' AS email, 'Street '||s_suppkey||' Town' AS address, 'https://o'||s_suppkey||'.org' AS website FROM supplier
+SELECT s_suppkey AS page_id, '55-'||s_suppkey AS phone, 'a@b.c' AS email, 'Calle España’s '||s_suppkey||' Town' AS address, 'https://o'||s_suppkey||'.org' AS website FROM supplier
 UNION ALL SELECT s_suppkey, '77', 'a@'||s_suppkey||'.org', '', '' FROM supplier""")
 def _s17(t):
     out = pages.enrich_orgs(pages.extract_org_cards(report_pages(t)), pages.extract_org_profile(profile_pages(t)))
@@ -301,11 +301,11 @@ def _s21(t):
     return feeds.first_har_entry(feeds.har_entries(archives, "/en/", "GET", "<title>")).select("archive", "url", "pos")
 
 
-@query("s22_read_bundles", "SELECT 'PMID:'||doc_id AS source_id, CAST(pos-1 AS INTEGER) AS position, id FROM claim WHERE pos<=5")
+@query("s22_read_bundles", "SELECT 'PMID:'||doc_id AS source_id, CAST(pos-1 AS INTEGER) AS position, id FROM claim")
 def _s22(t):
     """Writes claim bundles as JSON files and reads the glob back."""
     path = _scratch(t, "bundles")
-    per_paper = t.claim.filter("pos <= 5").groupBy("pmid", "doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "id", "category"))).alias("claims"))
+    per_paper = t.claim.groupBy("pmid", "doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "id", "category"))).alias("claims"))
     paper = F.struct(F.struct(F.col("pmid").alias("source_id")).alias("source"), "claims")
     per_paper.groupBy(F.expr("doc_id div 20").alias("b")).agg(F.collect_list(paper).alias("papers")).select(
         F.lit("m").alias("model"), F.lit("v1").alias("prompt_version"), "papers").write.option("maxRecordsPerFile", 1).json(path)
@@ -484,7 +484,7 @@ def _k02(t):
     items = t.table("lineitem").join(t.table("supplier").selectExpr("s_suppkey AS l_suppkey", "s_nationkey"), "l_suppkey").selectExpr(
         "concat('N', s_nationkey) AS entity", "cast(l_partkey div 10 AS string) AS item", "cast(1 AS double) AS weight").distinct()
     items = cut_lineage(items)
-    pairs = S.jaccard_of_pairs(sharing_pairs(items).pairs, items)
+    pairs = S.jaccard_of_pairs(sharing_pairs(items), items)
     wide = sinks.matrix(S.similarity_matrix_rows(pairs, items, items.select("entity").distinct()), NATIONS)
     return wide.select("row", *[F.round(c, 6).alias(c) for c in NATIONS])
 

@@ -41,36 +41,27 @@ def brute_jaccard(sets, t):
 @pytest.mark.parametrize("seed,t", [(1, 0.2), (2, 0.35), (3, 0.6)])
 def test_similar_pairs_equal_brute_force(spark, seed, t):
     sets = weighted_sets(seed)
-    got = {(r.a, r.b): r.similarity for r in S.similar_pairs(frame(spark, sets), t).pairs.collect()}
+    got = {(r.a, r.b): r.similarity for r in S.similar_pairs(frame(spark, sets), t).collect()}
     want = brute_jaccard(sets, t)
     assert got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
-def test_wide_entities_keep_all_items(spark, monkeypatch):
-    monkeypatch.setattr(P, "WIDE_ENTITY", 3)
-    sets = weighted_sets(4)
-    got = {(r.a, r.b) for r in S.similar_pairs(frame(spark, sets), 0.3).pairs.collect()}
-    assert got == set(brute_jaccard(sets, 0.3))
+@pytest.mark.parametrize("block", [1, 3, 1000])
+def test_blocks_lose_no_pair(spark, block):
+    sets = weighted_sets(5)
+    items = frame(spark, sets)
+    want = {(a, b) for a in sets for b in sets if a < b and set(sets[a]) & set(sets[b])}
+    assert {(r.a, r.b) for r in P.sharing_pairs(items, block=block).collect()} == want
+    met = P.meetings(items, [], block).groupBy("item", F.least("x", "y"), F.greatest("x", "y")).count()
+    assert met.where("count > 1").isEmpty()
+    near = {(r.a, r.b) for r in P.sharing_pairs(P.prefix_items(items, 0.25), 0.25, block=block).collect()}
+    assert set(brute_jaccard(sets, 0.25)) <= near
 
 
-@pytest.mark.parametrize("seed", [5, 6, 7])
-def test_hubs_lose_no_pair(spark, seed):
-    """With a tiny hub limit every qualifying pair is a pair row or both sides are members of one star."""
-    sets = weighted_sets(seed)
-    found = S.similar_pairs(frame(spark, sets), 0.25, hub_limit=4)
-    got = {(r.a, r.b) for r in found.pairs.collect()}
-    stars = {}
-    for r in found.stars.collect():
-        stars.setdefault(r.item, set()).add(r.entity)
-    assert stars, "the fixture must have a hub"
-    want = set(brute_jaccard(sets, 0.25))
-    assert got <= want
-    missing = want - got
-    assert all(any(a in m and b in m for m in stars.values()) for a, b in missing)
-    items = frame(spark, sets)
-    reached = {(r.a, r.b) for r in P.partners_of(items.select("entity").distinct(), items).collect()}
-    assert missing <= reached
+def test_an_item_of_all_entities_still_gives_every_pair(spark):
+    items = spark.range(3_000).select(F.concat(F.lit("e"), "id").alias("entity"), F.lit("all").alias("item"), F.lit(1.0).alias("weight"))
+    assert P.sharing_pairs(items).count() == 3_000 * 2_999 // 2
 
 
 def test_projection_equals_brute_force(spark):
@@ -92,7 +83,7 @@ def test_projection_equals_brute_force(spark):
                     1 / freq[p] for p in by[a].get("phenotype", set()) & by[b].get("phenotype", set()))
                 if w >= 1 - 1e-9:
                     want[a, b] = w
-    got = {(r.a, r.b): r.weight for r in S.entity_projection(features).pairs.collect()}
+    got = {(r.a, r.b): r.weight for r in S.entity_projection(features).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
@@ -109,10 +100,3 @@ def test_ordinal_within_hot_key(spark):
 def test_first_by_limits_groups_before_the_shuffle(spark, capsys):
     first_by(spark.range(10).withColumn("k", F.col("id") % 2), ["k"], [F.asc("id")]).explain()
     assert "WindowGroupLimit" in capsys.readouterr().out
-
-
-def test_with_hubs_is_one_whole_table(spark):
-    items = spark.createDataFrame([(f"e{i}", "hub") for i in range(5)] + [("e0", "x"), ("e1", "x")], "entity string, item string")
-    out = P.with_hubs(P.sharing_pairs(items, hub_limit=3)).collect()
-    assert {(r.a, r.b) for r in out if r.hub is None} == {("e0", "e1")}
-    assert {r.a for r in out if r.hub == "hub"} == {f"e{i}" for i in range(5)}

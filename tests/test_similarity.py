@@ -47,7 +47,7 @@ def test_pair_connection_by_hand(spark):
 def test_all_connections_and_focus_agree(spark):
     features = spark.createDataFrame(FEATURES, "entity string, kind string, item string, support double")
     terms = spark.createDataFrame([("A", "t1", 2.0), ("B", "t1", 2.0)], "entity string, item string, weight double")
-    all_pairs = {(r.a, r.b): r.score for r in S.all_connections(features, terms).pairs.collect()}
+    all_pairs = {(r.a, r.b): r.score for r in S.all_connections(features, terms).collect()}
     focus = spark.createDataFrame([("A",)], "entity string")
     mine = {(r.a, r.b): r.score for r in S.connections_of(focus, features, terms).collect()}
     assert mine == {k: v for k, v in all_pairs.items() if "A" in k} and mine

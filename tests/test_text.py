@@ -64,3 +64,11 @@ def test_links_and_labels(spark):
     assert [x.label for x in links] == ["HGNC"]
     label = one(spark, X.node_label(F.lit("Disease"), F.lit("developmental and epileptic encephalopathy, 27"), F.lit("GRIN2B"), F.array(F.lit("DEE27")), none, none))
     assert label == "GRIN2B · DEE27"
+
+
+def test_mentions_are_caseless_and_entities_decoded(spark):
+    row = spark.createDataFrame([("Stra\u00dfe\x1cB \ufb01brosis", "Org &amp; Co &#8217;n&#x1F600; Espa&ntilde;a &lt;b&gt; &nope; & &#0; &amp;lt;")], "a string, b string").select(
+        X.norm_mention("a").alias("a"), X.unescape_html("b").alias("b"), X.is_blank(F.lit("\t\n \u00a0")).alias("c")).first()
+    assert row.a == "strasse b fibrosis"
+    assert row.b == "Org & Co \u2019n\U0001f600 Espa\u00f1a <b> &nope; & \ufffd &lt;"
+    assert row.c
