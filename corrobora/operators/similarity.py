@@ -51,9 +51,12 @@ def close_terms(annotations: DataFrame, closure: DataFrame) -> DataFrame:
     )
 
 
-def information_content(annotations: DataFrame, closure: DataFrame) -> DataFrame:
-    """term -> IC = -log2(n / N), n = annotated entities whose closed set has the term, N = annotated entities."""
-    closed = close_terms(annotations, closure)
+def information_content(annotations: DataFrame, closure: DataFrame | None = None, closed: DataFrame | None = None) -> DataFrame:
+    """term -> IC = -log2(n / N), n = annotated entities whose closed set has the term, N = annotated entities.
+
+    ``closed`` is the result of :func:`close_terms`, when it is at hand already.
+    """
+    closed = close_terms(annotations, closure) if closed is None else closed
     total = annotations.agg(F.count_distinct("entity").alias("_total"))
     return (
         closed.groupBy("term").agg(F.count(F.lit(1)).alias("n"))

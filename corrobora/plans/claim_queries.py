@@ -41,12 +41,12 @@ SPANS = """
 
 
 @query("t03_locate_span", """
-, q AS (SELECT doc_id, text, quote, strpos(text, quote) AS p FROM documents JOIN raw_line USING (doc_id) WHERE i<=3)
+, q AS (SELECT doc_id, text, quote, strpos(text, quote) AS p FROM documents JOIN raw_line USING (doc_id))
 SELECT doc_id, md5(quote) AS h, CASE WHEN trim(quote)='' THEN 'empty evidence' WHEN p=0 THEN 'quote not found verbatim'
  WHEN strpos(substr(text, CAST(p+1 AS INTEGER)), quote)>0 THEN 'ambiguous quote location; longer evidence required' END AS problem,
  CAST(p-1 AS INTEGER) AS start, CAST(p-1+length(quote) AS INTEGER) AS "end", count(*) AS n FROM q GROUP BY ALL""")
 def _t03(t):
-    lines = t.table("documents").select("doc_id", "text", F.posexplode(F.regexp_extract_all("text", F.lit(r"([^\n]+)"), 1)).alias("i", "quote")).filter("i < 3")
+    lines = t.table("documents").select("doc_id", "text", F.posexplode(F.regexp_extract_all("text", F.lit(r"([^\n]+)"), 1)).alias("i", "quote"))
     where = X.span("text", "quote")
     return lines.select("doc_id", F.md5("quote").alias("h"), X.span_problem("text", "quote").alias("problem"),
                         where["start"].alias("start"), where["end"].alias("end")).groupBy("doc_id", "h", "problem", "start", "end").agg(F.count(F.lit(1)).alias("n"))
@@ -383,7 +383,7 @@ def _promotable(t):
 
 def _base_edges(t):
     cols = ["edge_id", "src", "dst", "rel", "seq", "status", "source_tier"]
-    from_claims = t.claim.filter("relation = 'HAS_PHENOTYPE' AND pos <= 2").selectExpr(
+    from_claims = t.claim.filter("relation = 'HAS_PHENOTYPE'").selectExpr(
         "concat('B:', id) AS edge_id", "subject AS src", "object AS dst", "relation AS rel", "pos AS seq", "'hypothesis' AS status", "3 AS source_tier")
     return t.associated_with.select(*cols).unionByName(from_claims.select(*cols))
 
@@ -392,7 +392,7 @@ PROMO = """
 , pc AS (SELECT id, doc_id*1000+pos AS seq, subject AS src, object AS dst, relation AS rel, polarity, status, CAST(2+doc_id%2 AS INTEGER) AS tier FROM claim
  WHERE relation IN ('HAS_PHENOTYPE','ASSOCIATED_WITH') AND pos%3<>0),
 base AS (SELECT edge_id, src, dst, rel, num AS seq, status, source_tier FROM (SELECT a.*, o_orderkey AS num FROM associated_with a JOIN orders ON 'D'||o_orderkey=a.src)
- UNION ALL SELECT 'B:'||id, subject, object, relation, pos, 'hypothesis', 3 FROM claim WHERE relation='HAS_PHENOTYPE' AND pos<=2),
+ UNION ALL SELECT 'B:'||id, subject, object, relation, pos, 'hypothesis', 3 FROM claim WHERE relation='HAS_PHENOTYPE'),
 sup AS (SELECT src, dst, rel, min(seq) AS first, arg_min(tier, seq) AS tier, count(*) AS n FROM pc WHERE polarity='affirmed' AND status='observation' GROUP BY ALL),
 bl AS (SELECT *, row_number() OVER (PARTITION BY src,dst,rel ORDER BY seq, edge_id)=1 AS lead FROM base),
 ed AS (SELECT b.edge_id, b.src, b.dst, b.rel, CASE WHEN lead AND s.n IS NOT NULL AND status='hypothesis' THEN 'observation' ELSE status END AS status,
@@ -414,21 +414,21 @@ def _t22(t):
 
 
 def _curated(t):
-    return t.claim.filter("pos <= 2").selectExpr(
+    return t.claim.selectExpr(
         "subject AS disease", "CASE WHEN doc_id % 6 = 5 THEN 'MECH:other' WHEN pos = 1 THEN 'MECH:loss_of_function' ELSE 'MECH:gain_of_function' END AS mechanism",
         "CASE WHEN doc_id % 10 = 9 THEN 'PMID:none' ELSE pmid END AS source_id", "CASE WHEN doc_id % 7 = 3 THEN concat(quote, '~~') ELSE quote END AS quote",
         "CASE WHEN doc_id % 13 = 1 THEN ' ' ELSE 'curator' END AS reviewer", "doc_id", "pos")
 
 
 CUR = """
-, cur AS (SELECT subject AS disease, doc_id, pos, pmid, CASE WHEN pos=1 THEN 'MECH:loss_of_function' ELSE 'MECH:gain_of_function' END AS m,
+, cur AS (SELECT subject AS disease, doc_id, pos, pmid, quote, CASE WHEN pos=1 THEN 'MECH:loss_of_function' ELSE 'MECH:gain_of_function' END AS m,
  CASE WHEN doc_id%10=9 THEN 'unknown source' WHEN doc_id%7=3 THEN 'quote not found verbatim' WHEN subject NOT IN (SELECT id FROM disease) THEN 'unknown disease'
-  WHEN doc_id%6=5 THEN 'unknown mechanism' WHEN doc_id%13=1 THEN 'curated mechanism needs a reviewer' END AS reason FROM claim WHERE pos<=2)"""
+  WHEN doc_id%6=5 THEN 'unknown mechanism' WHEN doc_id%13=1 THEN 'curated mechanism needs a reviewer' END AS reason FROM claim)"""
 
 
 @query("t23_import_curated_mechanisms", CUR + """
 SELECT 'problem' AS what, disease AS a, reason AS b FROM cur WHERE reason IS NOT NULL
-UNION ALL SELECT 'INVOLVES', disease, m FROM cur WHERE reason IS NULL""")
+UNION ALL SELECT 'INVOLVES', disease, m FROM (SELECT DISTINCT pmid, disease, m, quote FROM cur WHERE reason IS NULL)""")
 def _t23(t):
     out = C.import_curated_mechanisms(_curated(t), _sources(t), t.disease, today())
     return out.problems.select(F.lit("problem").alias("what"), F.col("disease").alias("a"), F.col("reason").alias("b")).unionByName(
@@ -436,10 +436,10 @@ def _t23(t):
 
 
 @query("t24_verified_quote_mechanisms", """
-, r AS (SELECT 'D'||(doc_id%40) AS disease, 'MECH:'||(pos%2) AS mechanism, doc_id, pos, doc_id%7=3 AS broken FROM claim WHERE pos<=3)
+, r AS (SELECT 'D'||(doc_id%40) AS disease, 'MECH:'||(pos%2) AS mechanism, doc_id, pos, doc_id%7=3 AS broken FROM claim)
 SELECT disease, mechanism, count(*) AS n_quotes, count(DISTINCT doc_id) AS n_papers, bool_or(pos=3) AS variant_dependent FROM r WHERE NOT broken GROUP BY ALL""")
 def _t24(t):
-    rows = t.claim.filter("pos <= 3").selectExpr("concat('D', doc_id % 40) AS disease", "concat('MECH:', pos % 2) AS mechanism", "cast(doc_id AS string) AS pmid",
+    rows = t.claim.selectExpr("concat('D', doc_id % 40) AS disease", "concat('MECH:', pos % 2) AS mechanism", "cast(doc_id AS string) AS pmid",
         "CASE WHEN doc_id % 7 = 3 THEN concat(quote, '~~') ELSE quote END AS quote", "pos = 3 AS variant_dependent")
     abstracts = t.table("documents").selectExpr("cast(doc_id AS string) AS pmid", "source AS title", "'2026' AS year", "text AS abstract")
     papers = t.table("labels").selectExpr("concat('PMID:', doc_id) AS source_id", "concat('PAPER:', doc_id) AS id")

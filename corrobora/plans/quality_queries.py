@@ -153,7 +153,7 @@ def _r03(t):
 
 
 RANKED = """
-, lit AS (SELECT dst AS id, least(count(*)*5,10) AS p FROM (SELECT dst FROM about UNION ALL SELECT 'V'||(doc_id*10+1) FROM claim WHERE pos<=3) GROUP BY dst),
+, lit AS (SELECT dst AS id, least(count(*)*5,10) AS p FROM (SELECT dst FROM about UNION ALL SELECT 'V'||(doc_id*10+1) FROM claim) GROUP BY dst),
 mech AS (SELECT DISTINCT src AS id FROM disrupts),
 sv AS (SELECT v.*, CASE lower(classification) WHEN 'pathogenic' THEN 30 WHEN 'likely pathogenic' THEN 24 WHEN 'uncertain significance' THEN 9 WHEN 'benign' THEN 0 ELSE 6 END
  + CASE num%5 WHEN 0 THEN 15 WHEN 1 THEN 14 WHEN 2 THEN 11 WHEN 3 THEN 6 ELSE 1 END
@@ -168,7 +168,7 @@ ranked AS (SELECT * FROM (SELECT a.src AS disease, a.dst AS gene, v.id AS varian
 
 
 def _ranked(t):
-    claims = t.claim.filter("pos <= 3").selectExpr(
+    claims = t.claim.selectExpr(
         "concat('ABOUTV:', id) AS edge_id", "id AS src", "concat('V', doc_id * 10 + 1) AS dst", "'ABOUT' AS rel")
     edges = t.edges.select("edge_id", "src", "dst", "rel").unionByName(claims)
     return R.rank_variants(EvidenceGraph(t.nodes, edges), t.disease, t.variant, 5)

@@ -465,8 +465,8 @@ p AS MATERIALIZED (SELECT a, b FROM ov JOIN tot ta ON ta.entity=a JOIN tot tb ON
 tk AS (SELECT a, b, x.term, row_number() OVER (PARTITION BY a, b ORDER BY round(i.ic,9) DESC, x.term) AS r FROM p JOIN closed x ON x.entity=a JOIN closed y ON y.entity=b AND y.term=x.term JOIN ic i ON i.term=x.term)
 SELECT p.a, p.b, x.dst AS phenotype, tk.term IS NOT NULL AS informative FROM p JOIN hp x ON x.src=p.a JOIN hp y ON y.src=p.b AND y.dst=x.dst LEFT JOIN tk ON tk.a=p.a AND tk.b=p.b AND tk.term=x.dst AND tk.r<=3""")
 def _q28(t):
-    closure, closed = closed_terms(t)
-    ic = cut_lineage(S.information_content(t.annotation, closure).withColumn("ic", F.round("ic", 9)))
+    _, closed = closed_terms(t)
+    ic = cut_lineage(S.information_content(t.annotation, closed=closed).withColumn("ic", F.round("ic", 9)))
     pairs = cut_lineage(S.ic_jaccard(core_terms(t), 0.4))
     return Q.match_card(pairs, t.has_phenotype, S.top_shared_terms(pairs, closed, ic)).select("a", "b", "phenotype", "informative")
 

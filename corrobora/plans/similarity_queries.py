@@ -57,8 +57,8 @@ def closed_terms(t):
 
 def core_terms(t):
     """items(entity, item, ic weight) of every core disease."""
-    closure, closed = closed_terms(t)
-    ic = S.information_content(t.annotation, closure)
+    _, closed = closed_terms(t)
+    ic = S.information_content(t.annotation, closed=closed)
     core = t.disease.filter(~F.col("paper_scoped")).select(F.col("id").alias("entity"))
     return cut_lineage(S.weighted_terms(closed, ic).join(core, "entity", "left_semi"))
 
@@ -107,8 +107,8 @@ SELECT a, b, term, ic, rank FROM (SELECT a, b, x.term, round(i.ic,6) AS ic,
   CAST(row_number() OVER (PARTITION BY a,b ORDER BY round(i.ic,9) DESC, x.term) AS INTEGER) AS rank
   FROM sim JOIN closed x ON x.entity=a JOIN closed y ON y.entity=b AND y.term=x.term JOIN ic i ON i.term=x.term) WHERE rank<=3""")
 def _a04(t):
-    closure, closed = closed_terms(t)
-    ic = cut_lineage(S.information_content(t.annotation, closure).withColumn("ic", F.round("ic", 9)))
+    _, closed = closed_terms(t)
+    ic = cut_lineage(S.information_content(t.annotation, closed=closed).withColumn("ic", F.round("ic", 9)))
     pairs = S.ic_jaccard(core_terms(t), 0.5)
     return S.top_shared_terms(pairs, closed, ic).select("a", "b", "term", F.round("ic", 6).alias("ic"), "rank")
 
@@ -230,8 +230,8 @@ def _a15(t):
 
 
 def annotated(t) -> DataFrame:
-    closure, closed = closed_terms(t)
-    ic = cut_lineage(S.information_content(t.annotation, closure).withColumn("ic", F.round("ic", 9)))
+    _, closed = closed_terms(t)
+    ic = cut_lineage(S.information_content(t.annotation, closed=closed).withColumn("ic", F.round("ic", 9)))
     found = connections(t)
     pairs = cut_lineage(found)
     labelled = S.annotate_connections(pairs, t.phenotype.select("id", "name"), S.top_shared_terms(pairs, closed, ic))

@@ -345,10 +345,12 @@ def _g02(t):
     return G.add_edges(base, new.drop("edge_id")).select("edge_id")
 
 
-@query("g03_mechanism_nodes")
+@query("g03_mechanism_nodes", """
+SELECT v.id, 'Mechanism' AS type, v.name, n_claims FROM (VALUES ('MECH:loss_of_function', 'Loss of function'), ('MECH:gain_of_function', 'Gain of function')) v(id, name)
+LEFT JOIN (SELECT CASE WHEN pos=1 THEN 'MECH:loss_of_function' ELSE 'MECH:gain_of_function' END AS id, count(*) AS n_claims FROM claim GROUP BY 1) u ON u.id=v.id""")
 def _g03(t):
     """The vocabulary joined with the claims that name it; without claims there is no edge."""
-    used = t.claim.filter("pos <= 2").selectExpr("CASE WHEN pos = 1 THEN 'MECH:loss_of_function' ELSE 'MECH:gain_of_function' END AS id").groupBy("id").agg(F.count(F.lit(1)).alias("n_claims"))
+    used = t.claim.selectExpr("CASE WHEN pos = 1 THEN 'MECH:loss_of_function' ELSE 'MECH:gain_of_function' END AS id").groupBy("id").agg(F.count(F.lit(1)).alias("n_claims"))
     return G.mechanism_nodes(t.spark).join(used, "id", "left")
 
 
