@@ -136,7 +136,7 @@ def absent_vocabulary(graph: EvidenceGraph) -> DataFrame:
     expected = spark.createDataFrame(
         [("node", t) for t in NODE_TYPES] + [("edge", r) for r in EDGE_TYPES], "kind string, key string")
     present = graph_profile(graph).filter("kind <> 'unnamed'").select("kind", "key")
-    return expected.join(F.broadcast(present), ["kind", "key"], "left_anti")
+    return expected.join(present, ["kind", "key"], "left_anti")
 
 
 def provenance_summary(edges: DataFrame) -> DataFrame:
