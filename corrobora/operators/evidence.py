@@ -96,6 +96,17 @@ def quarantine(docs: DataFrame, columns: list[str]) -> Checked:
         flagged.select("source_id", F.lit("source quarantined").alias("reason"), "flags"))
 
 
+def drop_unsafe_chunks(entities: DataFrame, claims: DataFrame, entity_columns: list[str], claim_columns: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(entities, claims, rejected): a chunk goes with all its candidates when any of their texts trips the screen."""
+    key = ["source_id", "chunk_start"]
+    flagged = (
+        screen_text(entities, key, entity_columns).unionByName(screen_text(claims, key, claim_columns))
+        .filter(F.size("flags") > 0).select(*key).distinct()
+    )
+    keep = lambda df: df.join(flagged, key, "left_anti")
+    return keep(entities), keep(claims), flagged.withColumn("reason", F.lit("unsafe model output"))
+
+
 # ---------------------------------------------------------------- author metadata
 
 _HEADER = "(?s)^(Title: .*?)\nAbstract:\n"

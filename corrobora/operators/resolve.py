@@ -364,14 +364,14 @@ def orpha_code(entities: DataFrame, fallback: DataFrame) -> DataFrame:
 
 
 def match_communities(entities: DataFrame, communities: DataFrame) -> DataFrame:
-    """(entity, slug): the community's name equals a term, contains one longer than five characters, or contains
-    the gene as a whole word."""
+    """(entity, slug): the community's name equals a term or the gene, contains one of more than five characters
+    anywhere, or contains the gene as a whole word."""
     names = communities.select("slug", F.lower(F.coalesce(nonempty("name"), nonempty("default_name"), F.lit(""))).alias("text"))
-    terms = entity_terms(entities).select("entity", F.lower("term").alias("pattern")).distinct()
+    genes = entities.filter(F.length("gene") > 0).select("entity", F.lower("gene").alias("pattern")).distinct()
+    terms = entity_terms(entities).select("entity", F.lower("term").alias("pattern")).unionByName(genes).distinct()
     equal = terms.join(names, terms["pattern"] == names["text"]).select("entity", "slug")
     long_terms = terms.filter(F.length("pattern") > 5)
     contained = containment_pairs(long_terms, names).join(long_terms, "pattern").join(names, "text").select("entity", "slug")
-    genes = entities.filter(F.length("gene") > 0).select("entity", F.lower("gene").alias("pattern")).distinct()
     by_gene = (
         containment_pairs(genes, names).filter(whole_word("text", "pattern"))
         .join(genes, "pattern").join(names, "text").select("entity", "slug")

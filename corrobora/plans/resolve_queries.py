@@ -319,14 +319,14 @@ def _n26(t):
 
 
 @query("n27_match_communities", """
-, ent AS (SELECT c_custkey AS entity, 'disorder group '||c_custkey AS term, 'g'||c_custkey AS gene FROM customer),
-com AS (SELECT 'community-'||s_suppkey AS slug, CASE s_suppkey%3 WHEN 0 THEN 'disorder group '||s_suppkey WHEN 1 THEN 'the disorder group '||s_suppkey||' families' ELSE 'families of (g'||s_suppkey||')' END AS name FROM supplier)
-SELECT DISTINCT entity, slug FROM ent JOIN com ON contains(name, term) OR regexp_matches(name, '\\b'||gene||'\\b')""")
+, ent AS (SELECT c_custkey AS entity, 'disorder group '||c_custkey AS term, CASE WHEN c_custkey%2=0 THEN 'g'||c_custkey ELSE 'grinx'||c_custkey END AS gene FROM customer),
+com AS (SELECT 'community-'||s_suppkey AS slug, CASE s_suppkey%3 WHEN 0 THEN 'disorder group '||s_suppkey WHEN 1 THEN 'the disorder group '||s_suppkey||' families' ELSE CASE WHEN s_suppkey%2=0 THEN 'families of (g'||s_suppkey||')' ELSE 'the mygrinx'||s_suppkey||'foo group' END END AS name FROM supplier)
+SELECT DISTINCT entity, slug FROM ent JOIN com ON contains(name, term) OR regexp_matches(name, '\\b'||gene||'\\b') OR (length(gene)>5 AND contains(name, gene))""")
 def _n27(t):
-    entities = t.table("customer").selectExpr("c_custkey AS entity", "concat('Disorder group ', c_custkey) AS name", "array('DG') AS synonyms", "concat('G', c_custkey) AS gene")
+    entities = t.table("customer").selectExpr("c_custkey AS entity", "concat('Disorder group ', c_custkey) AS name", "array('DG') AS synonyms", "concat(CASE WHEN c_custkey % 2 = 0 THEN 'G' ELSE 'GRINX' END, c_custkey) AS gene")
     communities = t.table("supplier").selectExpr("concat('community-', s_suppkey) AS slug", "'' AS default_name",
         "CASE s_suppkey % 3 WHEN 0 THEN concat('Disorder Group ', s_suppkey) WHEN 1 THEN concat('The disorder group ', s_suppkey, ' families') "
-        "ELSE concat('Families of (G', s_suppkey, ')') END AS name")
+        "ELSE CASE WHEN s_suppkey % 2 = 0 THEN concat('Families of (G', s_suppkey, ')') ELSE concat('The myGRINX', s_suppkey, 'foo group') END END AS name")
     return N.match_communities(entities, communities)
 
 
