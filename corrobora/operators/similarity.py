@@ -203,6 +203,16 @@ def feature_table(graph: EvidenceGraph, claims: DataFrame, core_only: bool = Tru
     )
 
 
+def entity_spine(graph: EvidenceGraph, features: DataFrame) -> DataFrame:
+    """Every disease with its number of features of each kind; those without any have zeros."""
+    counts = features.groupBy(F.col("entity").alias("id")).agg(
+        *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in FEATURE_RELATIONS])
+    return (
+        graph.of_type("Disease").select("id").distinct().join(counts, "id", "left")
+        .na.fill(0, [f"n_{k}" for k in FEATURE_RELATIONS]).withColumnRenamed("id", "entity")
+    )
+
+
 def of_kind(features: DataFrame, kind: str) -> DataFrame:
     return features.filter(F.col("kind") == kind).select("entity", "item", F.col("support").alias("weight"))
 

@@ -139,6 +139,13 @@ def _a08(t):
     return S.feature_table(t.disease_graph, t.claim).withColumn("support", F.round("support", 6))
 
 
+@query("a08_entity_spine", """
+SELECT d.id AS entity, count(*) FILTER (f.kind='mechanism') AS n_mechanism, count(*) FILTER (f.kind='phenotype') AS n_phenotype, count(*) FILTER (f.kind='gene') AS n_gene
+FROM (SELECT DISTINCT id FROM disease) d LEFT JOIN features f ON f.entity=d.id GROUP BY d.id""")
+def _a08b(t):
+    return S.entity_spine(t.disease_graph, core_features(t))
+
+
 @query("a09_shared_feature_weight", f"""
 SELECT x.entity AS a, y.entity AS b, round(sum(x.weight),6) AS weight, count(*) AS n_shared
 FROM rarity x JOIN rarity y ON x.item=y.item AND x.entity<y.entity GROUP BY ALL HAVING count(*)>=2""")

@@ -9,6 +9,7 @@ import glob
 import math
 import os
 import sys
+import tempfile
 import time
 from collections import Counter
 
@@ -64,7 +65,7 @@ def main():
     spark = (
         SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false").config("spark.driver.memory", "12g").config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        .config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="oracle-checkpoint-")).getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     con, queries, oracles = connect(sf), entry.queries(), entry.oracle_sql()
