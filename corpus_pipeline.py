@@ -9,17 +9,20 @@ from pyspark.sql import functions as F
 
 from corrobora.llm import decontaminate, mixing, near_dedup, pii
 from corrobora.llm import toxicity as tox
+from corrobora.llm.tables import small_batches
 from corrobora.session import checkpoint_dir
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the learned lexicon rates toxic go."""
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~tox.held_out(F.col("doc_id")))
     return tox.drop_toxic(docs, tox.learn_lexicon(docs, labels))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
+    small_batches(spark)
     return near_dedup.drop_near_duplicates(docs)
 
 
@@ -30,6 +33,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in the texts is replaced by its kind."""
+    small_batches(spark)
     return pii.redact_documents(docs, pii.train_skip_chain(docs))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,6 +12,16 @@ from corrobora.session import cut_lineage
 SMALL_ROWS = 1_000_000
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Sends at most ``rows`` rows at a time to Python tasks of this session, unless the session says otherwise already.
+
+    Texts are long, so the default of 10,000 rows would hold tens of megabytes several times over in every task.
+    """
+    name, usual = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+    if spark.conf.get(name, usual) == usual:
+        spark.conf.set(name, str(rows))
+
+
 def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     """``df`` with a broadcast hint when a count proves that it has at most ``rows`` rows, else ``df`` itself.
 
