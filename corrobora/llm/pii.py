@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corrobora.llm.tables import sample_by_hash
+
 KINDS = ("email", "ip", "card", "phone")
 OTHER = len(KINDS)
 
@@ -186,17 +188,19 @@ def find_spans(text: str | None, model: SkipChain | None, sure: float = 0.95) ->
     return base, sorted(base + added)
 
 
-def train_skip_chain(docs: DataFrame, sample: int = 2_000, steps: int = 300) -> SkipChain:
-    """Fits the field by pseudo-likelihood on ``sample`` texts with a digit or @, the first by hash (a bounded sample).
+def train_skip_chain(docs: DataFrame, sample: int = 2_000, longest: int = 20_000, steps: int = 300) -> SkipChain:
+    """Fits the field by pseudo-likelihood on ``sample`` texts with a digit or @, the first by hash.
+
+    The sample is bounded in rows and, by leaving texts of over ``longest`` characters out of training, in bytes.
 
     The fixed patterns label the tokens; every node is fitted given the labels of its neighbours. Node features leave
     out what the patterns check exactly, so the field generalises to near forms, and repeats pull each other along.
     Edge cases: no such texts give a field that labels nothing.
     """
     texts = docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
-    rows = texts.where(F.col("text").rlike("[0-9@]")).orderBy(F.xxhash64("text"), "text").limit(sample).collect()
+    rows = sample_by_hash(texts.where((F.length("text") <= longest) & F.col("text").rlike("[0-9@]")), "text", sample).collect()
     labels, bits, target, chain_in, same_in, like_in = OTHER + 1, [], [], [], [], []
-    for row in rows:
+    for row in sorted(rows):
         nodes = _node_tokens(row.text, base_spans(row.text))
         if not nodes:
             continue

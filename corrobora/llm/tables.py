@@ -30,6 +30,16 @@ def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def sample_by_hash(df: DataFrame, column: str, rows: int) -> DataFrame:
+    """The ``rows`` distinct values of ``column`` with the smallest hashes: the same ones however the table is split.
+
+    Only hashes are ranked; the values themselves leave a task when their hash is below the rank's edge, copies once.
+    """
+    hashed = df.select(column, F.xxhash64(column).alias("_h"))
+    edge = hashed.select("_h").distinct().orderBy("_h").limit(rows).agg(F.max("_h")).first()[0]
+    return hashed.where(F.col("_h") <= F.lit(edge)).dropDuplicates(["_h"]).select(column)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once per row, however often ``body`` mentions it."""
     return F.transform(F.array(value), body)[0]

@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corrobora.llm.tables import small
+from corrobora.llm.tables import sample_by_hash, small
 from corrobora.session import cut_lineage
 
 #: Magic number of the skippable frame that holds the dictionary, and of a dictionary and a frame themselves.
@@ -156,8 +156,8 @@ def write_archives(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
         F.coalesce(F.col("html").cast("string").cast("binary"), F.lit("").cast("binary")).alias("payload"),
     )
-    sampled = base.select(F.substring("payload", 1, 1 << 16).alias("p")).orderBy(F.xxhash64("p"), "p").limit(sample).collect()
-    lead = train_dictionary([bytes(r.p) for r in sampled], dictionary_bytes)
+    sampled = sample_by_hash(base.select(F.substring("payload", 1, 1 << 16).alias("p")), "p", sample).collect()
+    lead = train_dictionary(sorted(bytes(r.p) for r in sampled), dictionary_bytes)
     owners = small(cut_lineage(roles(base, least_bytes)))
     rows = base.withColumn("digest", F.sha1("payload")).join(owners, "digest", "left").select(
         "page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("owner")), F.col("owner")).alias("refers_to")
