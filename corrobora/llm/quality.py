@@ -15,8 +15,12 @@ SYMBOLS = r"[^#*$%&|<>]+"
 FEATURES = ("f_length", "f_word", "f_symbol", "f_line", "f_repeat")
 SCALE = 1000.0
 #: Least standard deviations, same unit. Most texts have no symbols or repeats at all, so their plain spread is zero;
-#: the floors say how much of each is still ordinary: a tenth more symbols, half again as many repeated lines or words.
-FLOORS = {"f_length": 300.0, "f_word": 100.0, "f_symbol": 100.0, "f_line": 500.0, "f_repeat": 500.0}
+#: the floors say how much of each is still ordinary: a tenth more symbols, a third more repeated lines,
+#: half again as many repeated words.
+FLOORS = {"f_length": 300.0, "f_word": 100.0, "f_symbol": 100.0, "f_line": 300.0, "f_repeat": 500.0}
+#: Chi-square with one degree of freedom a feature: its median, its 99.9 % point, and the factor by which the covariance
+#: of the nearest three quarters of normal rows is too small.
+MEDIAN, OUTLIER, CONSISTENT = 4.3515, 20.515, 1.4128
 #: Distances are binned on a log scale, so a quantile needs this many counts per group at most.
 BINS_PER_E, LAST_BIN = 64, 2000
 
@@ -96,7 +100,7 @@ def _estimates(moments: DataFrame) -> DataFrame:
         out = out.withColumn(f"m_{f}", F.col(f"s_{f}") / F.col("n"))
     for i, f in enumerate(FEATURES):
         for j, g in enumerate(FEATURES[: i + 1]):
-            cov = F.col(f"p_{f}_{g}") / F.col("n") - F.col(f"m_{f}") * F.col(f"m_{g}")
+            cov = (F.col(f"p_{f}_{g}") / F.col("n") - F.col(f"m_{f}") * F.col(f"m_{g}")) * F.lit(CONSISTENT)
             for k in FEATURES[:j]:
                 cov = cov - F.col(f"l_{f}_{k}") * F.col(f"l_{g}_{k}")
             value = F.sqrt(F.greatest(cov, F.lit(FLOORS[f] ** 2))) if i == j else cov / F.col(f"l_{g}_{g}")
@@ -133,7 +137,7 @@ def _quantile_bins(binned: DataFrame, share: float) -> DataFrame:
 
 def robust_distances(rows: DataFrame, share: float = 0.75, steps: int = 4, least: int = 200) -> DataFrame:
     """Adds ``distance`` to ``rows`` (lang, source and the features): squared Mahalanobis distances under the
-    minimum-covariance-determinant estimate of each group, in units of its median.
+    minimum-covariance-determinant estimate of each group, in units of the chi-square median.
 
     Groups are language and source; those of fewer than ``least`` rows are pooled by language, and languages still
     below it together. The estimate starts from coordinate-wise medians and spreads; every concentration step keeps the
@@ -169,18 +173,16 @@ def robust_distances(rows: DataFrame, share: float = 0.75, steps: int = 4, least
         cuts = cut_lineage(_quantile_bins(binned, share))
         near = binned.join(small(cuts), "_group").where("_bin <= _cut").withColumnRenamed("_group", "_g")
         estimate = cut_lineage(_estimates(_moments(near, ["_g"])).withColumnRenamed("_g", "_group"))
-    measured = data.join(small(estimate), "_group").withColumn("_d", _distance())
-    median = _quantile_bins(measured.select("_group", _bin(F.col("_d")).alias("_bin")), 0.5)
-    scale = median.select("_group", F.greatest(F.exp((F.col("_cut") - 900) / F.lit(float(BINS_PER_E))), F.lit(1.0)).alias("_median"))
-    return measured.join(small(cut_lineage(scale)), "_group").withColumn("distance", F.col("_d") / F.col("_median"))
+    return data.join(small(estimate), "_group").withColumn("distance", _distance() / F.lit(MEDIAN))
 
 
-def quality(docs: DataFrame, cutoff: float = 100.0, **options) -> DataFrame:
+def quality(docs: DataFrame, cutoff: float = OUTLIER / MEDIAN, **options) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance) per row of ``docs``.
 
     ``base_failed``: under 50 words, or more than half of the words in repeated 3-word windows. Of the others, those
-    whose robust distance exceeds ``cutoff`` times their group's median are not kept. Groups are estimated on the rows
-    that pass the base rules; failed rows have no distance.
+    whose robust distance exceeds ``cutoff`` are not kept; the default is the 99.9 % point of chi-square with one degree
+    of freedom a feature, so it does not depend on the table. Groups are estimated on the rows that pass the base rules;
+    failed rows have no distance.
 
     Edge cases: null text counts as empty and fails; null language or source is a group of its own; repeated rows are
     rows; statistics without spread get a floor; empty input gives no rows. Other columns are ignored.

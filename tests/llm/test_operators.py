@@ -411,6 +411,22 @@ def test_distances_follow_the_minimum_covariance_determinant(spark):
         assert np.corrcoef(np.log(d[clean]), np.log(ours[clean]))[0, 1] > 0.98
 
 
+def test_every_feature_rejects_on_its_own(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, " ".join(f"w{x:04d}" for x in rng.permutation(10_000)[: int(n)]), "en", "a") for i, n in enumerate(rng.integers(80, 400, 400))]
+    fresh = lambda size, n=200: [f"{x:0{size}d}" for x in rng.permutation(10_000)[:n]]
+    planted = {
+        1000: " ".join(fresh(5) + ["lorem ipsum dolor sit amet"] * 14),  # 70 of 270 words repeated
+        1001: " ".join(fresh(15)),
+        1002: "\n".join(w for i, x in enumerate(fresh(5)) for w in ([x, "same"] if i % 4 == 0 else [x])),
+        1003: " ".join(fresh(5)) + " #" * 30,
+        1004: " ".join(f"w{x:06d}" for x in range(60_000)),
+    }
+    found = {r.doc_id: r for r in quality.quality(make_docs(spark, rows + [(i, t, "en", "a") for i, t in planted.items()])).collect()}
+    assert not any(found[i].base_failed or found[i].kept for i in planted), [(i, found[i]) for i in planted]
+    assert sum(found[i].kept for i in range(400)) >= 396
+
+
 # -- 1: URL rules --------------------------------------------------------------------------------------------------
 
 
