@@ -18,6 +18,7 @@ SCALE = 1000.0
 #: the floors say how much of each is still ordinary: a tenth more symbols, a third more repeated lines,
 #: half again as many repeated words.
 FLOORS = {"f_length": 300.0, "f_word": 100.0, "f_symbol": 100.0, "f_line": 300.0, "f_repeat": 500.0}
+PAIRS = tuple((f, g) for i, f in enumerate(FEATURES) for g in FEATURES[: i + 1])
 #: Chi-square with one degree of freedom a feature: its median, its 99.9 % point, and the factor by which the covariance
 #: of the nearest three quarters of normal rows is too small.
 MEDIAN, OUTLIER, CONSISTENT = 4.3515, 20.515, 1.4128
@@ -87,26 +88,49 @@ def _features() -> dict[str, Column]:
     return {k: F.round(v * SCALE) for k, v in exact.items()}
 
 
-def _moments(rows: DataFrame, group: list[str], prefix: str = "") -> DataFrame:
+def _moments(rows: DataFrame, group: list[str]) -> DataFrame:
     sums = [F.sum(f).alias(f"s_{f}") for f in FEATURES]
-    products = [F.sum(F.col(f) * F.col(g)).alias(f"p_{f}_{g}") for i, f in enumerate(FEATURES) for g in FEATURES[: i + 1]]
+    products = [F.sum(F.col(f) * F.col(g)).alias(f"p_{f}_{g}") for f, g in PAIRS]
     return rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), *sums, *products)
 
 
-def _estimates(moments: DataFrame) -> DataFrame:
+def _centres(moments: DataFrame) -> DataFrame:
+    """Mean and consistency-corrected covariance of every group."""
+    means = [(F.col(f"s_{f}") / F.col("n")).alias(f"m_{f}") for f in FEATURES]
+    covs = [
+        ((F.col(f"p_{f}_{g}") / F.col("n") - F.col(f"s_{f}") / F.col("n") * (F.col(f"s_{g}") / F.col("n"))) * F.lit(CONSISTENT)).alias(f"c_{f}_{g}")
+        for f, g in PAIRS
+    ]
+    return moments.select("_group", *means, *covs)
+
+
+def _factors(centres: DataFrame) -> DataFrame:
     """Mean and Cholesky factor of the covariance, column by column; no standard deviation is below its floor."""
-    out = moments
-    for f in FEATURES:
-        out = out.withColumn(f"m_{f}", F.col(f"s_{f}") / F.col("n"))
+    out = centres
     for i, f in enumerate(FEATURES):
         for j, g in enumerate(FEATURES[: i + 1]):
-            cov = (F.col(f"p_{f}_{g}") / F.col("n") - F.col(f"m_{f}") * F.col(f"m_{g}")) * F.lit(CONSISTENT)
+            cov = F.col(f"c_{f}_{g}")
             for k in FEATURES[:j]:
                 cov = cov - F.col(f"l_{f}_{k}") * F.col(f"l_{g}_{k}")
             value = F.sqrt(F.greatest(cov, F.lit(FLOORS[f] ** 2))) if i == j else cov / F.col(f"l_{g}_{g}")
             out = out.withColumn(f"l_{f}_{g}", value)
-    keep = [c for c in out.columns if c.startswith(("m_", "l_"))]
-    return out.select(*[c for c in moments.columns if c.startswith("_g")], *keep)
+    return out.select("_group", *[c for c in out.columns if c.startswith(("m_", "l_"))])
+
+
+def _shrunk(groups: DataFrame, centres: DataFrame, like: float) -> DataFrame:
+    """The centres of every group of ``groups``, drawn to those of its language and, through them, to those of all rows.
+
+    ``n / (n + like)`` is the weight of a group's own centre, so a row more or less never switches the estimate.
+    """
+    own, lang = F.col("_n1") / (F.col("_n1") + F.lit(like)), F.col("_n2") / (F.col("_n2") + F.lit(like))
+    levels = [("_group", own), ("_wider", (1 - own) * lang), ("_all", (1 - own) * (1 - lang))]
+    parts = groups.select("_group", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("level"), F.col(c).alias("of"), w.alias("weight")) for i, (c, w) in enumerate(levels)
+    ])).alias("_part")).select(F.col("_group").alias("_own"), "_part.*")
+    values = [c for c in centres.columns if c != "_group"]
+    met = parts.join(small(centres), parts["of"] == centres["_group"])
+    at = lambda c, i: F.max(F.when(F.col("level") == i, F.col("weight") * F.col(c)))  # noqa: E731  added in one order
+    return met.groupBy("_own").agg(*[(at(c, 0) + at(c, 1) + at(c, 2)).alias(c) for c in values]).withColumnRenamed("_own", "_group")
 
 
 def _distance() -> Column:
@@ -135,26 +159,28 @@ def _quantile_bins(binned: DataFrame, share: float) -> DataFrame:
     return ran.where(F.col("_upto") >= F.lit(share) * F.col("_all")).groupBy("_group").agg(F.min("_bin").alias("_cut"))
 
 
-def robust_distances(rows: DataFrame, share: float = 0.75, steps: int = 4, least: int = 200) -> DataFrame:
+def robust_distances(rows: DataFrame, share: float = 0.75, steps: int = 4, like: float = 50.0) -> DataFrame:
     """Adds ``distance`` to ``rows`` (lang, source and the features): squared Mahalanobis distances under the
     minimum-covariance-determinant estimate of each group, in units of the chi-square median.
 
-    Groups are language and source; those of fewer than ``least`` rows are pooled by language, and languages still
-    below it together. The estimate starts from coordinate-wise medians and spreads; every concentration step keeps the
+    Groups are language and source. Each has an estimate of its own, as has each language and the whole table; a group
+    of n rows counts n / (n + ``like``) against its language, and a language likewise against the table, so group sizes
+    switch nothing. Estimates start from coordinate-wise medians and spreads; every concentration step keeps the
     ``share`` of rows nearest to the current estimate and takes mean and covariance anew, which lowers the determinant.
     Quantiles come from counts over distance bins, so they are exact to 1.6 % and no group is sorted in one task.
     """
-    own, pool = F.count(F.lit(1)), F.lit(least)
+    own = F.count(F.lit(1))
     by_source = rows.groupBy("lang", "source").agg(own.alias("_n1"))
     by_lang = rows.groupBy("lang").agg(own.alias("_n2"))
-    groups = by_source.join(by_lang, by_source["lang"].eqNullSafe(by_lang["lang"])).select(
-        by_source["lang"].alias("_lang"), by_source["source"].alias("_source"),
-        F.when(F.col("_n1") >= pool, F.xxhash64(by_source["lang"], by_source["source"], F.lit("s")))
-        .when(F.col("_n2") >= pool, F.xxhash64(by_source["lang"], F.lit("l"))).otherwise(F.lit(0)).alias("_group"),
-    )
-    groups = small(cut_lineage(groups))
-    data = rows.join(groups, rows["lang"].eqNullSafe(F.col("_lang")) & rows["source"].eqNullSafe(F.col("_source"))).drop("_lang", "_source")
-    data = cut_lineage(data)
+    key = lambda *parts: F.xxhash64(*[x for p in parts for x in (p.isNull(), p)], F.lit(len(parts)))
+    groups = cut_lineage(by_source.join(by_lang, by_source["lang"].eqNullSafe(by_lang["lang"])).select(
+        by_source["lang"].alias("_lang"), by_source["source"].alias("_source"), "_n1", "_n2",
+        key(by_source["lang"], by_source["source"]).alias("_group"), key(by_source["lang"]).alias("_wider"),
+        F.lit(0).cast("long").alias("_all"),
+    ))
+    on = rows["lang"].eqNullSafe(F.col("_lang")) & rows["source"].eqNullSafe(F.col("_source"))
+    judged = cut_lineage(rows.join(small(groups.drop("_n1", "_n2")), on).drop("_lang", "_source"))
+    data = cut_lineage(judged.select(F.explode(F.array("_group", "_wider", "_all")).alias("_group"), *FEATURES))
 
     centre = None
     for f in FEATURES:  # medians and spreads per coordinate, from counts of the whole-number features
@@ -168,12 +194,18 @@ def robust_distances(rows: DataFrame, share: float = 0.75, steps: int = 4, least
         for g in FEATURES[:i]:
             centre = centre.withColumn(f"l_{f}_{g}", F.lit(0.0))
     estimate = cut_lineage(centre)
-    for _ in range(steps):
+    for step in range(steps):
         binned = data.join(small(estimate), "_group").withColumn("_bin", _bin(_distance())).select("_group", *FEATURES, "_bin")
         cuts = cut_lineage(_quantile_bins(binned, share))
-        near = binned.join(small(cuts), "_group").where("_bin <= _cut").withColumnRenamed("_group", "_g")
-        estimate = cut_lineage(_estimates(_moments(near, ["_g"])).withColumnRenamed("_g", "_group"))
-    return data.join(small(estimate), "_group").withColumn("distance", _distance() / F.lit(MEDIAN))
+        near = binned.join(small(cuts), "_group").where("_bin <= _cut")
+        centres = cut_lineage(_centres(_moments(near, ["_group"])))
+        if step == steps - 1:
+            centres = _shrunk(groups, centres, like)
+        estimate = cut_lineage(_factors(centres))
+    return (
+        judged.drop("_wider", "_all").join(small(estimate), "_group")
+        .withColumn("distance", _distance() / F.lit(MEDIAN))
+    )
 
 
 def quality(docs: DataFrame, cutoff: float = OUTLIER / MEDIAN, **options) -> DataFrame:

@@ -427,6 +427,17 @@ def test_every_feature_rejects_on_its_own(spark):
     assert sum(found[i].kept for i in range(400)) >= 396
 
 
+def test_group_sizes_switch_no_estimate(spark):
+    x = np.random.default_rng(13).normal(size=(1000, 5)) * 400
+
+    def distance(n):
+        rows = [("en", "a", *map(float, np.round(r + 8000))) for r in x[:n]] + [("en", "b", *map(float, np.round(r + 4000))) for r in x[200:]]
+        df = spark.createDataFrame(rows, "lang string, source string, " + ", ".join(f"{f} double" for f in quality.FEATURES))
+        return np.median([r.distance for r in quality.robust_distances(df).where("source = 'a'").collect()])
+
+    assert distance(199) < 1.2 * distance(200)
+
+
 # -- 1: URL rules --------------------------------------------------------------------------------------------------
 
 
