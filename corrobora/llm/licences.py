@@ -79,12 +79,12 @@ def _index(rare: DataFrame) -> DataFrame:
     return weighed.withColumn("mass", F.sum("idf").over(Window.partitionBy("template")))
 
 
-def scan_licences(docs: DataFrame, top: int = 12, share: float = 0.6) -> DataFrame:
+def scan_licences(docs: DataFrame, share: float = 0.6) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score), one row per row of ``docs``.
 
     * Base: places of the fixed phrases, on whole texts.
-    * Index: a file's ``top`` licence words of highest inverse document frequency, counted over all documents, look up
-      the positional postings of the wordings. Postings that agree on the relative position vote with their frequency;
+    * Index: every licence word of a file looks up the positional postings of the wordings; the list is a fixed table,
+      so this is bounded. Postings that agree on the relative position vote with the word's inverse document frequency;
       a wording is a candidate when ``share`` of its votes agree, and is labelled when its mandatory phrase is there.
     * ``score``: 1 with a base label, else the best labelled wording's share of votes, else 0.
 
@@ -119,9 +119,8 @@ def scan_licences(docs: DataFrame, top: int = 12, share: float = 0.6) -> DataFra
     idf = cut_lineage(per_word.select("word", F.log((F.lit(float(total)) + 1.0) / F.col("_df")).alias("idf")))
     index = small(cut_lineage(_index(idf)))
     words = marked.join(F.broadcast(idf), "word")  # one row per licence word
-    ranked = words.withColumn("_rank", F.dense_rank().over(Window.partitionBy("_row").orderBy(F.col("idf").desc(), "word")))
     votes = (
-        ranked.where(F.col("_rank") <= top).select("_row", "word", "pos").join(index, "word")
+        words.select("_row", "word", "pos").join(index, "word")
         .select("_row", "template", "label", "key", "mass", "tpos", "idf", (F.col("pos") - F.col("tpos")).alias("_shift")).distinct()
         .groupBy("_row", "template", "label", "key", "mass", "_shift").agg(F.sum("idf").alias("_agree"))
         .where(F.col("_agree") >= F.lit(share) * F.col("mass"))

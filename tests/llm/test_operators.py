@@ -362,6 +362,13 @@ def test_licence_scan(spark, docs, edge, empty):
     assert licences.scan_licences(empty).count() == 0
 
 
+def test_a_file_keeps_the_labels_of_all_its_licences(spark):
+    texts = [". ".join(text for _, text, _ in licences.TEMPLATES), licences.TEMPLATES[1][1] + ". " + licences.TEMPLATES[14][1], "nothing here"]
+    given = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: set(filter(None, r.labels.split(","))) for r in licences.scan_licences(given).collect()}
+    assert found == {0: {label for label, _, _ in licences.TEMPLATES}, 1: {"mit", "bsd"}, 2: set()}
+
+
 # -- 9: quality ----------------------------------------------------------------------------------------------------
 
 
