@@ -21,9 +21,9 @@ def today():
 
 @query("a17_cluster")
 def _a17(t):
-    """Communities over the scored matches from 35 up."""
-    pairs = connections(t, 35.0).select("a", "b", F.col("score").alias("weight"))
-    return cluster(pairs, t.disease.filter("NOT paper_scoped"), max_levels=3, max_rounds=6)
+    """Communities over all scored matches (20 and up), moved until modularity gains nothing."""
+    pairs = connections(t, 20.0).select("a", "b", F.col("score").alias("weight"))
+    return cluster(pairs, t.disease.filter("NOT paper_scoped"))
 
 
 # ---------------------------------------------------------------- serving export

@@ -90,3 +90,15 @@ def test_clusters_two_cliques_and_isolated_nodes(spark):
     assert len({got[f"b{i}"] for i in range(1, 4)}) == 1 and got["b1"] == 1 and got["lone"] == 2
     assert modularity(pairs, out) > 0.3
     assert got == {r.id: r.cluster for r in cluster(pairs, nodes).collect()}
+
+
+def test_communities_use_all_matches_until_nothing_gains(spark, monkeypatch):
+    from corrobora.plans import serving_queries
+
+    scored = spark.createDataFrame([("d1", "d2", 21.0), ("d3", "d4", 50.0)], "a string, b string, score double")
+    disease = spark.createDataFrame([(f"d{i}", False) for i in range(1, 5)], "id string, paper_scoped boolean")
+    monkeypatch.setattr(serving_queries, "connections", lambda t, least: scored.where(f"score >= {least}"))
+    got = {r.id: r.cluster for r in serving_queries._a17(type("T", (), {"disease": disease})).collect()}
+    assert got["d1"] == got["d2"] != got["d3"] == got["d4"]
+    with pytest.raises(RuntimeError):
+        cluster(scored.withColumnRenamed("score", "weight"), disease, max_rounds=1)
