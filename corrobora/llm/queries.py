@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corrobora.llm import chat, decontaminate, licences, mixing, near_dedup, pii, quality, toxicity, url_rules, warc
+from corrobora.llm import chat, conv_trie, decontaminate, licences, mixing, near_dedup, ngram_join, oracles, pii, quality, resampling, toxicity, url_rules, warc
 from corrobora.llm.tables import small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +149,19 @@ SELECT doc_id, source, size, source_size, target, size * times AS taken,
 @query("op10_curriculum_mix", MIX_SQL)
 def op10(spark, sf_dir):
     return mixing.mix_plan(table(spark, sf_dir, "documents")).drop("positions")
+
+
+@query("op11_ngram_join", oracles.JOIN_SQL)
+def op11(spark, sf_dir):
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op12_target_resampling", oracles.RESAMPLE_SQL)
+def op12(spark, sf_dir):
+    scored = resampling.importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return resampling.draw(scored).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op13_conversation_trie", oracles.TRIE_SQL)
+def op13(spark, sf_dir):
+    return conv_trie.prefix_trie(table(spark, sf_dir, "conversations"))
