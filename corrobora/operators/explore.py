@@ -1,4 +1,4 @@
-"""Exploration queries over the serving graph: neighbourhoods, layers, shared hubs, search and cards.
+"""Exploration queries over the serving graph: neighbourhoods, layers, shared hubs and cards.
 
 Adjacency is undirected and by neighbour type. Cards are computed for all entities of a type at once, or for a
 ``focus(id)`` table; a client reads single rows from the result.
@@ -22,8 +22,6 @@ NOUNS = {"mechanism": ("mechanism", "mechanisms"), "family": ("gene family", "ge
 GROUP_FOCUS = [ORG_FOCUS[0][0], ORG_FOCUS[1][0], ORG_FOCUS[2][0], DEFAULT_FOCUS]
 DETAIL_TYPES = ["Phenotype", "Variant", "Claim", "Researcher", "Intervention", "Study", "Grant", "PatientOrg"]
 ACTIVE_STATUSES = ["RECRUITING", "NOT_YET_RECRUITING", "ENROLLING_BY_INVITATION", "ACTIVE_NOT_RECRUITING"]
-SEARCH_WEIGHTS = {"name": 3.0, "short": 2.0, "synonyms": 2.0, "aliases": 2.0, "full_name": 1.5, "protein_change": 1.5, "cdna_change": 1.0, "id": 1.0, "xrefs": 1.0, "statement": 0.5}
-SEARCH_CAPS = {"Disease": 5, "Gene": 4, "Phenotype": 5, "Mechanism": 3, "GeneGroup": 3, "Intervention": 3, "Study": 4, "Paper": 3, "Grant": 3, "Researcher": 3, "PatientOrg": 3, "Variant": 3}
 SYMPTOM_SCALE, LAYER_FACTOR = 40.0, 0.85
 
 
@@ -209,38 +207,6 @@ def org_sets(nodes: DataFrame) -> DataFrame:
     return sets.select(F.concat(F.lit("ORGSET:"), "focus").alias("id"), F.concat("_l", F.lit(" · "), F.col("n_members").cast("string")).alias("name"), "n_members")
 
 
-# ---------------------------------------------------------------- search
-
-
-def search(nodes: DataFrame, q: str, limit: int = 80) -> DataFrame:
-    """(type, id, field, matched, score, rank): best field of each node, capped per type.
-
-    A field scores 1 when equal, 0.9 as prefix, 0.75 as substring, else up to 0.6 by the closest word; the score is
-    multiplied with the weight of the field.
-    """
-    needle = q.strip().lower()
-    if len(needle) < 2:
-        return nodes.select("type", "id", F.lit("").alias("field"), F.lit("").alias("matched"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
-
-    def entry(field: str, weight: float) -> Column:
-        values = F.col(field) if dict(nodes.dtypes)[field].startswith("array") else F.array(field)
-        return F.transform(values, lambda v: F.struct(F.lit(field).alias("field"), F.lit(weight).alias("weight"), v.alias("value")))
-
-    entries = [entry(c, w) for c, w in SEARCH_WEIGHTS.items() if c in nodes.columns]
-    rows = nodes.select("type", "id", F.explode(F.concat(*[F.coalesce(e, F.expr("array()")) for e in entries])).alias("e")).select("type", "id", "e.*").filter("value is not null")
-    v, lit = F.lower("value"), F.lit(needle)
-    words = F.transform(F.split(v, r"[^\p{L}\p{N}]+"), lambda w: 1.0 - F.levenshtein(w, lit) / F.greatest(F.length(w), F.lit(len(needle))))
-    fuzzy = F.array_max(words)
-    score = F.when(v == lit, 1.0).when(v.startswith(needle), 0.9).when(F.contains(v, lit), 0.75).when(fuzzy >= 0.7, 0.6 * fuzzy)
-    best = rows.withColumn("score", score * F.col("weight")).filter("score is not null").groupBy("type", "id").agg(
-        F.max_by(F.struct("field", F.col("value").alias("matched"), "score"), F.struct("score", "field", "value")).alias("b")).select("type", "id", "b.*")
-    cap = F.lit(3)
-    for t, n in SEARCH_CAPS.items():
-        cap = F.when(F.col("type") == t, F.lit(n)).otherwise(cap)
-    top = top_by(best, ["type"], [F.desc("score"), F.asc("id")], max(SEARCH_CAPS.values())).filter(F.col("rank") <= cap)
-    return top.orderBy(F.desc("score"), "type", "id").limit(limit)
-
-
 # ---------------------------------------------------------------- cards
 
 

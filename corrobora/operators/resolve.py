@@ -23,30 +23,60 @@ def _strings(c) -> Column:
 # ---------------------------------------------------------------- substring joins
 
 
-def containment_pairs(patterns: DataFrame, texts: DataFrame) -> DataFrame:
-    """(pattern, text) for every distinct pattern that is a substring of a distinct text, as an equi-join.
+#: Windows are at most this long; longer ones would hardly be rarer.
+WIDEST = 64
+
+
+def _windows(text: Column, size: Column, piece: int = 256) -> Column:
+    """The hashes of all substrings of ``size`` characters. Long texts are cut into overlapping pieces first, because a
+    substring is found by counting characters from the start."""
+    n = F.length(text)
+    hashes = lambda t, last: F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.substring(t, i, size)))
+    one = hashes(text, n - size + 1)
+    pieces = F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1)), F.lit(piece)), lambda i: F.substring(text, i, F.lit(piece - 1) + size))
+    many = F.flatten(F.transform(pieces, lambda p: hashes(p, F.length(p) - size + 1)))
+    return F.when(n < size, F.expr("cast(array() AS array<bigint>)")).when(n <= piece, F.array_distinct(one)).otherwise(F.array_distinct(many))
+
+
+def containment_candidates(patterns: DataFrame, texts: DataFrame) -> DataFrame:
+    """(pattern, text_hash): a superset of the distinct texts that contain each distinct pattern, found without their text.
 
-    A text containing a pattern contains all of the pattern's 3-grams (or the whole pattern when it is shorter), in
-    particular the one that is rarest among the texts. Joining on that one gram and then verifying is exact, and a
-    gram that occurs everywhere is only used by patterns that have no rarer one.
+    A window is a substring as long as the largest power of two that the pattern holds. A text that contains the pattern
+    contains all its windows, so one missing window rules the pattern out, and the window that is rarest among the texts
+    leads to the candidates. Texts send hashes only, and only those that are a window of some pattern.
     """
-    grams = lambda c, n: F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, n if isinstance(n, Column) else F.lit(n)))
-    texts = texts.select("text").filter(F.length("text") > 0).distinct()
-    longest = texts.agg(F.max(F.length("text")))
-    patterns = patterns.select("pattern").filter((F.length("pattern") > 0) & (F.length("pattern") <= longest.scalar())).distinct()
-    every = F.array_distinct(F.concat(grams(F.col("text"), 1), grams(F.col("text"), 2), grams(F.col("text"), 3)))
-    text_grams = texts.select("text", F.explode(every).alias("gram"))
-    size = F.least(F.length("pattern"), F.lit(3))
-    pattern_grams = patterns.select("pattern", F.explode(F.array_distinct(grams(F.col("pattern"), size))).alias("gram"))
-    frequency = text_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("_df"))
+    size = F.least(F.lit(WIDEST), F.pow(F.lit(2.0), F.floor(F.log2(F.length("pattern")) + F.lit(1e-9)))).cast("int")
+    patterns = patterns.select("pattern").where(F.length("pattern") > 0).distinct().withColumn("size", size)
+    sizes = sorted(r[0] for r in patterns.select("size").distinct().collect())  # at most seven numbers
+    asked = patterns.select("pattern", "size", F.explode(_windows(F.col("pattern"), F.col("size"))).alias("window"))
+    wanted = asked.select("size", "window").distinct()
+    texts = texts.select("text").where(F.length("text") > 0).distinct()
+
+    def sized(n: int) -> Column:
+        return F.transform(_windows(F.col("text"), F.lit(n)), lambda w: F.struct(F.lit(n).alias("size"), w.alias("window")))
+
+    of_size = [sized(n) for n in sizes]
+    if not of_size:
+        return patterns.select("pattern", F.lit(0).cast("long").alias("text_hash")).limit(0)
+    held = texts.select(F.xxhash64("text").alias("text_hash"), F.explode(F.concat(*of_size)).alias("w")).select("text_hash", "w.*").join(wanted, ["size", "window"], "left_semi")
+    frequency = held.groupBy("size", "window").agg(F.count(F.lit(1)).alias("df"))
     rarest = (
-        pattern_grams.join(frequency, "gram", "left")
-        .groupBy("pattern").agg(F.min(F.struct(F.coalesce("_df", F.lit(0)).alias("df"), "gram")).alias("_m"))
-        .filter(F.col("_m.df") > 0)  # a gram that no text has rules the pattern out
-        .select("pattern", F.col("_m.gram").alias("gram"))
+        asked.join(frequency, ["size", "window"], "left").groupBy("pattern", "size")
+        .agg(F.min(F.struct("df", "window")).alias("m"), F.min(F.col("df").isNotNull()).alias("possible")).where("possible")
+        .select("pattern", "size", F.col("m.window").alias("window"))
     )
-    return rarest.join(text_grams, "gram").filter(F.contains("text", "pattern")).select("pattern", "text")
+    return rarest.join(held, ["size", "window"]).select("pattern", "text_hash").distinct()
+
+
+def containment_pairs(patterns: DataFrame, texts: DataFrame) -> DataFrame:
+    """(pattern, text) for every distinct pattern that is a substring of a distinct text.
+
+    Candidates come from :func:`containment_candidates`; their texts are joined once, by hash, and checked. Texts whose
+    hashes agree are all checked, so the result is exact. Null and empty patterns and texts pair with nothing.
+    """
+    found = containment_candidates(patterns, texts)
+    hashed = texts.select("text").where(F.length("text") > 0).distinct().withColumn("text_hash", F.xxhash64("text"))
+    return found.join(hashed, "text_hash").where(F.contains("text", "pattern")).select("pattern", "text")
 
 
 # ---------------------------------------------------------------- ontology names

@@ -11,6 +11,7 @@ from corrobora.operators import explore as Q
 from corrobora.operators import serve as E
 from corrobora.operators import similarity as S
 from corrobora.operators.cluster import cluster
+from corrobora.operators.search import build_index, search_all
 from corrobora.plans.registry import query
 from corrobora.plans.similarity_queries import PAIR_SQL, annotated, closed_terms, connections, core_terms
 from corrobora.session import cut_lineage
@@ -175,11 +176,42 @@ def _q01(t):
     return Q.neighbours(g, Q.core_entities(t.disease), ["Gene", "Study", "PatientOrg"]).groupBy("id", "nbr_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("q02_search")
-def _q02(t):
+SEARCH_SQL = r"""
+, named AS (SELECT id, type, name FROM nodes UNION ALL SELECT id, 'PatientOrg', name FROM org),
+val AS (SELECT DISTINCT type, id, field, weight, value FROM (
+  SELECT type, id, 'name' AS field, 3.0::DOUBLE AS weight, name AS value FROM named UNION ALL SELECT 'Disease', id, 'short', 2.0::DOUBLE, short FROM disease
+  UNION ALL SELECT type, id, 'synonyms', 2.0::DOUBLE, name||' syndrome' FROM named UNION ALL SELECT type, id, 'id', 1.0::DOUBLE, id FROM named) WHERE value IS NOT NULL),
+v AS MATERIALIZED (SELECT *, row_number() OVER () AS vid, list_distinct(list_filter(regexp_split_to_array(lower(value), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS held FROM val),
+vt AS MATERIALIZED (SELECT vid, unnest(held) AS term FROM v),
+q AS (SELECT query, list_distinct(list_filter(regexp_split_to_array(lower(query), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS words FROM (
+  SELECT replace(s_name, 'pp', 'p') AS query FROM supplier UNION SELECT 'urgnet disorder 7' UNION SELECT 'chan 12' UNION SELECT 'ORG disease' UNION SELECT 'syndrme blue' UNION SELECT 'x')
+  WHERE length(trim(query)) >= 2),
+qw AS MATERIALIZED (SELECT query, len(words) AS n, unnest(words) AS word FROM q),
+sim AS MATERIALIZED (SELECT * FROM (SELECT word, term, CASE WHEN word = term THEN 1.0::DOUBLE WHEN starts_with(term, word) THEN 0.9::DOUBLE WHEN length(word) >= 3 AND contains(term, word) THEN 0.75::DOUBLE
+  WHEN levenshtein(word, term) <= CASE WHEN length(word) < 4 THEN 0 WHEN length(word) < 8 THEN 1 ELSE 2 END
+    THEN 0.6::DOUBLE * (1.0::DOUBLE - levenshtein(word, term)::DOUBLE / greatest(length(word), length(term))) END AS s
+  FROM (SELECT DISTINCT word FROM qw), (SELECT DISTINCT term FROM vt)) WHERE s IS NOT NULL),
+hit AS (SELECT query, vid, any_value(n) AS n, sum(s) AS s FROM (SELECT query, n, qw.word, vid, max(s) AS s FROM qw JOIN sim ON sim.word = qw.word JOIN vt ON vt.term = sim.term GROUP BY ALL)
+  GROUP BY query, vid HAVING count(*) = any_value(n)),
+scored AS (SELECT query, type, id, field, value AS matched, round(weight * s / n * (0.5::DOUBLE + 0.5::DOUBLE * least(1.0::DOUBLE, n::DOUBLE / len(held))), 6) AS score FROM hit JOIN v USING (vid)),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY query, type, id ORDER BY score DESC, field DESC, matched DESC) = 1),
+shown AS (SELECT *, row_number() OVER (PARTITION BY query, type ORDER BY score DESC, id) AS rank FROM best
+  QUALIFY rank <= CASE type WHEN 'Disease' THEN 5 WHEN 'Phenotype' THEN 5 WHEN 'Gene' THEN 4 WHEN 'Study' THEN 4 ELSE 3 END)
+SELECT query, type, id, field, matched, score, CAST(rank AS INT) AS rank FROM shown QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, type, id) <= 80
+"""
+
+
+def search_nodes(t) -> DataFrame:
     nodes = t.nodes.select("id", "type", "name").unionByName(t.org.select("id", "type", "name"))
-    nodes = nodes.join(t.disease.select("id", "short"), "id", "left").withColumn("synonyms", F.array(F.concat("name", F.lit(" syndrome"))))
-    return Q.search(nodes, "urgent disorder")
+    return nodes.join(t.disease.select("id", "short"), "id", "left").withColumn("synonyms", F.array(F.concat("name", F.lit(" syndrome"))))
+
+
+@query("q02_search", SEARCH_SQL)
+def _q02(t):
+    """Misspelt names of all mechanisms, and a few queries of other kinds, against everything that has a name."""
+    some = t.spark.createDataFrame([(q,) for q in ("urgnet disorder 7", "chan 12", "ORG disease", "syndrme blue", "x")], "query string")
+    queries = t.table("supplier").select(F.replace("s_name", F.lit("pp"), F.lit("p")).alias("query")).unionByName(some)
+    return search_all(build_index(search_nodes(t)), queries)
 
 
 LENS = """

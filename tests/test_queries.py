@@ -31,7 +31,7 @@ def test_query_equals_sql(spark, duck, name):
 def test_registry_is_consistent():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     queries, oracles = all_queries(), ORACLES
-    assert set(queries) - set(oracles) == {"a17_cluster", "n18_suggest_candidates", "q02_search"}
+    assert set(queries) - set(oracles) == {"a17_cluster", "n18_suggest_candidates"}
 
 
 def test_entry(spark):
