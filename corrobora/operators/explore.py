@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corrobora.functions.text import DEFAULT_FOCUS, ORG_FOCUS
 from corrobora.model import EvidenceGraph
-from corrobora.operators.pairs import shared_items, sharing_pairs
+from corrobora.operators.pairs import meetings, shared_items
 from corrobora.session import cut_lineage, first_by, top_by
 
 # Fixed values.
@@ -162,19 +162,67 @@ def shared_hubs(links: DataFrame) -> DataFrame:
 
 def symptom_pairs(matches: DataFrame) -> DataFrame:
     """matches(a, b, score): strength = score / 40, at most 1."""
-    return matches.select("a", "b", F.lit("symptoms").alias("lens"), F.least(F.lit(1.0), F.col("score") / SYMPTOM_SCALE).alias("strength"), F.lit(1).cast("long").alias("n_items"))
+    return matches.select(
+        "a", "b", F.lit("symptoms").alias("lens"), F.least(F.lit(1.0), F.col("score") / SYMPTOM_SCALE).alias("strength"),
+        F.lit(1).cast("long").alias("n_items"), F.lit(None).cast("string").alias("first_item"))
+
+
+def _item_strength(n_items: Column) -> Column:
+    """One shared item 0.5, two 0.75, and so on."""
+    return 1.0 - F.pow(F.lit(0.5), n_items)
 
 
 def mode_pairs(links: DataFrame) -> DataFrame:
-    """Strength of every pair in every hub layer: one shared hub 0.5, two 0.75, and so on."""
-    items = cut_lineage(links.select(F.col("disease").alias("entity"), F.concat_ws("|", "lens", "hub").alias("item"), "lens"))
-    found = sharing_pairs(items.select("entity", "item"))
-    pairs = shared_items(found, items, ["lens"]).groupBy("a", "b", F.col("left_lens").alias("lens")).agg(F.count(F.lit(1)).alias("n_items"))
-    return pairs.withColumn("strength", 1.0 - F.pow(F.lit(0.5), F.col("n_items"))).select("a", "b", "lens", "strength", "n_items")
+    """(a, b, lens, strength, n_items, first_item): every pair in every hub layer, counted where its members meet."""
+    items = cut_lineage(links.select(F.col("disease").alias("entity"), F.concat_ws("|", "lens", "hub").alias("item"), "lens", "hub").distinct())
+    pairs = meetings(items, ["lens", "hub"]).groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.col("x_lens").alias("lens")).agg(
+        F.count(F.lit(1)).alias("n_items"), F.min("x_hub").alias("first_item"))
+    return pairs.select("a", "b", "lens", _item_strength(F.col("n_items")).alias("strength"), "n_items", "first_item")
+
+
+def layer_signatures(links: DataFrame) -> DataFrame:
+    """(lens, disease, hubs): the hubs of each disease in a layer as one sorted list.
+
+    Meant for layers with few hubs of many diseases each, such as bundles of organisations: diseases with equal lists are
+    tied to every other one in the same way, so the layer is told by its lists instead of by its pairs.
+    """
+    return links.groupBy("lens", "disease").agg(F.array_sort(F.collect_set("hub")).alias("hubs"))
+
+
+def signature_pairs(signatures: DataFrame) -> DataFrame:
+    """(lens, hubs_a, hubs_b, n_items, strength, n_pairs): how many disease pairs each two lists stand for.
+
+    The rows grow with the number of different lists, whatever the number of diseases; with ``layer_signatures`` they
+    give every pair of the layer once.
+    """
+    classes = signatures.groupBy("lens", "hubs").agg(F.count(F.lit(1)).alias("n"))
+    by_hub = classes.withColumn("hub", F.explode("hubs"))
+    left, right = (by_hub.select("lens", "hub", F.col("hubs").alias(f"hubs_{e}"), F.col("n").alias(f"n_{e}")) for e in "ab")
+    key = lambda c: F.concat_ws("|", c)
+    met = left.join(right, ["lens", "hub"]).where(key("hubs_a") <= key("hubs_b")).drop("hub").distinct()
+    inside = F.col("n_a") * (F.col("n_a") - 1) / 2
+    n_items = F.size(F.array_intersect("hubs_a", "hubs_b")).cast("long")
+    return met.select(
+        "lens", "hubs_a", "hubs_b", n_items.alias("n_items"), _item_strength(n_items).alias("strength"),
+        F.when(key("hubs_a") == key("hubs_b"), inside).otherwise(F.col("n_a") * F.col("n_b")).cast("long").alias("n_pairs"),
+    ).where("n_pairs > 0")
+
+
+def with_signatures(layers: DataFrame, signatures: DataFrame) -> DataFrame:
+    """``layers`` and, for each of its pairs, what the two diseases share in the layers told by ``signatures``."""
+    side = lambda e: signatures.select("lens", F.col("disease").alias(e), F.col("hubs").alias(f"hubs_{e}"))
+    shared = F.array_intersect("hubs_a", "hubs_b")
+    more = (
+        layers.select("a", "b").distinct().join(side("a"), "a").join(side("b"), ["b", "lens"])
+        .select("a", "b", "lens", F.size(shared).cast("long").alias("n_items"), F.array_min(shared).alias("first_item")).where("n_items > 0")
+    )
+    return layers.unionByName(more.withColumn("strength", _item_strength(F.col("n_items"))))
 
 
-def mode_counts(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("lens").agg(F.count(F.lit(1)).alias("n_pairs"))
+def mode_counts(pairs: DataFrame, classes: DataFrame | None = None) -> DataFrame:
+    """(lens, n_pairs) over pairs, and over the ``signature_pairs`` of layers that are told by lists."""
+    counts = pairs.groupBy("lens").agg(F.count(F.lit(1)).alias("n_pairs"))
+    return counts if classes is None else counts.unionByName(classes.groupBy("lens").agg(F.sum("n_pairs").alias("n_pairs")))
 
 
 def pair_layers(pairs: DataFrame, min_score: float) -> DataFrame:

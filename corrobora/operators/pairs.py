@@ -12,10 +12,15 @@ the work proportional to the answer and even over tasks, whatever the size of a
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corrobora.session import cut_lineage, top_by
+
 BLOCK = 1_000
 EPSILON = 1e-9
 
@@ -84,6 +89,47 @@ def sharing_pairs(
     return possible.filter((F.col("_first") >= -EPSILON) & (F.col("_w") >= F.col("_inside") - EPSILON)).select("a", "b")
 
 
+@dataclass(frozen=True)
+class Bound:
+    """What the overlap of a pair must reach: a Jaccard similarity, or a weight when ``absolute``."""
+
+    at_least: float
+    absolute: bool = False
+
+
+def tagged_pairs(items: DataFrame, bounds: dict[str, Bound], block: int = BLOCK) -> DataFrame:
+    """Distinct pairs a < b that can reach the bound of at least one kind; ``items(entity, kind, item, weight)``.
+
+    Items of all kinds are one table, keyed by kind and item: one pass finds the prefixes, one join lets them meet, and one
+    aggregation per pair holds the sums of every kind, against the same limits as in :func:`sharing_pairs`.
+    """
+    kind = F.col("kind")
+    pick = lambda of: reduce(lambda rest, k: F.when(kind == k, of(bounds[k])).otherwise(rest), bounds, F.lit(None).cast("double"))
+    floor = pick(lambda b: F.lit(float(b.at_least)) if b.absolute else F.col("total") * float(b.at_least))
+    freq = items.groupBy("kind", "item").agg(F.count(F.lit(1)).alias("_freq"))
+    sized = items.select("entity", "kind", "item", "weight").join(freq.where("_freq > 1"), ["kind", "item"], "left").withColumn("_freq", F.coalesce("_freq", F.lit(1)))
+    whole = Window.partitionBy("entity", "kind")
+    order = whole.orderBy(F.desc("_freq"), F.desc("item")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    kept = (
+        sized.withColumn("rest", F.sum("weight").over(order)).withColumn("total", F.sum("weight").over(whole))
+        .withColumn("_kept", F.col("rest") >= floor - F.lit(EPSILON))
+        .withColumn("tail", F.coalesce(F.max(F.when(~F.col("_kept"), F.col("rest"))).over(whole), F.lit(0.0)))
+        .where("_kept and _freq > 1").select("entity", "kind", F.concat_ws("|", "kind", "item").alias("item"), "weight", "rest", "total", "tail")
+    )
+    met = meetings(kept, ["kind", "weight", "rest", "total", "tail"], block).withColumn("kind", F.col("x_kind"))
+    needed = pick(lambda b: F.lit(float(b.at_least)) if b.absolute else (F.col("x_total") + F.col("y_total")) * (b.at_least / (1.0 + b.at_least)))
+    reach = met.select(
+        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "kind", F.least("x_weight", "y_weight").alias("w"),
+        (F.least("x_rest", "y_rest") - needed).alias("first"), (needed - F.greatest("x_tail", "y_tail")).alias("inside"),
+    )
+    of = lambda k, c: F.when(kind == k, F.col(c))
+    sums = [f(of(k, c)).alias(f"{c}_{k}") for k in bounds for f, c in ((F.sum, "w"), (F.max, "first"), (F.max, "inside"))]
+    possible = reduce(lambda x, y: x | y, [
+        F.coalesce((F.col(f"first_{k}") >= -EPSILON) & (F.col(f"w_{k}") >= F.col(f"inside_{k}") - EPSILON), F.lit(False)) for k in bounds
+    ])
+    return reach.groupBy("a", "b").agg(*sums).where(possible).select("a", "b")
+
+
 def shared_items(pairs: DataFrame, items: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """The items both sides of each pair have: one row (a, b, item, left_*, right_*) per shared item."""
     cols = keep or [c for c in items.columns if c not in ("entity", "item")]
@@ -105,3 +151,56 @@ def partners_of(focus: DataFrame, items: DataFrame) -> DataFrame:
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         .distinct()
     )
+
+
+def block_join(left: DataFrame, right: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(item, x, y, ...) for every ``left(item, x, ...)`` and ``right(item, y, ...)`` row of an item.
+
+    The right posting list of an item is cut into blocks of about ``block`` rows by hash and the left rows go to each of
+    them, so a list of any length is spread over as many tasks.
+    """
+    sizes = right.groupBy("item").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks"))
+    spread = left.join(sizes, "item").withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_blocks")
+    cut = right.join(sizes, "item").withColumn("_block", F.pmod(F.xxhash64("y"), F.col("_blocks")).cast("int")).drop("_blocks")
+    return spread.join(cut, ["item", "_block"]).drop("_block")
+
+
+def best_partners(items: DataFrame, k: int, width: int = 2, digits: int = 9, block: int = BLOCK) -> DataFrame:
+    """(entity, partner, overlap, n_shared, rank): the ``k`` partners each entity shares most with, so the output is linear.
+
+    ``items(entity, item, weight)`` without duplicates, the weight depending on the item alone; the overlap of a pair is
+    the sum of its shared weights, rounded to ``digits``; ties go to the smaller partner.
+
+    Every entity looks its items up rarest first, ``width`` of them in the first round and twice as many in each further
+    one. The overlap of its k-th best partner so far is its threshold, which only rises; once all that is left of its
+    items weighs less, no partner that was not met can matter and it looks up nothing more. So the posting lists of
+    widespread items are read only for entities whose best partners can be decided there.
+
+    Edge cases: items nobody shares are ignored; an entity that shares nothing has no row; an empty table gives none.
+    """
+    freq = items.groupBy("item").agg(F.count(F.lit(1)).alias("_freq")).where("_freq > 1")
+    back = Window.partitionBy("entity").orderBy(F.desc("_freq"), F.desc("item")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = Window.partitionBy("entity").orderBy(F.asc("_freq"), F.asc("item"))
+    ranked = cut_lineage(
+        items.select("entity", "item", "weight").join(freq, "item")
+        .select("entity", "item", "weight", F.sum("weight").over(back).alias("rest"), F.row_number().over(ahead).alias("pos"))
+    )
+    held = ranked.select("item", F.col("entity").alias("y"))
+    spark, found, at = items.sparkSession, None, 0
+    while True:
+        probe = ranked.where((F.col("pos") > at) & (F.col("pos") <= at + width))
+        if found is not None:
+            reached = found.where(F.col("rank") == k).select("entity", F.col("overlap").alias("_least"))
+            probe = probe.join(reached, "entity", "left").where(F.col("_least").isNull() | (F.col("rest") >= F.col("_least") - EPSILON))
+        probe = cut_lineage(probe.select("item", F.col("entity").alias("x")))
+        if probe.isEmpty():  # what is left beyond a place only shrinks, so no later place can matter either
+            break
+        met = block_join(probe, held, block).where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+        fresh = shared_items(met, ranked, ["weight"]).groupBy(F.col("a").alias("entity"), F.col("b").alias("partner")).agg(
+            F.round(F.sum("left_weight"), digits).alias("overlap"), F.count(F.lit(1)).alias("n_shared"))
+        if found is not None:
+            fresh = fresh.unionByName(found.drop("rank")).dropDuplicates(["entity", "partner"])
+        found = cut_lineage(top_by(fresh, ["entity"], [F.desc("overlap"), F.asc("partner")], k))
+        at, width = at + width, 2 * width
+    return found if found is not None else spark.createDataFrame(
+        [], f"entity {dict(items.dtypes)['entity']}, partner {dict(items.dtypes)['entity']}, overlap double, n_shared long, rank int")

@@ -9,7 +9,7 @@ from corrobora.model import (
     DAMPING, EVIDENCE_MIX, LINK_FLOOR, METHOD_WEIGHT, MIN_SCORE, PAIR_WEIGHTS, STATUS_WEIGHT,
     TIER_WEIGHT, EvidenceGraph, lookup,
 )
-from corrobora.operators.pairs import partners_of, prefix_items, shared_items, sharing_pairs
+from corrobora.operators.pairs import Bound, partners_of, prefix_items, shared_items, sharing_pairs, tagged_pairs
 from corrobora.session import cut_lineage, top_by
 
 
@@ -19,26 +19,23 @@ from corrobora.session import cut_lineage, top_by
 def ancestor_closure(parents: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """term -> itself and all its ancestors in a multi-parent DAG; ``parents(child, parent)``.
 
-    Semi-naive: each round only extends the pairs found in the round before and drops those already known, so a
-    cycle ends by itself. Rounds are cut by checkpoints; the number of rounds is the depth of the ontology.
+    Path doubling: every round joins the pairs found so far with themselves, so paths of twice the length are known after
+    it and the number of rounds is the logarithm of the depth. A cycle ends by itself, because only distinct pairs are
+    kept and the rounds end when their number stays. Every round reads a written table.
     """
     edges = parents.select("child", "parent").distinct()
     if terms is None:
         terms = edges.select(F.col("child").alias("term")).unionByName(edges.select(F.col("parent").alias("term")))
-    closed = cut_lineage(terms.select("term").distinct().withColumn("ancestor", F.col("term")))
-    frontier = closed
-    while True:
-        step = (
-            frontier.join(edges, frontier["ancestor"] == edges["child"])
-            .select("term", F.col("parent").alias("ancestor"))
-            .distinct()
-            .join(closed, ["term", "ancestor"], "left_anti")
-        )
-        frontier = cut_lineage(step)
-        if frontier.isEmpty():
+    above = cut_lineage(edges.select(F.col("child").alias("term"), F.col("parent").alias("ancestor")))
+    known = above.count()
+    while known:
+        further = above.select("term", F.col("ancestor").alias("via")).join(above.select(F.col("term").alias("via"), "ancestor"), "via")
+        above = cut_lineage(above.unionByName(further.select("term", "ancestor")).distinct())
+        before, known = known, above.count()
+        if known == before:
             break
-        closed = closed.unionByName(frontier)
-    return closed
+    itself = terms.select("term").distinct().withColumn("ancestor", F.col("term"))
+    return cut_lineage(above.join(terms.select("term").distinct(), "term", "left_semi").unionByName(itself).distinct())
 
 
 def close_terms(annotations: DataFrame, closure: DataFrame) -> DataFrame:
@@ -253,37 +250,45 @@ def shared_feature_support(pairs: DataFrame, items: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- pair scoring
 
 
-def connection_candidates(
-    features: DataFrame, terms: DataFrame, min_score: float = MIN_SCORE
-) -> DataFrame:
+def pair_items(features: DataFrame, terms: DataFrame) -> DataFrame:
+    """items(entity, kind, item, support, weight): features and closed terms of all entities in one long table.
+
+    ``weight`` is what the kind's overlap is counted in: the support of a mechanism, 1 for a gene, the rarity of a
+    phenotype, the information of a term.
+    """
+    rarity = feature_rarity(features).select("entity", "item", F.col("weight").alias("rarity"), F.lit("phenotype").alias("kind"))
+    weight = F.when(F.col("kind") == "mechanism", F.col("support")).when(F.col("kind") == "gene", F.lit(1.0)).otherwise(F.col("rarity"))
+    return (
+        features.join(rarity, ["entity", "item", "kind"], "left").select("entity", "kind", "item", "support", weight.alias("weight"))
+        .unionByName(terms.select("entity", F.lit("term").alias("kind"), "item", F.lit(None).cast("double").alias("support"), "weight"))
+    )
+
+
+def connection_candidates(items: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """A superset of the pairs whose final score can reach ``min_score``, far smaller than all sharing pairs.
 
     The raw score is a weighted mean of the present parts and the other factors are at most 1, so one part must
     reach t = min_score / 100. For the phenotype part that means either a meaningful link (shared rarity of at
-    least the link floor) or, because it is damped otherwise, an IC similarity of t / damping.
+    least the link floor) or, because it is damped otherwise, an IC similarity of t / damping. All four kinds of
+    ``pair_items`` meet in one join of their prefixes, each under its own bound.
     """
     t = (min_score - 0.005) / 100.0
-    near = lambda items, at: sharing_pairs(prefix_items(items, at), at)
-    mechanism = near(of_kind(features, "mechanism"), t)
-    genes = near(of_kind(features, "gene").withColumn("weight", F.lit(1.0)), t)
-    rare = sharing_pairs(prefix_items(feature_rarity(features), LINK_FLOOR, absolute=True), min_overlap=LINK_FLOOR)
-    alike = near(terms, min(1.0, t / DAMPING))
-    return mechanism.unionByName(genes).unionByName(rare).unionByName(alike).distinct()
-
-
-def pair_connection(pairs: DataFrame, features: DataFrame, terms: DataFrame) -> DataFrame:
-    """The full connection record of each given pair."""
-    rarity = feature_rarity(features).withColumnRenamed("weight", "rarity")
-    enriched = features.join(
-        rarity.withColumn("kind", F.lit("phenotype")), ["entity", "item", "kind"], "left"
-    )
-    is_m, is_g, is_p = (F.col("left_kind") == k for k in ("mechanism", "gene", "phenotype"))
+    return tagged_pairs(items, {
+        "mechanism": Bound(t), "gene": Bound(t), "phenotype": Bound(LINK_FLOOR, absolute=True), "term": Bound(min(1.0, t / DAMPING)),
+    })
+
+
+def pair_connection(pairs: DataFrame, features: DataFrame, terms: DataFrame, items: DataFrame | None = None) -> DataFrame:
+    """The full connection record of each given pair; ``items`` is ``pair_items`` when it is at hand."""
+    items = pair_items(features, terms) if items is None else items
+    is_m, is_g, is_p, is_t = (F.col("left_kind") == k for k in ("mechanism", "gene", "phenotype", "term"))
     mean_support = F.sqrt(F.col("left_support") * F.col("right_support"))
     low_support = F.least("left_support", "right_support")
-    names = lambda cond: F.array_sort(F.collect_list(F.when(cond, F.col("item"))))
+    own = F.expr("substring(item, length(left_kind) + 2)")
+    names = lambda cond: F.array_sort(F.collect_list(F.when(cond, own)))
+    tagged = items.withColumn("item", F.concat_ws("|", "kind", "item"))
     shared = (
-        shared_items(pairs, enriched, ["kind", "support", "rarity"])
-        .filter(F.col("left_kind") == F.col("right_kind"))
+        shared_items(pairs, tagged, ["kind", "support", "weight"])
         .groupBy("a", "b")
         .agg(
             names(is_m).alias("shared_mechanisms"),
@@ -295,26 +300,23 @@ def pair_connection(pairs: DataFrame, features: DataFrame, terms: DataFrame) ->
             F.count(F.when(is_g, 1)).alias("_g_n"),
             F.count(F.when(is_p, 1)).alias("_p_n"),
             F.sum(F.when(is_p, low_support)).alias("_p_min"),
-            F.sum(F.when(is_p, F.col("left_rarity"))).alias("_p_rarity"),
+            F.sum(F.when(is_p, F.col("left_weight"))).alias("_p_rarity"),
+            F.sum(F.when(is_t, F.col("left_weight"))).alias("_t_o"),
         )
     )
-    sums = features.groupBy("entity").agg(
-        F.sum(F.when(F.col("kind") == "mechanism", F.col("support"))).alias("_m_tot"),
-        F.count(F.when(F.col("kind") == "mechanism", 1)).alias("_m_cnt"),
-        F.count(F.when(F.col("kind") == "gene", 1)).alias("_g_cnt"),
-    )
-    side = lambda e: sums.select(F.col("entity").alias(e), *[F.col(c).alias(c + e) for c in ("_m_tot", "_m_cnt", "_g_cnt")])
-    base = (
-        pairs.select("a", "b")
-        .join(shared, ["a", "b"], "left")
-        .join(side("a"), "a", "left").join(side("b"), "b", "left")
-        .join(jaccard_of_pairs(pairs, terms, "_ic").select("a", "b", "_ic"), ["a", "b"], "left")
+    of = lambda k: F.when(F.col("kind") == k, F.col("weight"))
+    sums = items.groupBy("entity").agg(
+        F.sum(of("mechanism")).alias("_m_tot"), F.count(of("mechanism")).alias("_m_cnt"), F.count(of("gene")).alias("_g_cnt"), F.sum(of("term")).alias("_t_tot"),
     )
+    side = lambda e: sums.select(F.col("entity").alias(e), *[F.col(c).alias(c + e) for c in ("_m_tot", "_m_cnt", "_g_cnt", "_t_tot")])
+    base = pairs.select("a", "b").join(shared, ["a", "b"], "left").join(side("a"), "a", "left").join(side("b"), "b", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     count = lambda c: F.coalesce(F.col(c), F.lit(0))
     has_m, has_g, has_p = F.size(F.coalesce("shared_mechanisms", F.array())) > 0, count("_g_n") > 0, count("_p_n") > 0
     m_union = zero("_m_tota") + zero("_m_totb") - zero("_m_min")
     g_union = count("_g_cnta") + count("_g_cntb") - count("_g_n")
+    t_union = zero("_t_tota") + zero("_t_totb") - zero("_t_o")
+    alike = F.when(t_union > 0, zero("_t_o") / t_union).otherwise(0.0)
     meaningful = zero("_p_rarity") >= LINK_FLOOR - 1e-9
     scored = base.select(
         "a", "b",
@@ -323,7 +325,7 @@ def pair_connection(pairs: DataFrame, features: DataFrame, terms: DataFrame) ->
         F.coalesce("shared_phenotypes", F.array().cast("array<string>")).alias("shared_phenotypes"),
         F.when(m_union > 0, zero("_m_min") / m_union).otherwise(0.0).alias("mechanism"),
         F.when(g_union > 0, count("_g_n") / g_union).otherwise(0.0).alias("genetic"),
-        (F.greatest(F.lit(0.0), F.least(F.lit(1.0), zero("_ic"))) * F.when(meaningful, 1.0).otherwise(DAMPING)).alias("phenotype"),
+        (F.greatest(F.lit(0.0), F.least(F.lit(1.0), alike)) * F.when(meaningful, 1.0).otherwise(DAMPING)).alias("phenotype"),
         meaningful.alias("meaningful_phenotype_link"),
         (has_g & (count("_m_cnta") > 0) & (count("_m_cntb") > 0) & ~has_m).alias("same_gene_different_mechanism"),
         has_m.alias("_has_m"), has_g.alias("_has_g"),
@@ -359,8 +361,9 @@ def all_connections(
     features: DataFrame, terms: DataFrame, min_score: float = MIN_SCORE
 ) -> DataFrame:
     """Every pair a < b whose rounded score reaches ``min_score``."""
-    pairs = cut_lineage(connection_candidates(features, terms, min_score))
-    return pair_connection(pairs, features, terms).filter(F.round("score", 2) >= min_score)
+    items = cut_lineage(pair_items(features, terms))
+    pairs = cut_lineage(connection_candidates(items, min_score))
+    return pair_connection(pairs, features, terms, items).filter(F.round("score", 2) >= min_score)
 
 
 def connections_of(

@@ -11,9 +11,10 @@ from corrobora.operators import explore as Q
 from corrobora.operators import serve as E
 from corrobora.operators import similarity as S
 from corrobora.operators.cluster import cluster
+from corrobora.operators.pairs import best_partners
 from corrobora.operators.search import build_index, search_all
 from corrobora.plans.registry import query
-from corrobora.plans.similarity_queries import PAIR_SQL, annotated, closed_terms, connections, core_terms
+from corrobora.plans.similarity_queries import CONN_SQL, annotated, closed_terms, connections, core_terms
 from corrobora.session import cut_lineage
 
 def today():
@@ -37,17 +38,18 @@ def _e01(t):
     return E.base_serving_graph(t.edges).groupBy("source_name", "rel").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("e02_match_edges_rich", PAIR_SQL + """
+@query("e02_match_edges_rich", CONN_SQL + """
 , direct AS (SELECT a, b, string_agg(d||'='||coalesce(p.name,d), '; ' ORDER BY d) AS labels FROM (SELECT a, b, unnest(string_split(shared_p, ',')) AS d FROM conn WHERE shared_p IS NOT NULL AND round(score,2)>=20) q
   LEFT JOIN phenotype p ON p.id=d GROUP BY a,b)
 SELECT 'DISEASE_MATCH:'||c.a||':'||c.b AS edge_id, c.a AS src, c.b AS dst, CASE connection_type WHEN 'mechanistic_and_phenotypic' THEN 'Shared mechanism and symptoms' WHEN 'mechanistic' THEN 'Shared mechanism' WHEN 'genetic_overlap' THEN 'Shared gene'
  WHEN 'phenotypic_neighbor' THEN 'Similar symptoms' WHEN 'same_gene_different_mechanism' THEN 'Same gene, different mechanism' ELSE 'No supported route' END AS connection_label,
- coalesce(d.labels,'') AS shared_phenotypes FROM conn c LEFT JOIN direct d ON d.a=c.a AND d.b=c.b WHERE round(score,2)>=20""")
+ coalesce(d.labels,'') AS shared_phenotypes, round(mechanism,3) AS mechanism, round(genetic,3) AS genetic, round(pheno,3) AS phenotype, round(ev,3) AS evidence_quality
+FROM conn c LEFT JOIN direct d ON d.a=c.a AND d.b=c.b WHERE round(score,2)>=20""")
 def _e02(t):
     found = annotated(t)
     rich = E.match_edges_rich(found, today())
     named = F.array_join(F.transform("shared_phenotypes", lambda p: F.concat_ws("=", p["id"], p["name"])), "; ")
-    return rich.select("edge_id", "src", "dst", "connection_label", named.alias("shared_phenotypes"))
+    return rich.select("edge_id", "src", "dst", "connection_label", named.alias("shared_phenotypes"), "components.*", "evidence_quality")
 
 
 def _bundle(t):
@@ -151,6 +153,16 @@ def _e08(t):
     return E.shared_asset_bridges(assets(t))
 
 
+@query("e08_best_bridges", ASSETS + """
+, n AS (SELECT a, b, shared_gene_groups+shared_studies+shared_interventions+shared_researchers+shared_orgs AS n FROM br),
+both_ways AS (SELECT a AS entity, b AS partner, n FROM n UNION ALL SELECT b, a, n FROM n)
+SELECT entity, partner, n AS n_shared, CAST(row_number() OVER (PARTITION BY entity ORDER BY n DESC, partner) AS INTEGER) AS rank FROM both_ways QUALIFY rank<=5""")
+def _e08b(t):
+    """The five diseases each one shares most assets with: linear in the diseases."""
+    items = assets(t).select("entity", F.concat_ws(":", "kind", "item").alias("item"), F.lit(1.0).alias("weight")).distinct()
+    return best_partners(cut_lineage(items), 5).select("entity", "partner", "n_shared", "rank")
+
+
 @query("e09_variant_counts", "SELECT gene, CASE WHEN num%4=0 THEN 'Unknown' ELSE classification END AS classification, count(*) AS n FROM variant GROUP BY ALL")
 def _e09(t):
     return E.variant_counts(t.in_gene, t.variant.withColumn("classification", F.when(F.col("num") % 4 == 0, "").otherwise(F.col("classification"))))
@@ -244,49 +256,88 @@ def _q04(t):
 
 
 PAIRS = LENS + """
-, small AS (SELECT *, count(*) OVER (PARTITION BY lens, hub) AS n FROM links WHERE lens<>'groups'),
-mp AS (SELECT x.disease AS a, y.disease AS b, x.lens, 1-pow(0.5::DOUBLE, count(*)) AS strength, count(*) AS n_items FROM small x JOIN small y ON x.lens=y.lens AND x.hub=y.hub AND x.disease<y.disease GROUP BY ALL)
+, small AS (SELECT * FROM links WHERE lens<>'groups'),
+mp AS (SELECT x.disease AS a, y.disease AS b, x.lens, 1-pow(0.5::DOUBLE, count(*)) AS strength, count(*) AS n_items, min(x.hub) AS first_item
+  FROM small x JOIN small y ON x.lens=y.lens AND x.hub=y.hub AND x.disease<y.disease GROUP BY ALL),
+gs AS MATERIALIZED (SELECT disease, list_sort(list(DISTINCT hub)) AS hubs FROM links WHERE lens='groups' GROUP BY disease)
 """
+#: Layers whose pairs are formed; the few bundles of organisations reach a large part of all diseases and are told by lists.
 PAIR_LENSES = [x for x in Q.HUB_LENSES if x != "groups"]
 
 
+def group_signatures(t) -> DataFrame:
+    return cut_lineage(Q.layer_signatures(lens_links(t, ["groups"])))
+
+
 @query("q05_mode_pairs", PAIRS + f"SELECT a, b, lens, strength, n_items FROM mp")
 def _q05(t):
-    return Q.mode_pairs(lens_links(t, PAIR_LENSES))
+    return Q.mode_pairs(lens_links(t, PAIR_LENSES)).drop("first_item")
 
 
 @query("q05_mode_pairs_groups", LENS + "SELECT lens, hub, disease, count(*) OVER (PARTITION BY hub) AS n_diseases FROM links WHERE lens='groups'")
 def _q05b(t):
-    """Bundles of organisations reach a large part of all diseases, so this layer is always told as hub and member."""
+    """The layer of patient groups as hub and member."""
     links = lens_links(t, ["groups"]).select("lens", "hub", "disease")
     return links.join(Q.hub_card(links), ["lens", "hub"])
 
 
-@query("q06_mode_counts", PAIRS + "SELECT lens, count(*) AS n_pairs FROM mp GROUP BY lens")
-def _q06(t):
-    return Q.mode_counts(Q.mode_pairs(lens_links(t, PAIR_LENSES)))
+@query("q05_group_signatures", PAIRS + "SELECT 'groups' AS lens, disease, array_to_string(hubs, ',') AS hubs FROM gs")
+def _q05c(t):
+    return group_signatures(t).withColumn("hubs", F.array_join("hubs", ","))
 
 
-def layers(t) -> DataFrame:
-    """All hub layers plus symptom pairs scored by IC similarity."""
-    similar, modes = S.ic_jaccard(core_terms(t), 0.4), Q.mode_pairs(lens_links(t, PAIR_LENSES))
-    alike = similar.select("a", "b", (F.col("similarity") * 50).alias("score"))
-    pairs = modes.select("a", "b", "lens", "strength", "n_items").unionByName(Q.symptom_pairs(alike))
-    return cut_lineage(Q.pair_layers(pairs, 25.0))
+@query("q05_group_pairs", PAIRS + """
+, cl AS (SELECT hubs, count(*) AS n FROM gs GROUP BY hubs)
+SELECT 'groups' AS lens, array_to_string(x.hubs, ',') AS hubs_a, array_to_string(y.hubs, ',') AS hubs_b, len(list_intersect(x.hubs, y.hubs)) AS n_items,
+ 1-pow(0.5::DOUBLE, len(list_intersect(x.hubs, y.hubs))) AS strength, CASE WHEN x.hubs=y.hubs THEN CAST(x.n*(x.n-1)/2 AS BIGINT) ELSE x.n*y.n END AS n_pairs
+FROM cl x JOIN cl y ON array_to_string(x.hubs, '|')<=array_to_string(y.hubs, '|') AND len(list_intersect(x.hubs, y.hubs))>0 AND (x.hubs<>y.hubs OR x.n>1)""")
+def _q05d(t):
+    """Every pair of the layer of patient groups, factorised: lists of bundles, and how many pairs they stand for."""
+    found = Q.signature_pairs(group_signatures(t))
+    return found.withColumn("hubs_a", F.array_join("hubs_a", ",")).withColumn("hubs_b", F.array_join("hubs_b", ","))
 
 
-LAYERS = PAIRS + """
+SYMPTOMS = """
 , items AS (SELECT c.entity, c.term AS item, i.ic AS w FROM closed c JOIN ic i ON i.term=c.term WHERE i.ic>0 AND c.entity IN (SELECT id FROM core)),
 tot AS (SELECT entity, sum(w) AS t FROM items GROUP BY entity),
 ov AS (SELECT x.entity AS a, y.entity AS b, sum(x.w) AS o FROM items x JOIN items y ON x.item=y.item AND x.entity<y.entity GROUP BY ALL),
-sy AS (SELECT a, b, 'symptoms' AS lens, least(1.0::DOUBLE, o/(ta.t+tb.t-o)*50/40) AS strength, 1 AS n_items FROM ov JOIN tot ta ON ta.entity=a JOIN tot tb ON tb.entity=b WHERE o/(ta.t+tb.t-o)>=0.4),
-lay AS (SELECT * FROM mp UNION ALL SELECT * FROM sy WHERE strength*40>=25)
+sy AS (SELECT a, b, 'symptoms' AS lens, least(1.0::DOUBLE, o/(ta.t+tb.t-o)*50/40) AS strength, 1 AS n_items, NULL AS first_item
+  FROM ov JOIN tot ta ON ta.entity=a JOIN tot tb ON tb.entity=b WHERE o/(ta.t+tb.t-o)>=0.4)
+"""
+
+
+def matched_symptoms(t) -> DataFrame:
+    alike = S.ic_jaccard(core_terms(t), 0.4)
+    return Q.symptom_pairs(alike.select("a", "b", (F.col("similarity") * 50).alias("score")))
+
+
+@query("q06_mode_counts", PAIRS + SYMPTOMS + """
+, hm AS (SELECT disease, CAST(sum(1 << (i-1)) AS BIGINT) AS mask FROM (SELECT disease, hub, CAST(dense_rank() OVER (ORDER BY hub) AS INTEGER) AS i FROM (SELECT DISTINCT disease, hub FROM links WHERE lens='groups')) GROUP BY disease),
+inc AS (SELECT m, count(*) AS c FROM hm, range(1, 16) r(m) WHERE mask & m = m GROUP BY m)
+SELECT lens, count(*) AS n_pairs FROM mp GROUP BY lens UNION ALL SELECT lens, count(*) FROM sy GROUP BY lens
+UNION ALL SELECT 'groups', CAST(sum(CASE WHEN bit_count(m)%2=1 THEN 1 ELSE -1 END * c*(c-1)/2) AS BIGINT) FROM inc""")
+def _q06(t):
+    pairs = Q.mode_pairs(lens_links(t, PAIR_LENSES)).unionByName(matched_symptoms(t))
+    return Q.mode_counts(pairs, Q.signature_pairs(group_signatures(t)))
+
+
+def layers(t) -> DataFrame:
+    """All layers of every pair that a layer other than patient groups ties; ``q05_group_pairs`` tells the pairs tied by
+    groups alone."""
+    pairs = Q.mode_pairs(lens_links(t, PAIR_LENSES)).unionByName(matched_symptoms(t))
+    return cut_lineage(Q.with_signatures(cut_lineage(Q.pair_layers(pairs, 25.0)), group_signatures(t)))
+
+
+LAYERS = PAIRS + SYMPTOMS + """
+, lay0 AS MATERIALIZED (SELECT * FROM mp UNION ALL SELECT * FROM sy WHERE strength*40>=25),
+lay AS MATERIALIZED (SELECT * FROM lay0 UNION ALL SELECT a, b, 'groups', 1-pow(0.5::DOUBLE, len(hs)), len(hs), hs[1] FROM (
+  SELECT a, b, list_sort(list_intersect(x.hubs, y.hubs)) AS hs FROM (SELECT DISTINCT a, b FROM lay0) JOIN gs x ON x.disease=a JOIN gs y ON y.disease=b) WHERE len(hs)>0)
 """
 
 
 @query("q07_pair_layers", LAYERS + f"SELECT a, b, lens, round(strength,6) AS strength, n_items FROM lay")
 def _q07(t):
-    found = layers(t)
+    found = layers(t).drop("first_item")
     return found.withColumn("strength", F.round("strength", 6))
 
 
@@ -296,13 +347,20 @@ def _q08(t):
     return Q.combined_strength(found).withColumn("strength", F.round("strength", 6))
 
 
-@query("q09_describe_contribution", PAIRS + """
-SELECT a, b, lens, CASE WHEN n_items=1 THEN CASE lens WHEN 'family' THEN 'gene family' WHEN 'treatments' THEN 'drug' WHEN 'trials' THEN 'study' ELSE lens END
- ELSE n_items||' '||CASE lens WHEN 'family' THEN 'gene families' WHEN 'mechanism' THEN 'mechanisms' WHEN 'treatments' THEN 'drugs' WHEN 'trials' THEN 'studies' ELSE lens END END AS text FROM mp WHERE lens IN ('family','treatments','trials','mechanism')""")
+@query("q09_describe_contribution", LAYERS + """
+, sets AS (SELECT 'ORGSET:'||focus AS id, CASE focus WHEN 'Disease-specific' THEN 'Gene-specific groups' WHEN 'Children & disability' THEN 'Disability groups' ELSE focus||' groups' END||' · '||count(*) AS name
+  FROM org WHERE scope='shared' GROUP BY focus)
+SELECT a, b, lens, CASE WHEN lens='symptoms' THEN 'similar symptoms ('||CAST(round(strength*40) AS INT)||')' WHEN n_items=1 THEN CASE lens WHEN 'family' THEN 'gene family' WHEN 'treatments' THEN 'drug' WHEN 'trials' THEN 'study'
+  WHEN 'researchers' THEN 'researcher' WHEN 'groups' THEN 'group' WHEN 'papers' THEN 'paper' ELSE lens END||': '||
+  CASE lens WHEN 'family' THEN replace(first_item, 'GG', 'family ') ELSE coalesce(m.name, p.name, sets.name, first_item) END
+ ELSE n_items||' '||CASE lens WHEN 'family' THEN 'gene families' WHEN 'mechanism' THEN 'mechanisms' WHEN 'treatments' THEN 'drugs' WHEN 'trials' THEN 'studies' ELSE lens END END AS text
+FROM lay LEFT JOIN mechanism m ON m.id=first_item LEFT JOIN paper p ON p.id=first_item LEFT JOIN sets ON sets.id=first_item""")
 def _q09(t):
-    pairs = Q.mode_pairs(lens_links(t, ["family", "treatments", "trials", "mechanism"]))
-    text = Q.describe_contribution(F.col("lens"), F.col("strength"), F.col("n_items"), F.lit("x"))
-    return pairs.select("a", "b", "lens", F.regexp_replace(text, ": x$", "").alias("text"))
+    g = t.serving
+    names = g.of_type("GeneGroup", "Mechanism", "Paper").select("id", "name").unionByName(Q.org_sets(t.org).select("id", "name"))
+    named = layers(t).join(names.withColumnRenamed("id", "first_item"), "first_item", "left")
+    text = Q.describe_contribution(F.col("lens"), F.col("strength"), F.col("n_items"), F.coalesce("name", "first_item"))
+    return named.select("a", "b", "lens", text.alias("text"))
 
 
 @query("q10_org_sets", """

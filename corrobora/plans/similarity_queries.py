@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corrobora.operators import similarity as S
-from corrobora.operators.pairs import sharing_pairs
+from corrobora.operators.pairs import best_partners, sharing_pairs
 from corrobora.plans.registry import query
 from corrobora.session import cut_lineage
 
@@ -23,16 +23,13 @@ sh AS (SELECT x.entity AS a, y.entity AS b,
   sum(least(x.support,y.support)) FILTER (x.kind='mechanism') AS mmin, avg(sqrt(x.support*y.support)) FILTER (x.kind='mechanism') AS msup,
   count(*) FILTER (x.kind='mechanism') AS mn, count(*) FILTER (x.kind='gene') AS gn, count(*) FILTER (x.kind='phenotype') AS pn,
   avg(sqrt(x.support*y.support)) FILTER (x.kind='gene') AS gsup, sum(least(x.support,y.support)) FILTER (x.kind='phenotype') AS pmin,
-  sum(x.rare) FILTER (x.kind='phenotype') AS prare,
-  string_agg(x.item, ',' ORDER BY x.item) FILTER (x.kind='mechanism') AS shared_m,
-  string_agg(x.item, ',' ORDER BY x.item) FILTER (x.kind='gene') AS shared_g,
-  string_agg(x.item, ',' ORDER BY x.item) FILTER (x.kind='phenotype') AS shared_p
+  sum(x.rare) FILTER (x.kind='phenotype') AS prare
   FROM fr x JOIN fr y ON x.item=y.item AND x.kind=y.kind AND x.entity<y.entity GROUP BY ALL),
 tt AS (SELECT entity, coalesce(sum(support) FILTER (kind='mechanism'),0) AS mt, count(*) FILTER (kind='mechanism') AS mc,
   count(*) FILTER (kind='gene') AS gc FROM features GROUP BY entity),
 p0 AS (SELECT a, b FROM sh UNION SELECT a, b FROM sim WHERE s>=0.5),
 p1 AS (SELECT p.a, p.b, coalesce(mn,0) AS mn, coalesce(gn,0) AS gn, coalesce(pn,0) AS pn, coalesce(mmin,0) AS mmin, coalesce(msup,0) AS msup,
-  coalesce(gsup,0) AS gsup, coalesce(pmin,0) AS pmin, coalesce(prare,0) AS prare, coalesce(s,0) AS ics, shared_m, shared_g, shared_p,
+  coalesce(gsup,0) AS gsup, coalesce(pmin,0) AS pmin, coalesce(prare,0) AS prare, coalesce(s,0) AS ics,
   ta.mt+tb.mt AS mtt, ta.mc AS mca, tb.mc AS mcb, ta.gc+tb.gc AS gcc
   FROM p0 p LEFT JOIN sh ON sh.a=p.a AND sh.b=p.b LEFT JOIN sim ON sim.a=p.a AND sim.b=p.b
   JOIN tt ta ON ta.entity=p.a JOIN tt tb ON tb.entity=p.b),
@@ -42,17 +39,28 @@ p2 AS (SELECT *, CASE WHEN mtt-mmin>0 THEN mmin/(mtt-mmin) ELSE 0 END AS mechani
   (CASE WHEN mn>0 THEN msup ELSE 0 END + CASE WHEN gn>0 THEN gsup ELSE 0 END + pmin)
    / greatest((mn>0)::INT+(gn>0)::INT+pn,1) AS ev, gn>0 AND mca>0 AND mcb>0 AND mn=0 AS counter FROM p1),
 p3 AS (SELECT *, (CASE WHEN mn>0 THEN 0.5::DOUBLE ELSE 0 END+CASE WHEN gn>0 THEN 0.2::DOUBLE ELSE 0 END+CASE WHEN pheno>0 THEN 0.3::DOUBLE ELSE 0 END) AS used FROM p2),
-conn AS MATERIALIZED (SELECT *, CASE WHEN used>0 THEN 100*(CASE WHEN mn>0 THEN 0.5::DOUBLE*mechanism ELSE 0 END+CASE WHEN gn>0 THEN 0.2::DOUBLE*genetic ELSE 0 END
+scored AS MATERIALIZED (SELECT *, CASE WHEN used>0 THEN 100*(CASE WHEN mn>0 THEN 0.5::DOUBLE*mechanism ELSE 0 END+CASE WHEN gn>0 THEN 0.2::DOUBLE*genetic ELSE 0 END
    +CASE WHEN pheno>0 THEN 0.3::DOUBLE*pheno ELSE 0 END)/used ELSE 0 END*(0.6::DOUBLE+0.4::DOUBLE*ev)*CASE WHEN counter THEN 0.35::DOUBLE ELSE 1 END AS score,
   CASE WHEN mn>0 AND meaningful THEN 'mechanistic_and_phenotypic' WHEN mn>0 THEN 'mechanistic'
    WHEN gn>0 AND NOT counter THEN 'genetic_overlap' WHEN meaningful THEN 'phenotypic_neighbor'
    WHEN counter THEN 'same_gene_different_mechanism' ELSE 'no_supported_route' END AS connection_type FROM p3)
 """
+# Items are listed for the pairs that reach the score only.
+CONN_SQL = PAIR_SQL + """
+, hi AS MATERIALIZED (SELECT * FROM scored WHERE round(score,2)>=20),
+lists AS (SELECT h.a, h.b, string_agg(x.item, ',' ORDER BY x.item) FILTER (x.kind='mechanism') AS shared_m,
+  string_agg(x.item, ',' ORDER BY x.item) FILTER (x.kind='gene') AS shared_g, string_agg(x.item, ',' ORDER BY x.item) FILTER (x.kind='phenotype') AS shared_p
+  FROM hi h JOIN features x ON x.entity=h.a JOIN features y ON y.entity=h.b AND y.item=x.item AND y.kind=x.kind GROUP BY ALL),
+conn AS MATERIALIZED (SELECT hi.*, shared_m, shared_g, shared_p FROM hi LEFT JOIN lists USING (a, b))
+"""
 
 
 def closed_terms(t):
-    closure = S.ancestor_closure(t.ontology)
-    return closure, cut_lineage(S.close_terms(t.annotation, closure))
+    """(closure, closed terms), once per testbed however many parts of a query ask for them."""
+    if "closed_terms" not in t.made:
+        closure = S.ancestor_closure(t.ontology)
+        t.made["closed_terms"] = closure, cut_lineage(S.close_terms(t.annotation, closure))
+    return t.made["closed_terms"]
 
 
 def core_terms(t):
@@ -148,14 +156,24 @@ def _a08b(t):
 
 @query("a09_shared_feature_weight", f"""
 SELECT x.entity AS a, y.entity AS b, round(sum(x.weight),6) AS weight, count(*) AS n_shared
-FROM rarity x JOIN rarity y ON x.item=y.item AND x.entity<y.entity GROUP BY ALL HAVING count(*)>=2""")
+FROM rarity x JOIN rarity y ON x.item=y.item AND x.entity<y.entity GROUP BY ALL""")
 def _a09(t):
     rarity = cut_lineage(S.feature_rarity(core_features(t)))
     found = sharing_pairs(rarity)
-    weights = S.shared_feature_weight(found, rarity).filter("n_shared >= 2")
+    weights = S.shared_feature_weight(found, rarity)
     return weights.select("a", "b", F.round("weight", 6).alias("weight"), "n_shared")
 
 
+@query("a09_best_partners", """
+, ov AS (SELECT x.entity, y.entity AS partner, round(sum(x.weight),9) AS overlap, count(*) AS n_shared FROM rarity x JOIN rarity y ON x.item=y.item AND x.entity<>y.entity GROUP BY ALL)
+SELECT entity, partner, round(overlap,6) AS overlap, n_shared, CAST(row_number() OVER (PARTITION BY entity ORDER BY overlap DESC, partner) AS INTEGER) AS rank FROM ov
+QUALIFY rank<=5""")
+def _a09b(t):
+    """The five diseases each one shares its rarest phenotypes with: linear in the diseases."""
+    rarity = cut_lineage(S.feature_rarity(core_features(t)))
+    return best_partners(rarity, 5).withColumn("overlap", F.round("overlap", 6))
+
+
 def _jaccard_sql(kind: str, weight: str, t: float) -> str:
     return f"""
 , it AS (SELECT entity, item, {weight} AS w FROM features WHERE kind='{kind}'),
@@ -191,7 +209,7 @@ def _a12(t):
 
 @query("a13_pair_connection", PAIR_SQL + f"""
 SELECT a, b, round(mechanism,5) AS mechanism, round(genetic,5) AS genetic, round(pheno,5) AS phenotype, round(ev,5) AS evidence_quality,
- meaningful AS meaningful_phenotype_link, counter AS same_gene_different_mechanism, connection_type, round(score,4) AS score FROM conn WHERE gn>0""")
+ meaningful AS meaningful_phenotype_link, counter AS same_gene_different_mechanism, connection_type, round(score,4) AS score FROM scored WHERE gn>0""")
 def _a13(t):
     features, terms = core_features(t), core_terms(t)
     found = sharing_pairs(S.of_kind(features, "gene"))
@@ -202,7 +220,7 @@ def _a13(t):
     return records
 
 
-@query("a14_all_connections", PAIR_SQL + f"""
+@query("a14_all_connections", CONN_SQL + f"""
 SELECT a, b, round(score,4) AS score, connection_type, coalesce(shared_m,'') AS shared_mechanisms, coalesce(shared_g,'') AS shared_genes,
  coalesce(shared_p,'') AS shared_phenotypes FROM conn WHERE round(score,2)>=20""")
 def flagship(t):
@@ -213,7 +231,7 @@ def flagship(t):
     return out
 
 
-@query("a15_annotate_connections", PAIR_SQL + f"""
+@query("a15_annotate_connections", CONN_SQL + f"""
 , cx AS MATERIALIZED (SELECT c.a, c.b, x.term FROM conn c JOIN closed x ON x.entity=c.a WHERE round(c.score,2)>=20),
 top AS (SELECT a, b, string_agg(name, ', ' ORDER BY rank) AS labels FROM (
   SELECT c.a, c.b, coalesce(p.name, c.term) AS name, row_number() OVER (PARTITION BY c.a,c.b ORDER BY round(i.ic,9) DESC, c.term) AS rank
@@ -254,7 +272,7 @@ def _a16(t):
     return found.withColumn("weight", F.round("weight", 6))
 
 
-@query("a18_match_edges", PAIR_SQL + """
+@query("a18_match_edges", CONN_SQL + """
 SELECT 'DISEASE_MATCH:'||a||':'||b AS edge_id, a AS src, b AS dst, connection_type,
  CASE WHEN round(ev,3)>=0.85 THEN 'high' WHEN round(ev,3)>=0.6 THEN 'moderate' ELSE 'low' END AS confidence,
  coalesce(replace(shared_g,',','; '),'') AS shared_genes, coalesce(replace(shared_m,',','; '),'') AS shared_mechanisms

@@ -30,6 +30,7 @@ class Testbed:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        self.made: dict[str, object] = {}  # written intermediate tables that several parts of a query read
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
