@@ -5,8 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,27 +48,27 @@ def _closing(state: int) -> tuple[int, ...]:
     return {0: (2, 3), 1: (2, 3), 2: (3,), 3: ()}[state]
 
 
-def cheapest(roles: list[str], entry: int, costs: Costs) -> tuple[list[float], list[int], list[list[int]]]:
-    """Dynamic programming from ``entry``: per last state its cost and number of turns, and the back pointers.
+def cheapest(roles: list[str], entry: int, costs: Costs) -> tuple[list[float], list[int], list[int], list[list[int]]]:
+    """Dynamic programming from ``entry``: per last state its cost, turns and inserted turns, and the back pointers.
 
     Ties go to the smaller previous state, so the same path comes out wherever it is worked out.
     """
     table = {r: [[_step(costs, r, q, t) for t in range(1, STATES)] for q in range(STATES)] for r in {*roles}}
-    cost, turns = [math.inf] * STATES, [0] * STATES
+    ways = {
+        r: [(q, t + 1, price, len(put) + (kind == "append"), len(put)) for q in range(STATES) for t, (price, kind, put) in enumerate(table[r][q]) if price < math.inf]
+        for r in table
+    }
+    cost, turns, empty = [math.inf] * STATES, [0] * STATES, [0] * STATES
     cost[entry] = 0.0
     back: list[list[int]] = []
     for role in roles:
-        new, count, came = [math.inf] * STATES, [0] * STATES, [-1] * STATES
-        for q in range(STATES):
-            if cost[q] < math.inf:
-                for t in range(1, STATES):
-                    price, kind, put = table[role][q][t - 1]
-                    if cost[q] + price < new[t] - 1e-12:
-                        new[t], came[t] = cost[q] + price, q
-                        count[t] = turns[q] + len(put) + (kind == "append")
-        cost, turns = new, count
+        new, count, put, came = [math.inf] * STATES, [0] * STATES, [0] * STATES, [-1] * STATES
+        for q, t, price, more, inserted in ways[role]:
+            if cost[q] + price < new[t] - 1e-12:
+                new[t], came[t], count[t], put[t] = cost[q] + price, q, turns[q] + more, empty[q] + inserted
+        cost, turns, empty = new, count, put
         back.append(came)
-    return cost, turns, back
+    return cost, turns, empty, back
 
 
 def best_exit(cost: list[float], costs: Costs) -> int:
@@ -87,39 +89,43 @@ def normal_role(role: str | None) -> str:
     return ALIASES.get(name, name)
 
 
-def _segments(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The rows of one (conversation, partition) at a time from a stream sorted by both."""
-    held: list[pd.DataFrame] = []
-    for frame in frames:
-        if frame.empty:
-            continue
-        key = frame["_conv"].astype(str) + "\n" + frame["_pid"].astype(str)
-        for _, part in frame.groupby((key != key.shift()).cumsum(), sort=False):
-            if held and (held[0]["_conv"].iat[0], held[0]["_pid"].iat[0]) != (part["_conv"].iat[0], part["_pid"].iat[0]):
-                yield pd.concat(held) if len(held) > 1 else held[0]
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows of one (conversation, partition) at a time, as (conv, pid, ...), from a stream sorted by both."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+            if held and held[0][:2] != row[:2]:
+                yield held
                 held = []
-            held.append(part)
+            held.append(row)
     if held:
-        yield pd.concat(held) if len(held) > 1 else held[0]
+        yield held
+
+
+def _batches(rows: Iterator[tuple], schema: pa.Schema, most: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of ``most`` rows, so that output is never longer held than input."""
+    while part := list(islice(rows, most)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), schema, strict=True)], schema=schema)
+
+
+MATRIX = pa.schema([
+    ("_conv", pa.string()), ("_pid", pa.int32()), ("cost", pa.list_(pa.float64())), ("turns", pa.list_(pa.int64())), ("pieces", pa.list_(pa.int64())),
+])
 
 
 def _matrices(costs: Costs):
-    """Per segment: cost and number of turns from every entry state to every exit state."""
+    """Per segment: cost, number of turns and number of pieces from every entry state to every exit state."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in _segments(frames):
-            roles = [normal_role(r) for r in part["role"]]
-            found = [cheapest(roles, q, costs)[:2] for q in range(STATES)]
-            yield pd.DataFrame({
-                "_conv": [part["_conv"].iat[0]], "_pid": [part["_pid"].iat[0]],
-                "cost": [[c for f in found for c in f[0]]], "turns": [[n for f in found for n in f[1]]],
-            })
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for part in _segments(batches):
+            found = [cheapest([normal_role(r[2]) for r in part], q, costs) for q in range(STATES)]
+            yield (*part[0][:2], [c for f in found for c in f[0]], [n for f in found for n in f[1]], [len(part) + n for f in found for n in f[2]])
 
-    return run
+    return lambda batches: _batches(rows(batches), MATRIX)
 
 
 def _chained(costs: Costs):
-    """Entry and exit state and the number of earlier turns of every segment of a conversation: a product of matrices."""
+    """Entry and exit state of every segment of a conversation, and the turns and pieces before it: a product of matrices."""
 
     def run(parts: pd.DataFrame) -> pd.DataFrame:
         parts = parts.sort_values("_pid")
@@ -132,60 +138,62 @@ def _chained(costs: Costs):
                         new[t], came[t] = cost[q] + matrix[q * STATES + t], q
             cost = new
             backs.append(came)
-        states, rows, before = path(backs, best_exit(cost, costs)), [], 0
-        for i, (pid, turns) in enumerate(zip(parts["_pid"], parts["turns"], strict=True)):
-            rows.append((parts["_conv"].iat[0], pid, states[i], states[i + 1], before, i + 1 == len(parts)))
+        states, rows, before, done = path(backs, best_exit(cost, costs)), [], 0, 0
+        for i, (pid, turns, pieces) in enumerate(zip(parts["_pid"], parts["turns"], parts["pieces"], strict=True)):
+            rows.append((parts["_conv"].iat[0], pid, states[i], states[i + 1], before, done, i + 1 == len(parts)))
             before += int(turns[states[i] * STATES + states[i + 1]])
-        return pd.DataFrame(rows, columns=["_conv", "_pid", "entry", "exit", "before", "is_last"])
+            done += int(pieces[states[i] * STATES + states[i + 1]])
+        return pd.DataFrame(rows, columns=["_conv", "_pid", "entry", "exit", "before", "done", "is_last"])
 
     return run
 
 
-REPAIRED = "conv_id long, out_turn long, turn long, role_in string, role string, action string, rendered string"
+REPAIRED = "conv_id long, out_turn long, turn long, role_in string, role string, action string, rendered string, piece long"
+_REPAIRED = pa.schema([
+    (name, pa.int64() if kind == "long" else pa.string()) for name, kind in (f.split() for f in REPAIRED.split(", "))
+])
+
+
+def _repair(part: list[tuple], costs: Costs) -> list[list]:
+    """The pieces of a segment of (conv, pid, role, turn, text, conv_id, entry, exit, turns before, pieces before, is_last)."""
+    conv, entry, last, n, done, ends = part[0][5:11]
+    whole = entry is None
+    roles = [normal_role(r[2]) for r in part]
+    if whole:
+        entry, n, done = START, 0, 0
+    cost, _, _, back = cheapest(roles, entry, costs)
+    states, rows = path(back, best_exit(cost, costs) if whole else last), []
+
+    def put(state: int, turn, role_in, action: str, text: str, n: int) -> None:
+        lead = "\n" if action.endswith("merge") else ("<|end|>\n" if n else "") + f"<|{ROLES[state - 1]}|>\n"
+        rows.append([conv, n, turn, role_in, ROLES[state - 1], action, lead + text, done + len(rows)])
+
+    for role, row, q, t in zip(roles, part, states, states[1:], strict=False):
+        _, kind, inserted = _step(costs, role, q, t)
+        for via in inserted:
+            put(via, None, None, "insert", "", n)
+            n += 1
+        action = "+".join((["relabel"] if ROLES[t - 1] != role else []) + (["merge"] if kind == "merge" else [])) or "keep"
+        at = n - 1 if kind == "merge" else n
+        put(t, row[3], row[2], action, row[4] or "", at)
+        n = at + 1
+    if whole or ends:
+        for via in _closing(states[-1]):
+            put(via, None, None, "insert", "", n)
+            n += 1
+        rows[-1][6] += "<|end|>\n"
+    return rows
 
 
 def _repaired(costs: Costs):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in _segments(frames):
-            roles = [normal_role(r) for r in part["role"]]
-            whole = pd.isna(part["entry"].iat[0])
-            entry = START if whole else int(part["entry"].iat[0])
-            n = 0 if whole else int(part["before"].iat[0])
-            cost, _, back = cheapest(roles, entry, costs)
-            last = best_exit(cost, costs) if whole else int(part["exit"].iat[0])
-            states, rows = path(back, last), []
-            conv = None if pd.isna(part["conv_id"].iat[0]) else int(part["conv_id"].iat[0])
-
-            def put(state: int, turn, role_in, action: str, text: str, n=0, conv=conv, rows=rows) -> None:
-                opened = f"<|{ROLES[state - 1]}|>\n"
-                lead = "\n" if action.endswith("merge") else ("<|end|>\n" if n else "") + opened
-                rows.append([conv, n, turn, role_in, ROLES[state - 1], action, lead + text])
-
-            for role, given, turn, text, q, t in zip(roles, part["role"], part["turn"], part["text"], states, states[1:], strict=False):
-                _, kind, inserted = _step(costs, role, q, t)
-                for via in inserted:
-                    put(via, None, None, "insert", "", n)
-                    n += 1
-                action = "+".join((["relabel"] if ROLES[t - 1] != role else []) + (["merge"] if kind == "merge" else [])) or "keep"
-                at = n - 1 if kind == "merge" else n
-                put(t, None if pd.isna(turn) else int(turn), given, action, text or "", at)
-                n = at + 1
-            if whole or bool(part["is_last"].iat[0]):
-                for via in _closing(states[-1]):
-                    put(via, None, None, "insert", "", n)
-                    n += 1
-                rows[-1][6] += "<|end|>\n"
-            out = pd.DataFrame(rows, columns=[f.split()[0] for f in REPAIRED.split(", ")])
-            yield out.astype({"conv_id": "Int64", "turn": "Int64", "out_turn": "int64"})
-
-    return run
+    return lambda batches: _batches((row for part in _segments(batches) for row in _repair(part, costs)), _REPAIRED)
 
 
 def repair_roles(turns: DataFrame, costs: Costs = Costs()) -> DataFrame:
     """The cheapest legal form of every conversation of ``turns(conv_id, turn, role, text)``, one row per piece.
 
     Rows: conv_id, out_turn (from 0), turn (null for an inserted one), role_in, role, action (keep, relabel, merge,
-    relabel+merge, insert), rendered. The rendered pieces in the order of (out_turn, turn) are the whole chat text.
+    relabel+merge, insert), rendered, piece (from 0). The rendered pieces in the order of ``piece`` are the whole chat text.
 
     The cost of a sequence is a product of matrices over (min, +), so a conversation may span partitions: rows are
     range-partitioned on (conversation, turn); every part of a split conversation gives a 4 x 4 matrix, the matrices
@@ -210,10 +218,12 @@ def repair_roles(turns: DataFrame, costs: Costs = Costs()) -> DataFrame:
     def in_order(df: DataFrame) -> DataFrame:
         return df.repartition(tasks, "_conv", "_pid").sortWithinPartitions("_conv", "_pid", *order)
 
-    matrices = in_order(placed.join(small(split), "_conv").drop("text")).mapInPandas(
-        _matrices(costs), "_conv string, _pid int, cost array<double>, turns array<long>"
+    first = ["_conv", "_pid", "role"]
+    matrices = in_order(placed.join(small(split), "_conv")).select(*first).mapInArrow(
+        _matrices(costs), "_conv string, _pid int, cost array<double>, turns array<long>, pieces array<long>"
     )
     bounds = cut_lineage(matrices.groupBy("_conv").applyInPandas(
-        _chained(costs), "_conv string, _pid int, entry int, exit int, before long, is_last boolean"
+        _chained(costs), "_conv string, _pid int, entry int, exit int, before long, done long, is_last boolean"
     ))
-    return in_order(placed.join(small(bounds), ["_conv", "_pid"], "left")).mapInPandas(_repaired(costs), REPAIRED)
+    known = in_order(placed.join(small(bounds), ["_conv", "_pid"], "left"))
+    return known.select(*first, "turn", "text", "conv_id", "entry", "exit", "before", "done", "is_last").mapInArrow(_repaired(costs), REPAIRED)

@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 from pyspark.sql.window import Window
 
 from corrobora.llm.shingles import OnePermutation, fingerprint, shingle_set
@@ -128,9 +129,9 @@ def _blocked(live: DataFrame, bodies: DataFrame, words: int, percent: int, block
 
 
 def near_duplicates(
-    docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 64, rows: int = 8, block: int = 200_000
+    docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 64, rows: int = 8, block: int = 200_000, prints: bool = False
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs(doc_id, text)``.
+    """(doc_id, n_shingles, component_id, kept) for every row of ``docs(doc_id, text)``; ``prints`` adds the set's ``fp``.
 
     Documents are linked when ``100 * intersection >= percent * union`` over their sets of ``words``-word shingles;
     a component is everything reachable over links, named by its smallest doc_id, whose document is kept.
@@ -164,8 +165,10 @@ def near_duplicates(
     members = cut_lineage(exploded.join(small(shared), "bucket").select("bucket", "id", "n"))
     candidates = cut_lineage(classes.join(small(cut_lineage(members.select("id").distinct())), "id", "left_semi").select("id", "fp", "rep"))
     has_text = F.length(F.regexp_replace(base["text"].cast("string"), r"[\x20\x09-\x0D]+", "")) > 0
+    # a class may have no doc_id at all, so the texts without one are looked through as well
+    named = base.join(small(candidates.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi").unionByName(base.where("doc_id is null"))
     bodies = cut_lineage(
-        base.join(small(candidates.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi").where(has_text).select("text")
+        named.where(has_text).select("text")
         .mapInArrow(_prints(words), "fp binary, body binary").join(small(candidates.select("fp", "id")), "fp")
         .dropDuplicates(["id"]).select("id", "body")
     )
@@ -208,19 +211,35 @@ def near_duplicates(
     named = owned.join(names, "comp").select("fp", "component_id")
     out = sketched.drop("bands").join(named, "fp", "left")
     component = F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), *["fp"] * prints).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
     )
 
 
+def _with_print(text: int, words: int):
+    """The rows as they are and the fingerprint of their set, null for an empty one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(None if t is None else str(t).encode(), words) for t in batch.column(text).to_pylist()]
+            prints = pa.array([fingerprint(s) if len(s) else None for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, prints], names=[*batch.schema.names, "_fp"])
+
+    return run
+
+
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose document is kept by ``near_duplicates``; repeated rows of a doc_id are one document.
 
     Columns stay as they are. Rows without a doc_id stay when nothing with a doc_id is linked to them.
     """
-    found = cut_lineage(near_duplicates(docs, words, percent).select("doc_id", "component_id", "kept"))
+    found = cut_lineage(near_duplicates(docs, words, percent, prints=True).select("doc_id", "component_id", "kept", "fp"))
     gone = found.where("not kept and doc_id is not null").select("doc_id").distinct()
     kept = docs.join(small(cut_lineage(gone)), "doc_id", "left_anti")
+    nameless = cut_lineage(found.where("not kept and doc_id is null").select(F.col("fp").alias("_fp")).distinct())
+    if not nameless.isEmpty():
+        tagged = kept.where("doc_id is null").mapInArrow(_with_print(kept.columns.index("text"), words), StructType([*kept.schema, StructField("_fp", BinaryType())]))
+        kept = kept.where("doc_id is not null").unionByName(tagged.join(nameless, "_fp", "left_anti").drop("_fp"))
     again = cut_lineage(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if again.isEmpty():
         return kept

@@ -26,6 +26,11 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TOKEN = re.compile(r"(?<!\S)[^0-9@\s]*[0-9@]\S*")
 
 
+def _place(span: tuple[int, int, int]) -> tuple[int, int, int]:
+    """Spans go by start, then by kind as listed."""
+    return span[0], span[2], span[1]
+
+
 def _luhn(digits: str) -> bool:
     total = 0
     for i, d in enumerate(reversed(digits)):
@@ -63,7 +68,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
         for m in _PHONE.finditer(text):
             if 10 <= sum(c.isdigit() for c in m.group()) <= 15:
                 out.append((m.start(), m.end(), 3))
-    return sorted(out)
+    return sorted(out, key=_place)
 
 
 def _shape(token: str) -> str:
@@ -185,7 +190,7 @@ def find_spans(text: str | None, model: SkipChain | None, sure: float = 0.95) ->
         return base, base
     p = marginals(model, text, nodes)
     added = [(s, e, int(q[:OTHER].argmax())) for (s, e, k), q in zip(nodes, p, strict=True) if k == OTHER and q[:OTHER].max() >= sure]
-    return base, sorted(base + added)
+    return base, sorted(base + added, key=_place)
 
 
 def train_skip_chain(docs: DataFrame, sample: int = 2_000, longest: int = 20_000, steps: int = 300) -> SkipChain:

@@ -151,6 +151,18 @@ def test_near_duplicates_edge_cases(edge, empty):
     assert near_dedup.near_duplicates(empty).count() == near_dedup.drop_near_duplicates(empty).count() == 0
 
 
+def test_rows_without_an_id_are_linked(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words)), (None, " ".join(words[:-1] + ["other"])), (None, "quite another text here"), (None, " ".join(words))]
+    docs = make_docs(spark, [(i, t, "en", "a") for i, t in rows])
+    found = near_dedup.near_duplicates(docs, words=4).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute_components(rows, 4)
+    assert sorted(r.kept for r in found) == [False, False, True, True]
+    kept = near_dedup.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "quite another text here"), (1, " ".join(words))]
+
+
 # -- 2: decontamination --------------------------------------------------------------------------------------------
 
 
@@ -295,7 +307,7 @@ def plain_spans(text):
             )[kind]
             if fine:
                 out.append((m.start(), m.end(), kind))
-    return sorted(out)
+    return sorted(out, key=lambda s: (s[0], s[2], s[1]))
 
 
 def test_base_spans_equal_the_patterns(docs):
@@ -307,6 +319,14 @@ def test_base_spans_equal_the_patterns(docs):
         assert pii.base_spans(text) == plain_spans(text)
 
 
+def test_spans_of_one_start_go_by_kind(spark):
+    rows = [(1, "10.0.0.1@host.com"), (2, "4111111111111111@x.org"), (3, "+15550101234@a.b c")]
+    found = {r.doc_id: r for r in pii.personal_data(make_docs(spark, [(i, t, "en", "a") for i, t in rows]), None).collect()}
+    wanted = {1: "email:0:17,ip:0:8", 2: "email:0:22,card:0:16", 3: "email:0:16,phone:0:12"}
+    assert {i: r.spans for i, r in found.items()} == wanted
+    assert all(r.base_sha256 == hashlib.sha256(wanted[i].encode()).hexdigest() for i, r in found.items())
+
+
 def test_field_pulls_repeats_along_and_leaves_clean_text_alone(spark, edge, empty):
     rows = [(i, f"call +1 (555) 010-{1000 + i} now, or write u{i}@mail.example.com from 10.0.{i % 250}.7 page {i}", "en", "a") for i in range(300)]
     rows += [(1000 + i, f"chapter {i} of 99 has {i * 7} lines", "en", "a") for i in range(100)]
@@ -561,7 +581,7 @@ def shortest(roles, costs):
 def test_repair_cost_is_minimal(costs):
     for n in range(1, 5):
         for roles in itertools.product(["system", "user", "assistant", "tool"], repeat=n):
-            cost, _, _ = chat.cheapest(list(roles), 0, costs)
+            cost, _, _, _ = chat.cheapest(list(roles), 0, costs)
             last = chat.best_exit(cost, costs)
             assert abs(cost[last] + costs.insert * len(chat._closing(last)) - shortest(roles, costs)) < 1e-9
 
@@ -580,7 +600,9 @@ def test_repair_of_conversations(spark):
         given[r.conv_id].append(r)
     assert found.keys() == given.keys()
     for conv, pieces in found.items():
-        pieces.sort(key=lambda r: (r.out_turn, r.turn is not None, r.turn or 0))
+        pieces.sort(key=lambda r: r.piece)
+        assert [r.piece for r in pieces] == list(range(len(pieces)))
+        assert [r.out_turn for r in pieces] == sorted(r.out_turn for r in pieces)
         assert sum(r.turn is not None or r.action != "insert" for r in pieces) == len(given[conv])
         states = [chat.ROLES.index(k[1]) + 1 for k in dict.fromkeys((r.out_turn, r.role) for r in pieces)]
         assert states[-1] == 3 and all(x in chat.LEGAL for x in zip([0, *states], states, strict=False))
