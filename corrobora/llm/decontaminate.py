@@ -38,11 +38,31 @@ def _tokens(text: Column) -> Column:
     return F.filter(F.split(text, _BREAK), lambda t: t != "")
 
 
-def _windows(tokens: Column, size: int) -> Column:
-    """The hash of every run of ``size`` tokens, by start."""
-    last = F.size(tokens) - size
-    starts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(F.slice(tokens, i + 1, F.lit(size))))
+def _masked(token: Column) -> Column:
+    return token.isin(NAME, NUMBER, UNIT)
+
+
+def _key(part: Column, raw: Column, literals: int) -> Column:
+    """The hash a window is looked up by: its template, or, when that has few plain words, its own tokens.
+
+    Templates that are nearly all placeholders fit too much; such windows have to agree word for word.
+    """
+    plain = F.size(F.filter(part, lambda t: ~_masked(t)))
+    return F.when(plain >= F.least(F.lit(literals), F.size(part)), F.xxhash64(part)).otherwise(F.xxhash64(F.lit("="), raw))
+
+
+def _windows(tokens: Column, raw: Column, any_masked: Column, sizes: list[int], literals: int) -> Column:
+    """(size, pos, hash) of every run of each of the sizes, in one array."""
+
+    def of(size: int) -> Column:
+        last = F.size(tokens) - size
+        starts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+        part = lambda t, i: F.slice(t, i + 1, F.lit(size))
+        row = lambda i, h: F.struct(F.lit(size).alias("size"), i.alias("pos"), h.alias("hash"))
+        return F.when(any_masked, F.transform(starts, lambda i: row(i, _key(part(tokens, i), part(raw, i), literals)))).otherwise(
+            F.transform(starts, lambda i: row(i, F.xxhash64(part(tokens, i)))))
+
+    return F.flatten(F.array(*[of(n) for n in sizes])) if len(sizes) > 1 else of(sizes[0])
 
 
 def _slots(text: Column) -> Column:
@@ -56,63 +76,68 @@ def _slots(text: Column) -> Column:
 
 
 def benchmark_matches(
-    docs: DataFrame, benchmark: DataFrame, window: int = 8, share: float = 0.5, literals: int = 3
+    docs: DataFrame, benchmark: DataFrame, window: int = 8, share: float = 0.5, literals: int = 3, run: int = 13
 ) -> DataFrame:
     """(doc_id, text_hash, item_id, n_windows, n_matched) for every document that holds a benchmark item.
 
     Both sides become templates: names, numbers and units turn into typed placeholders. All windows of ``window``
     tokens (an item with fewer is one window) are joined by hash. A document holds an item if at least ``share`` of the
-    item's windows occur in it on alignments whose slots are consistent: equal values of the item always stand for
-    equal values in the document and different for different. So verbatim copies and re-parameterised ones are found.
-    Windows with fewer than ``literals`` plain words never count.
-
-    The benchmark's windows are broadcast when a count proves them small, else the join shuffles both sides. Texts are
-    never shuffled. Edge cases: null and empty texts and items hold nothing; items with equal templates are each
-    reported; repeated rows of a document give one row; a null doc_id is a document like others (``text_hash`` tells
-    documents with equal ids apart). Other columns are ignored.
+    item's windows occur in it, or ``run`` consecutive tokens of the item do, on alignments whose slots are consistent:
+    equal values of the item always stand for equal values in the document and different for different. So verbatim
+    copies and re-parameterised ones are found. Windows with fewer than ``literals`` plain words count only where their
+    own tokens agree, so items that are short or mostly figures are found verbatim. The first word of an item is also
+    tried as a name, since it is one to a template inside a sentence.
+
+    The texts are read and templated once for all window sizes, and never shuffled. The benchmark's windows are broadcast
+    when a count proves them small, else the join shuffles both sides. Edge cases: null and empty texts and items, and items
+    without a letter or digit, hold nothing; an item of one word is held by every document with that word; items with equal
+    templates are each reported; repeated rows of a document give one row; a null doc_id is a document like others
+    (``text_hash`` tells documents with equal ids apart). Other columns are ignored.
     """
     items = (
         benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
-        .select("item_id", _tokens(_template(_raw(F.col("text")))).alias("tokens"), _slots(F.col("text")).alias("slots"))
+        .select("item_id", _tokens(_template(_raw(F.col("text")))).alias("tokens"), _tokens(F.lower(_raw(F.col("text")))).alias("raw"), _slots(F.col("text")).alias("slots"),
+                F.element_at(F.concat(_tokens(_raw(F.col("text"))), F.array(F.lit(""))), 1).rlike(r"^\p{Lu}").alias("named"))
         .withColumn("size", F.least(F.size("tokens"), F.lit(window))).where("size > 0")
     )
     items = cut_lineage(items)
     sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # at most ``window`` numbers
-    plain = F.filter("part", lambda t: ~t.isin(NAME, NUMBER, UNIT))
-    index = (
+    as_name = F.concat(F.array(F.lit(NAME)), F.slice("part", F.lit(2), F.size("part")))
+    parts = (
         items.withColumn("ipos", F.explode(F.sequence(F.lit(0), F.size("tokens") - F.col("size"))))
-        .withColumn("part", F.slice("tokens", F.col("ipos") + 1, F.col("size")))
-        .where(F.size(plain) >= F.least(F.lit(literals), F.col("size")))
-        .select("item_id", "size", "ipos", F.xxhash64("part").alias("hash"))
+        .select("item_id", "size", "ipos", "named", F.slice("tokens", F.col("ipos") + 1, F.col("size")).alias("part"), F.slice("raw", F.col("ipos") + 1, F.col("size")).alias("own"))
     )
-    index = cut_lineage(index)
-    counted = index.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_windows"))
+    parts = parts.unionByName(parts.where("ipos = 0 and named").withColumn("part", as_name))
+    index = cut_lineage(parts.select("item_id", "size", "ipos", _key(F.col("part"), F.col("own"), literals).alias("hash")).distinct())
+    counted = index.groupBy("item_id").agg(F.count_distinct("ipos").alias("n_windows"))
 
     text = F.col("text").cast("string")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).where("text is not null and text <> ''")
     key = ["doc_id", "text_hash"]
-    tokenised = base.select("doc_id", F.xxhash64("text").alias("text_hash"), _tokens(_template(_raw(F.col("text")))).alias("tokens"))
-    found = None
-    for size in sizes:
-        hashed = tokenised.select(*key, F.posexplode(_windows(F.col("tokens"), size)).alias("pos", "hash"))
-        hit = hashed.join(small(index.where(F.col("size") == size).drop("size")), "hash").select(
-            *key, "item_id", "ipos", (F.col("pos") - F.col("ipos")).alias("shift"), F.lit(size).alias("size")
-        )
-        found = hit if found is None else found.union(hit)
-    if found is None:
+    if not sizes:
         return docs.sparkSession.createDataFrame([], "doc_id long, text_hash long, item_id long, n_windows long, n_matched long")
+    tokenised = (
+        base.select("doc_id", F.xxhash64("text").alias("text_hash"), _raw(F.col("text")).alias("raw"))
+        .select(*key, F.lower("raw").alias("raw"), _template(F.col("raw")).alias("template"))
+        .select(*key, _tokens(F.col("raw")).alias("raw"), _tokens(F.col("template")).alias("tokens"), F.col("template").rlike(f"[{NAME}{NUMBER}{UNIT}]").alias("masked"))
+    )
+    windows = tokenised.select(*key, F.explode(_windows(F.col("tokens"), F.col("raw"), F.col("masked"), sizes, literals)).alias("w")).select(*key, "w.*")
+    hits = windows.join(small(index), ["size", "hash"]).select(*key, "item_id", "ipos", (F.col("pos") - F.col("ipos")).alias("shift"), "size")
     aligned = cut_lineage(
-        found.groupBy(*key, "item_id", "shift", "size").agg(F.collect_set("ipos").alias("starts"))
+        hits.groupBy(*key, "item_id", "shift", "size").agg(F.collect_set("ipos").alias("starts"))
     )
     slots = cut_lineage(items.select("item_id", F.explode("slots").alias("slot")).select("item_id", F.col("slot.pos").alias("ipos"), F.col("slot.value").alias("value")))
     if not slots.isEmpty():
         aligned = _consistent(aligned, base, slots, key)
-    matched = aligned.select(*key, "item_id", F.explode("starts").alias("ipos")).groupBy(*key, "item_id").agg(
-        F.size(F.collect_set("ipos")).cast("long").alias("n_matched")
-    )
-    return matched.join(small(counted), "item_id").where(F.col("n_matched") >= F.lit(share) * F.col("n_windows")).select(
-        *key, "item_id", "n_windows", "n_matched"
+    needed = run - F.col("size") + 1  # consecutive windows that cover a run
+    in_a_row = F.exists("starts", lambda i: F.size(F.filter("starts", lambda j: (j >= i) & (j < i + needed))) >= needed)
+    matched = (
+        aligned.withColumn("in_a_row", (F.col("size") == window) & (needed > 0) & in_a_row)
+        .select(*key, "item_id", "in_a_row", F.explode("starts").alias("ipos")).groupBy(*key, "item_id")
+        .agg(F.size(F.collect_set("ipos")).cast("long").alias("n_matched"), F.max("in_a_row").alias("in_a_row"))
     )
+    held = (F.col("n_matched") >= F.lit(share) * F.col("n_windows")) | F.col("in_a_row")
+    return matched.join(small(counted), "item_id").where(held).select(*key, "item_id", "n_windows", "n_matched")
 
 
 def _consistent(aligned: DataFrame, base: DataFrame, slots: DataFrame, key: list[str]) -> DataFrame:

@@ -195,6 +195,25 @@ def test_decontamination_equals_search_for_verbatim_items(spark, sf, docs):
     assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()} == want
 
 
+def test_short_and_numeric_items_are_found_word_for_word(spark):
+    figures = " ".join(str(n) for n in range(4, 18))
+    items = {
+        1: "Is 7 > 3 ?", 2: f"Sum {figures}", 3: "Der Hund und die Katze 12 km", 4: "What is 2 + 2 ?", 5: "Anna Bob Carl Dora Emil Fritz Gerd Hans Ida",
+        6: "one two three four five six seven eight nine ten " + " ".join(f"word{i}x" for i in range(60)),
+    }
+    filler = "nothing of note was said about that"
+    texts = {10 * i: f"{filler} {t} {filler}" for i, t in items.items()}
+    texts |= {
+        11: f"{filler} Is 8 > 4 ? {filler}", 21: f"{filler} sum {' '.join(str(n) for n in range(40, 54))}", 41: f"{filler} what is 3 + 9 ?",
+        51: f"{filler} Xaver Yvonne Zoe Uwe Tim Sven Rolf Quirin Paul {filler}",
+        61: f"{filler} {' '.join(items[6].split()[20:33])} {filler}", 62: f"{filler} {' '.join(items[6].split()[20:32])} {filler}", 99: filler * 5,
+    }
+    docs = make_docs(spark, [(i, t, "en", "a") for i, t in texts.items()])
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert found == {(10 * i, i) for i in items} | {(61, 6)}  # thirteen words of the long item, but not twelve
+
+
 # -- 10: mixing ----------------------------------------------------------------------------------------------------
 
 
