@@ -180,8 +180,11 @@ FEATURE_RELATIONS = {
 }
 
 
-def feature_table(graph: EvidenceGraph, claims: DataFrame, core_only: bool = True) -> DataFrame:
-    """features(entity, kind, item, support): the best evidence of each disease feature."""
+def feature_table(graph: EvidenceGraph, claims: DataFrame, core_only: bool = False) -> DataFrame:
+    """features(entity, kind, item, support): the best evidence of each disease feature.
+
+    Diseases that only papers name are scored like others; ``core_only`` leaves them out.
+    """
     diseases = graph.of_type("Disease")
     if core_only:
         diseases = diseases.filter(~F.coalesce("paper_scoped", F.lit(False)))
@@ -421,7 +424,10 @@ def annotate_connections(connections: DataFrame, labels: DataFrame, top_terms: D
 
 
 def entity_projection(features: DataFrame, min_weight: float = LINK_FLOOR) -> DataFrame:
-    """Weighted disease graph: 2 per shared mechanism plus 1/frequency per shared phenotype, from ``min_weight`` up."""
+    """Weighted disease graph: 2 per shared mechanism plus 1/frequency per shared phenotype, from ``min_weight`` up, with
+    the sorted ids of what a pair shares."""
+    own = F.expr("substring(item, length(left_kind) + 2)")
+    listed = lambda kind: F.array_sort(F.collect_list(F.when(F.col("left_kind") == kind, own)))
     mechanisms = of_kind(features, "mechanism").withColumn("weight", F.lit(2.0))
     items = (
         mechanisms.withColumn("kind", F.lit("mechanism"))
@@ -435,6 +441,7 @@ def entity_projection(features: DataFrame, min_weight: float = LINK_FLOOR) -> Da
             F.sum("left_weight").alias("weight"),
             F.count(F.when(F.col("left_kind") == "mechanism", 1)).alias("n_mechanisms"),
             F.count(F.when(F.col("left_kind") == "phenotype", 1)).alias("n_phenotypes"),
+            listed("mechanism").alias("shared_mechanisms"), listed("phenotype").alias("shared_phenotypes"),
         )
         .filter(F.col("weight") >= min_weight - 1e-9)
     )

@@ -304,7 +304,7 @@ def _t15b(t):
     return T.check_summary(_sentences(t), t.claim.select(F.col("pmid").alias("source_id"), "id"), audits).valid.select("source_id", "idx")
 
 
-@query("t16_validate_bundle", f"""
+@query("t16_validate_bundle", SENT + f"""
 , f AS (SELECT doc_id, {_screen_sql('text')} AS flags FROM documents),
 q AS (SELECT c.*, strpos(d.text, c.quote) AS p, d.text FROM claim c JOIN documents d ON d.doc_id=c.doc_id)
 SELECT 'PMID:'||doc_id AS id, 'quarantined source cannot be published' AS reason FROM f WHERE flags<>'' AND (doc_id IN (SELECT doc_id FROM claim))
@@ -315,7 +315,9 @@ UNION ALL SELECT id, 'unverified claim' FROM claim WHERE category='limitation'
 UNION ALL SELECT id, 'invalid evidence offsets' FROM claim WHERE pos%19=0
 UNION ALL SELECT id, 'invalid canonical identity' FROM claim WHERE pos%3<>0
 UNION ALL SELECT id, 'invalid entity references' FROM claim WHERE pos%23=0
-UNION ALL SELECT id, 'invalid relation endpoint types' FROM claim WHERE pos%23=0 AND relation IN ('HAS_PHENOTYPE','ASSOCIATED_WITH')""")
+UNION ALL SELECT id, 'invalid relation endpoint types' FROM claim WHERE pos%23=0 AND relation IN ('HAS_PHENOTYPE','ASSOCIATED_WITH')
+UNION ALL SELECT id, 'invalid entity evidence' FROM claim WHERE trim(quote[1])=''
+UNION ALL SELECT source_id||'#'||idx, 'invalid summary evidence or verification' FROM (SELECT source_id, idx FROM b UNION SELECT source_id, idx FROM s WHERE turn IN (5, 6))""")
 def _t16(t):
     found = X.first_at("text", "quote")
     claims = (
@@ -331,8 +333,8 @@ def _t16(t):
         .withColumn("n_candidates", F.lit(1)).withColumn("local_id", F.when((F.col("seq") % 23 == 0) & (F.col("local_id") == "o"), "x").otherwise(F.col("local_id")))
     )
     sources = docs(t).withColumn("sha256", F.when(F.col("doc_id") % 50 == 0, "0").otherwise(F.col("sha256")))
-    none = _sentences(t).limit(0).withColumn("review_status", F.lit("pending")).withColumn("verified", F.lit(True))
-    return T.validate_bundle(sources, claims, entities.filter("trim(mention) <> ''"), none)
+    summary = _sentences(t).withColumn("review_status", F.when(F.col("idx") == 6, "approved").otherwise("pending")).withColumn("verified", F.col("idx") != 5)
+    return T.validate_bundle(sources, claims, entities, summary)
 
 
 @query("t17_validate_review", """

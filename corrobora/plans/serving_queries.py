@@ -14,7 +14,7 @@ from corrobora.operators.cluster import cluster
 from corrobora.operators.pairs import best_partners
 from corrobora.operators.search import build_index, search_all
 from corrobora.plans.registry import query
-from corrobora.plans.similarity_queries import CONN_SQL, annotated, closed_terms, connections, core_terms
+from corrobora.plans.similarity_queries import CONN_SQL, annotated, closed_terms, connections, scored_terms
 from corrobora.session import cut_lineage
 
 def today():
@@ -25,7 +25,7 @@ def today():
 def _a17(t):
     """Communities over all scored matches (20 and up), moved until modularity gains nothing."""
     pairs = connections(t, 20.0).select("a", "b", F.col("score").alias("weight"))
-    return cluster(pairs, t.disease.filter("NOT paper_scoped"))
+    return cluster(pairs, t.disease)
 
 
 # ---------------------------------------------------------------- serving export
@@ -298,7 +298,7 @@ def _q05d(t):
 
 
 SYMPTOMS = """
-, items AS (SELECT c.entity, c.term AS item, i.ic AS w FROM closed c JOIN ic i ON i.term=c.term WHERE i.ic>0 AND c.entity IN (SELECT id FROM core)),
+, items AS (SELECT c.entity, c.term AS item, i.ic AS w FROM closed c JOIN ic i ON i.term=c.term WHERE i.ic>0 AND c.entity IN (SELECT id FROM disease)),
 tot AS (SELECT entity, sum(w) AS t FROM items GROUP BY entity),
 ov AS (SELECT x.entity AS a, y.entity AS b, sum(x.w) AS o FROM items x JOIN items y ON x.item=y.item AND x.entity<y.entity GROUP BY ALL),
 sy AS (SELECT a, b, 'symptoms' AS lens, least(1.0::DOUBLE, o/(ta.t+tb.t-o)*50/40) AS strength, 1 AS n_items, NULL AS first_item
@@ -307,7 +307,7 @@ sy AS (SELECT a, b, 'symptoms' AS lens, least(1.0::DOUBLE, o/(ta.t+tb.t-o)*50/40
 
 
 def matched_symptoms(t) -> DataFrame:
-    alike = S.ic_jaccard(core_terms(t), 0.4)
+    alike = S.ic_jaccard(scored_terms(t), 0.4)
     return Q.symptom_pairs(alike.select("a", "b", (F.col("similarity") * 50).alias("score")))
 
 
@@ -549,7 +549,7 @@ def _q27(t):
 
 
 @query("q28_match_card", """
-, items AS (SELECT c.entity, c.term AS item, i.ic AS w FROM closed c JOIN ic i ON i.term=c.term WHERE i.ic>0 AND c.entity IN (SELECT id FROM core)), tot AS (SELECT entity, sum(w) AS t FROM items GROUP BY entity),
+, items AS (SELECT c.entity, c.term AS item, i.ic AS w FROM closed c JOIN ic i ON i.term=c.term WHERE i.ic>0 AND c.entity IN (SELECT id FROM disease)), tot AS (SELECT entity, sum(w) AS t FROM items GROUP BY entity),
 ov AS (SELECT x.entity AS a, y.entity AS b, sum(x.w) AS o FROM items x JOIN items y ON x.item=y.item AND x.entity<y.entity GROUP BY ALL),
 p AS MATERIALIZED (SELECT a, b FROM ov JOIN tot ta ON ta.entity=a JOIN tot tb ON tb.entity=b WHERE o/(ta.t+tb.t-o)>=0.4), hp AS (SELECT DISTINCT src, dst FROM has_phenotype),
 tk AS (SELECT a, b, x.term, row_number() OVER (PARTITION BY a, b ORDER BY round(i.ic,9) DESC, x.term) AS r FROM p JOIN closed x ON x.entity=a JOIN closed y ON y.entity=b AND y.term=x.term JOIN ic i ON i.term=x.term)
@@ -557,7 +557,7 @@ SELECT p.a, p.b, x.dst AS phenotype, tk.term IS NOT NULL AS informative FROM p J
 def _q28(t):
     _, closed = closed_terms(t)
     ic = cut_lineage(S.information_content(t.annotation, closed=closed).withColumn("ic", F.round("ic", 9)))
-    pairs = cut_lineage(S.ic_jaccard(core_terms(t), 0.4))
+    pairs = cut_lineage(S.ic_jaccard(scored_terms(t), 0.4))
     return Q.match_card(pairs, t.has_phenotype, S.top_shared_terms(pairs, closed, ic)).select("a", "b", "phenotype", "informative")
 
 

@@ -14,7 +14,7 @@ from corrobora.session import cut_lineage
 # The brute-force pair score in SQL: all pairs that share a feature or a closed term.
 PAIR_SQL = """
 , items AS (SELECT c.entity, c.term AS item, i.ic AS w FROM closed c JOIN ic i ON i.term=c.term
-  WHERE i.ic>0 AND c.entity IN (SELECT id FROM core)),
+  WHERE i.ic>0 AND c.entity IN (SELECT id FROM disease)),
 tot AS (SELECT entity, sum(w) AS t FROM items GROUP BY entity),
 ov AS (SELECT x.entity AS a, y.entity AS b, sum(x.w) AS o FROM items x JOIN items y ON x.item=y.item AND x.entity<y.entity GROUP BY ALL),
 sim AS (SELECT a, b, o/(ta.t+tb.t-o) AS s FROM ov JOIN tot ta ON ta.entity=a JOIN tot tb ON tb.entity=b),
@@ -63,20 +63,19 @@ def closed_terms(t):
     return t.made["closed_terms"]
 
 
-def core_terms(t):
-    """items(entity, item, ic weight) of every core disease."""
+def scored_terms(t):
+    """items(entity, item, ic weight) of every disease."""
     _, closed = closed_terms(t)
     ic = S.information_content(t.annotation, closed=closed)
-    core = t.disease.filter(~F.col("paper_scoped")).select(F.col("id").alias("entity"))
-    return cut_lineage(S.weighted_terms(closed, ic).join(core, "entity", "left_semi"))
+    return cut_lineage(S.weighted_terms(closed, ic).join(t.disease.select(F.col("id").alias("entity")), "entity", "left_semi"))
 
 
-def core_features(t):
+def scored_features(t):
     return cut_lineage(S.feature_table(t.disease_graph, t.claim))
 
 
 def connections(t, min_score: float = 20.0) -> DataFrame:
-    return S.all_connections(core_features(t), core_terms(t), min_score)
+    return S.all_connections(scored_features(t), scored_terms(t), min_score)
 
 
 @query("a01_ancestor_closure", """
@@ -95,19 +94,19 @@ def _a02(t):
 
 @query("a03_ic_jaccard", f"""
 , items AS (SELECT c.entity, c.term AS item, i.ic AS w FROM closed c JOIN ic i ON i.term=c.term
-  WHERE i.ic>0 AND c.entity IN (SELECT id FROM disease WHERE NOT paper_scoped)),
+  WHERE i.ic>0 AND c.entity IN (SELECT id FROM disease)),
 tot AS (SELECT entity, sum(w) AS t FROM items GROUP BY entity),
 ov AS (SELECT x.entity AS a, y.entity AS b, sum(x.w) AS o FROM items x JOIN items y ON x.item=y.item AND x.entity<y.entity GROUP BY ALL)
 SELECT a, b, round(o/(ta.t+tb.t-o),6) AS similarity FROM ov JOIN tot ta ON ta.entity=a JOIN tot tb ON tb.entity=b
 WHERE o/(ta.t+tb.t-o) >= 0.4""")
 def _a03(t):
-    found = S.ic_jaccard(core_terms(t), 0.4)
+    found = S.ic_jaccard(scored_terms(t), 0.4)
     return found.select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @query("a04_top_shared_terms", """
 , items AS (SELECT c.entity, c.term AS item, i.ic AS w FROM closed c JOIN ic i ON i.term=c.term
-  WHERE i.ic>0 AND c.entity IN (SELECT id FROM disease WHERE NOT paper_scoped)),
+  WHERE i.ic>0 AND c.entity IN (SELECT id FROM disease)),
 tot AS (SELECT entity, sum(w) AS t FROM items GROUP BY entity),
 ov AS (SELECT x.entity AS a, y.entity AS b, sum(x.w) AS o FROM items x JOIN items y ON x.item=y.item AND x.entity<y.entity GROUP BY ALL),
 sim AS (SELECT a, b FROM ov JOIN tot ta ON ta.entity=a JOIN tot tb ON tb.entity=b WHERE o/(ta.t+tb.t-o) >= 0.5)
@@ -117,7 +116,7 @@ SELECT a, b, term, ic, rank FROM (SELECT a, b, x.term, round(i.ic,6) AS ic,
 def _a04(t):
     _, closed = closed_terms(t)
     ic = cut_lineage(S.information_content(t.annotation, closed=closed).withColumn("ic", F.round("ic", 9)))
-    pairs = S.ic_jaccard(core_terms(t), 0.5)
+    pairs = S.ic_jaccard(scored_terms(t), 0.5)
     return S.top_shared_terms(pairs, closed, ic).select("a", "b", "term", F.round("ic", 6).alias("ic"), "rank")
 
 
@@ -134,12 +133,15 @@ def _a06(t):
 
 
 @query("a07_node_link_map", """
-SELECT src, dst, round(max(evidence),6) AS support FROM evidence WHERE rel='INVOLVES'
-AND src IN (SELECT id FROM disease) AND dst IN (SELECT id FROM mechanism) GROUP BY ALL""")
+SELECT rel, src, dst, round(max(evidence),6) AS support FROM evidence WHERE src IN (SELECT id FROM disease)
+AND dst IN (SELECT id FROM mechanism UNION ALL SELECT id FROM gene UNION ALL SELECT id FROM phenotype) GROUP BY ALL""")
 def _a07(t):
-    scored = S.edge_evidence_score(t.involves, t.claim)
-    links = S.node_link_map(scored, t.disease_graph.nodes, "Disease", "INVOLVES")
-    return links.select("src", "dst", F.round("support", 6).alias("support"))
+    scored = cut_lineage(S.edge_evidence_score(t.disease_graph.edges, t.claim))
+    links = None
+    for rel, _ in S.FEATURE_RELATIONS.values():
+        part = S.node_link_map(scored, t.disease_graph.nodes, "Disease", rel).select(F.lit(rel).alias("rel"), "src", "dst", F.round("support", 6).alias("support"))
+        links = part if links is None else links.unionByName(part)
+    return links
 
 
 @query("a08_feature_table", "SELECT entity, kind, item, round(support,6) AS support FROM features")
@@ -151,14 +153,14 @@ def _a08(t):
 SELECT d.id AS entity, count(*) FILTER (f.kind='mechanism') AS n_mechanism, count(*) FILTER (f.kind='phenotype') AS n_phenotype, count(*) FILTER (f.kind='gene') AS n_gene
 FROM (SELECT DISTINCT id FROM disease) d LEFT JOIN features f ON f.entity=d.id GROUP BY d.id""")
 def _a08b(t):
-    return S.entity_spine(t.disease_graph, core_features(t))
+    return S.entity_spine(t.disease_graph, scored_features(t))
 
 
 @query("a09_shared_feature_weight", f"""
 SELECT x.entity AS a, y.entity AS b, round(sum(x.weight),6) AS weight, count(*) AS n_shared
 FROM rarity x JOIN rarity y ON x.item=y.item AND x.entity<y.entity GROUP BY ALL""")
 def _a09(t):
-    rarity = cut_lineage(S.feature_rarity(core_features(t)))
+    rarity = cut_lineage(S.feature_rarity(scored_features(t)))
     found = sharing_pairs(rarity)
     weights = S.shared_feature_weight(found, rarity)
     return weights.select("a", "b", F.round("weight", 6).alias("weight"), "n_shared")
@@ -170,7 +172,7 @@ SELECT entity, partner, round(overlap,6) AS overlap, n_shared, CAST(row_number()
 QUALIFY rank<=5""")
 def _a09b(t):
     """The five diseases each one shares its rarest phenotypes with: linear in the diseases."""
-    rarity = cut_lineage(S.feature_rarity(core_features(t)))
+    rarity = cut_lineage(S.feature_rarity(scored_features(t)))
     return best_partners(rarity, 5).withColumn("overlap", F.round("overlap", 6))
 
 
@@ -189,14 +191,14 @@ def _rounded(found: DataFrame):
 
 @query("a10_weighted_jaccard", _jaccard_sql("mechanism", "support", 0.203))
 def _a10(t):
-    return _rounded(S.weighted_jaccard(S.of_kind(core_features(t), "mechanism"), 0.203))
+    return _rounded(S.weighted_jaccard(S.of_kind(scored_features(t), "mechanism"), 0.203))
 
 
 @query("a11_shared_feature_support", f"""
 SELECT x.entity AS a, y.entity AS b, round(avg(sqrt(x.support*y.support)),6) AS support FROM features x
 JOIN features y ON x.kind='gene' AND y.kind='gene' AND x.item=y.item AND x.entity<y.entity GROUP BY ALL""")
 def _a11(t):
-    genes = S.of_kind(core_features(t), "gene")
+    genes = S.of_kind(scored_features(t), "gene")
     found = sharing_pairs(genes)
     support = S.shared_feature_support(found, genes)
     return support.select("a", "b", F.round("support", 6).alias("support"))
@@ -204,14 +206,14 @@ def _a11(t):
 
 @query("a12_set_jaccard", _jaccard_sql("phenotype", "1.0::DOUBLE", 0.303))
 def _a12(t):
-    return _rounded(S.set_jaccard(S.of_kind(core_features(t), "phenotype"), 0.303))
+    return _rounded(S.set_jaccard(S.of_kind(scored_features(t), "phenotype"), 0.303))
 
 
 @query("a13_pair_connection", PAIR_SQL + f"""
 SELECT a, b, round(mechanism,5) AS mechanism, round(genetic,5) AS genetic, round(pheno,5) AS phenotype, round(ev,5) AS evidence_quality,
  meaningful AS meaningful_phenotype_link, counter AS same_gene_different_mechanism, connection_type, round(score,4) AS score FROM scored WHERE gn>0""")
 def _a13(t):
-    features, terms = core_features(t), core_terms(t)
+    features, terms = scored_features(t), scored_terms(t)
     found = sharing_pairs(S.of_kind(features, "gene"))
     records = S.pair_connection(cut_lineage(found), features, terms).select(
         "a", "b", F.round("mechanism", 5).alias("mechanism"), F.round("genetic", 5).alias("genetic"),
@@ -265,11 +267,13 @@ def annotated(t) -> DataFrame:
 
 @query("a16_entity_projection", f"""
 , it AS (SELECT entity, item, 2.0::DOUBLE AS w, 1 AS m FROM features WHERE kind='mechanism' UNION ALL SELECT entity, item, weight, 0 FROM rarity)
-SELECT x.entity AS a, y.entity AS b, round(sum(x.w),6) AS weight, count(*) FILTER (x.m=1) AS n_mechanisms, count(*) FILTER (x.m=0) AS n_phenotypes
+SELECT x.entity AS a, y.entity AS b, round(sum(x.w),6) AS weight, count(*) FILTER (x.m=1) AS n_mechanisms, count(*) FILTER (x.m=0) AS n_phenotypes,
+ coalesce(string_agg(x.item, ',' ORDER BY x.item) FILTER (x.m=1), '') AS shared_mechanisms, coalesce(string_agg(x.item, ',' ORDER BY x.item) FILTER (x.m=0), '') AS shared_phenotypes
 FROM it x JOIN it y ON x.item=y.item AND x.m=y.m AND x.entity<y.entity GROUP BY ALL HAVING sum(x.w)>=1.0-1e-9""")
 def _a16(t):
-    found = S.entity_projection(core_features(t))
-    return found.withColumn("weight", F.round("weight", 6))
+    found = S.entity_projection(scored_features(t))
+    text = lambda c: F.array_join(c, ",").alias(c)
+    return found.select("a", "b", F.round("weight", 6).alias("weight"), "n_mechanisms", "n_phenotypes", text("shared_mechanisms"), text("shared_phenotypes"))
 
 
 @query("a18_match_edges", CONN_SQL + """

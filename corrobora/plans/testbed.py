@@ -389,7 +389,7 @@ evidence AS (SELECT e.src, e.dst, e.rel, e.edge_id, greatest(0.0::DOUBLE, least(
     FROM (SELECT edge_id, unnest(supported_by) AS id FROM involves) s JOIN claim c ON c.id=s.id GROUP BY edge_id) k ON k.edge_id=e.edge_id),
 features AS (SELECT src AS entity, CASE rel WHEN 'INVOLVES' THEN 'mechanism' WHEN 'HAS_PHENOTYPE' THEN 'phenotype' ELSE 'gene' END AS kind,
   dst AS item, max(evidence) AS support FROM evidence
-  WHERE src IN (SELECT id FROM disease WHERE NOT paper_scoped)
+  WHERE src IN (SELECT id FROM disease)
   AND dst IN (SELECT id FROM gene UNION ALL SELECT id FROM phenotype UNION ALL SELECT id FROM mechanism) GROUP BY ALL),
 rarity AS (SELECT entity, item, 1.0/count(*) OVER (PARTITION BY item) AS weight FROM features WHERE kind='phenotype')
 """
