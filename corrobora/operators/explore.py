@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corrobora.functions.text import DEFAULT_FOCUS, ORG_FOCUS
 from corrobora.model import EvidenceGraph
 from corrobora.operators.pairs import meetings, shared_items
-from corrobora.session import cut_lineage, first_by, top_by
+from corrobora.session import cut_lineage, first_by, running_before, top_by
 
 # Fixed values.
 LENSES = ["symptoms", "mechanism", "family", "treatments", "trials", "researchers", "groups", "papers"]
@@ -320,14 +320,21 @@ def org_groups(represented: DataFrame, orgs: DataFrame) -> DataFrame:
 def funding_summary(grants: DataFrame, k: int = 4) -> tuple[DataFrame, DataFrame]:
     """grants(gene, grant, award_amount, fiscal_year, organization) -> totals per gene, and its ``k`` best funded organisations.
 
-    The upper median (element n div 2 of the sorted awards) is the first award with at least that many below it; it comes
-    from value counts, so no award list is collected.
+    The upper median (element n div 2 of the sorted awards) is selected by rank: equal awards are counted, the counts are
+    summed over a range partitioning, and the award whose ranks hold the place is it. No task holds the awards of a gene.
     """
     paid = grants.filter("award_amount > 0")
     totals = paid.groupBy("gene").agg(
         F.sum("award_amount").alias("total"), F.max("award_amount").alias("largest"), F.count(F.lit(1)).alias("n"),
-        F.min("fiscal_year").alias("first_year"), F.max("fiscal_year").alias("last_year"),
-        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY award_amount DESC)").alias("median"))
+        F.min("fiscal_year").alias("first_year"), F.max("fiscal_year").alias("last_year"))
+    counts = paid.groupBy("gene", "award_amount").agg(F.count(F.lit(1)).alias("_same"))
+    ranked = running_before(counts, ["gene"], ["award_amount"], F.col("_same"), "_below")
+    place = F.floor(F.col("n") / 2)
+    median = (
+        ranked.join(totals.select("gene", "n"), "gene").where((F.col("_below") <= place) & (place < F.col("_below") + F.col("_same")))
+        .select("gene", F.col("award_amount").alias("median"))
+    )
+    totals = totals.join(median, "gene")
     orgs = paid.groupBy("gene", "organization").agg(F.sum("award_amount").alias("amount"))
     return totals, top_by(orgs, ["gene"], [F.desc("amount"), F.asc("organization")], k)
 

@@ -12,6 +12,7 @@ from pyspark.sql.types import DoubleType
 from corrobora.functions.text import (
     first_xref, nonempty, norm_mention, norm_name, norm_xref, specific_terms, unpadded, whole_word,
 )
+from corrobora.operators.pairs import block_join
 from corrobora.session import first_by, top_by
 
 
@@ -253,18 +254,31 @@ def resolve_mentions(mentions: DataFrame, vocabulary: DataFrame) -> DataFrame:
 def _lexical_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio; pairs whose cheap upper bound is below 0.4 are not aligned."""
 
-    def ratio(x, y):
-        m = SequenceMatcher(None, x, y)
-        return m.ratio() if m.quick_ratio() >= 0.4 else 0.0
+    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
-    return pd.Series([ratio(x, y) for x, y in zip(a, b)], dtype="float64")
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
+
+
+def _letter_counts(text: Column) -> Column:
+    """How often each of ``LETTERS`` occurs, and how many other characters there are."""
+    known = [F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in LETTERS]
+    other = F.length(F.translate(text, LETTERS, ""))
+    return F.array(*known, other)
+
+
+def _at_most(a: str, b: str) -> Column:
+    """An upper bound of the ratio of two texts: matching blocks cannot hold more of a letter than both texts have."""
+    both = F.aggregate(F.zip_with(f"{a}_letters", f"{b}_letters", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    return 2.0 * both / (F.length(a) + F.length(b))
 
 
 def suggest_candidates(unresolved: DataFrame, vocabulary: DataFrame, k: int = 3, floor: float = 0.4) -> DataFrame:
     """Up to ``k`` suggestions per unresolved disease or phenotype mention; they are never merged.
 
-    Only labels that share a word of at least three characters are compared, each distinct (mention, label) text
-    once. The ratio is at most 2 * shorter / (sum of lengths), which removes many pairs before Python sees them.
+    Only labels that share a word of at least three characters are compared, each distinct (mention, label) text once.
+    The labels of a word are met block by block, so a word that most labels have is spread over tasks. What two texts
+    have in common, letter by letter, bounds their ratio; pairs below the floor are dropped before Python sees them.
     """
     words = lambda c: F.array_distinct(F.filter(F.regexp_extract_all(c, F.lit("([a-z0-9]+)"), 1), lambda w: F.length(w) >= 3))
     vocabulary = vocabulary.filter(F.col("kind").isin("Disease", "Phenotype"))
@@ -273,12 +287,12 @@ def suggest_candidates(unresolved: DataFrame, vocabulary: DataFrame, k: int = 3,
         .select("kind", norm_mention("mention").alias("text")).distinct()
     )
     records = vocabulary.select("kind", "id", norm_mention("label").alias("label_key")).distinct()
-    by_word = vocabulary.select("kind", norm_mention("label").alias("label_key"), F.explode(words(F.col("key"))).alias("word")).distinct()
-    pairs = (
-        mentions.select("kind", "text", F.explode(words(F.col("text"))).alias("word"))
-        .join(by_word, ["kind", "word"]).select("kind", "text", "label_key").distinct()
-        .filter(2.0 * F.least(F.length("text"), F.length("label_key")) / (F.length("text") + F.length("label_key")) >= floor)
-    )
+    item = F.concat_ws("|", "kind", "word").alias("item")
+    left = mentions.select("kind", F.col("text").alias("x"), F.explode(words(F.col("text"))).alias("word")).select(item, "kind", "x")
+    right = vocabulary.select("kind", norm_mention("label").alias("y"), F.explode(words(F.col("key"))).alias("word")).distinct().select(item, "y")
+    counted = lambda c: (F.col(c), _letter_counts(F.col(c)).alias(f"{c}_letters"))
+    met = block_join(left.select("item", "kind", *counted("x")), right.select("item", *counted("y")))
+    pairs = met.where(_at_most("x", "y") >= floor - 1e-9).select("kind", F.col("x").alias("text"), F.col("y").alias("label_key")).distinct()
     scored = pairs.withColumn("score", _lexical_ratio("text", "label_key")).filter(F.col("score") >= floor)
     ranked = top_by(scored.join(records, ["kind", "label_key"]), ["kind", "text"], [F.desc("score"), F.desc("id")], k)
     return ranked.select("kind", F.col("text").alias("mention_key"), "id", F.round("score", 3).alias("lexical_score"), "rank")

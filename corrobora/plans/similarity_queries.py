@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corrobora.operators import similarity as S
 from corrobora.operators.pairs import best_partners, sharing_pairs
 from corrobora.plans.registry import query
-from corrobora.session import cut_lineage
+from corrobora.session import checkpoint_dir, cut_lineage
+from corrobora.sources import sinks
 
 
 # The brute-force pair score in SQL: all pairs that share a feature or a closed term.
@@ -291,3 +294,21 @@ def _a18(t):
 SELECT DISTINCT a.src, v.src AS dst, 'HAS_VARIANT' AS rel FROM associated_with a JOIN in_gene v ON v.dst=a.dst WHERE a.dst IN (SELECT id FROM gene)""")
 def _a19(t):
     return S.shortcut_edges(t.graph)
+
+
+@query("k02_similarity_tiles", """
+, items AS (SELECT c.entity, c.term AS item, i.ic AS w FROM closed c JOIN ic i ON i.term=c.term WHERE i.ic>0 AND c.entity IN (SELECT id FROM disease)),
+tot AS (SELECT entity, sum(w) AS t FROM items GROUP BY entity),
+ov AS (SELECT x.entity AS a, y.entity AS b, sum(x.w) AS o FROM items x JOIN items y ON x.item=y.item AND x.entity<y.entity GROUP BY ALL),
+sim AS (SELECT a, b, o/(ta.t+tb.t-o) AS s FROM ov JOIN tot ta ON ta.entity=a JOIN tot tb ON tb.entity=b WHERE o/(ta.t+tb.t-o) >= 0.4),
+cell AS (SELECT a AS "row", b AS "col", s FROM sim UNION ALL SELECT b, a, s FROM sim UNION ALL SELECT d.id, d.id, CASE WHEN tot.t > 0 THEN 1 ELSE 0 END FROM disease d LEFT JOIN tot ON tot.entity=d.id),
+n AS (SELECT id, CAST((row_number() OVER (ORDER BY id) - 1) // 256 AS BIGINT) AS block FROM disease)
+SELECT r.block AS row_block, c.block AS col_block, "row", "col", round(s, 6) AS similarity FROM cell JOIN n r ON r.id="row" JOIN n c ON "col"=c.id""")
+def _k02b(t):
+    """The IC similarity matrix of all diseases: both triangles and the diagonal, written in tiles and read back."""
+    items, diseases = scored_terms(t), t.disease.select(F.col("id").alias("entity"))
+    rows = S.similarity_matrix_rows(cut_lineage(S.ic_jaccard(items, 0.4)), items, diseases)
+    path = f"{checkpoint_dir(t.spark)}/scratch/tiles-{uuid.uuid4().hex}"
+    sinks.write_similarity_tiles(sinks.similarity_tiles(rows, diseases), path)
+    cells = t.spark.read.parquet(path).select("row_block", "col_block", F.explode("cells").alias("c"))
+    return cells.select("row_block", "col_block", "c.row", "c.col", F.round("c.similarity", 6).alias("similarity"))

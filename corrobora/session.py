@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -58,30 +58,30 @@ def top_by(df: DataFrame, keys: list[str], order: list, k: int, rank: str = "ran
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
 
 
-def ordinal_within(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
-    """0-based position of every row inside its key, without bringing a key into one task.
+def running_before(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """Adds ``name``: the sum of ``value`` over the rows of the same key that come earlier in ``order``.
 
-    Rows are range-partitioned on (key, order), so a hot key spans many tasks. Each task numbers its
-    own rows; only keys cut by a partition boundary need an offset, and there are fewer of those than
-    partitions, which bounds the table that is broadcast.
+    No key is brought into one task. Rows are range-partitioned on (key, order), so a hot key spans many tasks. Each task
+    sums its own rows; only keys cut by a partition boundary need an offset, and there are fewer of those than partitions,
+    which bounds the table that is broadcast. Rows of a null key keep their own sums apart per partition.
     """
     placed = cut_lineage(
-        df.repartitionByRange(*[F.col(c) for c in [*keys, *order]]).withColumn("_pid", F.spark_partition_id())
-    )
-    local = Window.partitionBy(*keys, "_pid").orderBy(*order)
-    numbered = placed.withColumn(name, F.row_number().over(local) - 1)
-    sizes = placed.groupBy(*keys, "_pid").agg(F.count(F.lit(1)).alias("_n"))
-    spanning = (
-        sizes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_parts")).filter("_parts > 1").drop("_parts")
+        df.withColumn("_value", value).repartitionByRange(*[F.col(c) for c in [*keys, *order]]).withColumn("_pid", F.spark_partition_id())
     )
+    local = Window.partitionBy(*keys, "_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = placed.withColumn(name, F.sum("_value").over(local) - F.col("_value"))
+    sizes = placed.groupBy(*keys, "_pid").agg(F.sum("_value").alias("_n"))
+    spanning = sizes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_parts")).filter("_parts > 1").drop("_parts")
     before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        sizes.join(F.broadcast(spanning), keys, "left_semi")
-        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .drop("_n")
-    )
+    cut = sizes.join(F.broadcast(spanning), keys, "left_semi") if keys else sizes
+    offsets = cut.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     return (
         numbered.join(F.broadcast(offsets), [*keys, "_pid"], "left")
         .withColumn(name, (F.col(name) + F.coalesce("_before", F.lit(0))).cast("long"))
-        .drop("_pid", "_before")
+        .drop("_pid", "_before", "_value")
     )
+
+
+def ordinal_within(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """0-based position of every row inside its key, without bringing a key into one task."""
+    return running_before(df, keys, order, F.lit(1).cast("long"), name)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
 from corrobora.model import EvidenceGraph
+from corrobora.session import cut_lineage, ordinal_within
 
 
 def write_graph(graph: EvidenceGraph, path: str, mode: str = "overwrite") -> None:
@@ -37,6 +38,28 @@ def write_similarity_matrix(rows: DataFrame, labels: list[str], path: str, mode:
     matrix(rows.filter(F.col("row").isin(*labels)), labels).orderBy("row").write.mode(mode).option("header", True).csv(path)
 
 
+def similarity_tiles(rows: DataFrame, entities: DataFrame, tile: int = 256) -> DataFrame:
+    """(row_block, col_block, cells): the matrix of all entities in tiles of ``tile`` x ``tile``, one row per tile that is not empty.
+
+    ``rows(row, col, similarity)`` are the cells of both triangles and the diagonal, ``entities(entity)`` all entities;
+    entities are numbered in the order of their ids without one task sorting them. ``cells`` is sorted by row and column
+    and holds (row, col, similarity); cells that are left out are 0. A tile's size is bounded, whatever the matrix.
+    """
+    placed = cut_lineage(
+        ordinal_within(entities.select("entity").distinct(), [], ["entity"], "place").select("entity", F.floor(F.col("place") / tile).cast("long").alias("block"))
+    )
+    side = lambda e: placed.select(F.col("entity").alias(e), F.col("block").alias(f"{e}_block"))
+    return (
+        rows.join(side("row"), "row").join(side("col"), "col").groupBy("row_block", "col_block")
+        .agg(F.array_sort(F.collect_list(F.struct("row", "col", "similarity"))).alias("cells"))
+    )
+
+
+def write_similarity_tiles(tiles: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """The tiles in the order of their blocks, so that a reader of some rows opens few files."""
+    tiles.repartitionByRange("row_block", "col_block").sortWithinPartitions("row_block", "col_block").write.mode(mode).parquet(path)
+
+
 def write_connections(connections: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Pair records as JSON lines, best score first (a range sort; the files follow the order)."""
     connections.orderBy(F.desc("score"), "a", "b").write.mode(mode).json(path)
