@@ -11,13 +11,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corrobora.llm.shingles import fingerprint, shingle_set
-from corrobora.llm.tables import connected_components, placed_by, sums_before
+from corrobora.llm.tables import connected_components, placed_by, small, sums_before
 from corrobora.session import cut_lineage
 
 CHUNK = 1 << 12
 
 
-def token_frequencies(texts: DataFrame, words: int, buckets: int = 1 << 21) -> np.ndarray:
+def _packed(counts: np.ndarray) -> bytes:
+    """A chunk of counters, as places and counts when few are in use, else as bytes or 32-bit numbers."""
+    held = np.flatnonzero(counts)
+    if 8 * len(held) < len(counts):
+        return b"s" + held.astype(np.uint16).tobytes() + counts[held].astype(np.uint32).tobytes()
+    return b"b" + counts.astype(np.uint8).tobytes() if counts.max() < 256 else b"w" + counts.astype(np.uint32).tobytes()
+
+
+def _add_packed(total: np.ndarray, packed: bytes) -> None:
+    kind, body = packed[:1], packed[1:]
+    if kind == b"s":
+        n = len(body) // 6
+        total[np.frombuffer(body[: 2 * n], dtype=np.uint16)] += np.frombuffer(body[2 * n :], dtype=np.uint32)
+    else:
+        total += np.frombuffer(body, dtype=np.uint8 if kind == b"b" else np.uint32)
+
+
+def token_frequencies(texts: DataFrame, words: int, buckets: int = 1 << 24) -> np.ndarray:
     """A byte per bucket of shingle hashes: 8 times the binary logarithm of 1 + how many documents hold one of its shingles.
 
     The table orders shingles from rare to frequent in the same way everywhere; every order gives whole results, so a
@@ -31,16 +48,17 @@ def token_frequencies(texts: DataFrame, words: int, buckets: int = 1 << 21) -> n
             for text in batch.column(0):
                 np.add.at(total, (shingle_set(text.as_py(), words) % np.uint64(buckets)).astype(np.int64), 1)
         held = [i for i in range(0, buckets, CHUNK) if total[i : i + CHUNK].any()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(held, pa.int32()), pa.array([total[i : i + CHUNK].tobytes() for i in held], pa.binary())], names=["chunk", "counts"]
-        )
+        for at in range(0, len(held), 500):
+            part = held[at : at + 500]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(part, pa.int32()), pa.array([_packed(total[i : i + CHUNK]) for i in part], pa.binary())], names=["chunk", "counts"]
+            )
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                one = np.frombuffer(counts.as_py(), dtype=np.int32).astype(np.int64)
-                sums[chunk] = sums[chunk] + one if chunk in sums else one
+                _add_packed(sums.setdefault(chunk, np.zeros(min(CHUNK, buckets), dtype=np.int64)), counts.as_py())
         levels = [np.minimum(255, np.round(8 * np.log2(s + 1.0))).astype(np.uint8).tobytes() for s in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary())], names=["chunk", "levels"])
 
@@ -167,21 +185,38 @@ def spanning(ids: np.ndarray, pairs: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _able(pdf: pd.DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places of the one block, places of the other, matrix of the pairs with enough prefix matches and fitting sizes)."""
+    ids, block, need, sizes = (pdf[c].to_numpy() for c in ("id", "block", "need", "n"))
+    one = np.flatnonzero(block == pdf["lo"].iat[0])
+    two = np.flatnonzero(block == pdf["hi"].iat[0])
+    owner, code = _coded([np.asarray(p) for p in pdf["prefix"]])
+    able = _common(owner, code, len(pdf), one, two) >= np.minimum(need[one][:, None], need[two][None, :])
+    low, high = sizes[one][:, None], sizes[two][None, :]
+    able &= 100 * np.minimum(low, high) >= percent * np.maximum(low, high)
+    if pdf["lo"].iat[0] == pdf["hi"].iat[0]:
+        able &= ids[one][:, None] < ids[two][None, :]
+    return one, two, able
+
+
+def _wanted(percent: int):
+    """The classes of two blocks that have a candidate in them."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        one, two, able = _able(pdf, percent)
+        ids = pdf["id"].to_numpy()
+        return pd.DataFrame({"id": np.unique(np.concatenate((ids[one[able.any(axis=1)]], ids[two[able.any(axis=0)]])))})
+
+    return run
+
+
 def _met(percent: int):
     """Two blocks: prefix matches of all their pairs, full sets of the candidates, then a spanning set of the links and the
     number of linked documents of every class."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, block, need = (pdf[c].to_numpy() for c in ("id", "block", "need"))
-        sizes, copies = pdf["n"].to_numpy(), pdf["copies"].to_numpy()
-        one = np.flatnonzero(block == pdf["lo"].iat[0])
-        two = np.flatnonzero(block == pdf["hi"].iat[0])
-        owner, code = _coded([np.asarray(p) for p in pdf["prefix"]])
-        able = _common(owner, code, len(pdf), one, two) >= np.minimum(need[one][:, None], need[two][None, :])
-        low, high = sizes[one][:, None], sizes[two][None, :]
-        able &= 100 * np.minimum(low, high) >= percent * np.maximum(low, high)
-        if pdf["lo"].iat[0] == pdf["hi"].iat[0]:
-            able &= ids[one][:, None] < ids[two][None, :]
+        one, two, able = _able(pdf, percent)
+        ids, sizes, copies = (pdf[c].to_numpy() for c in ("id", "n", "copies"))
         rows, columns = np.flatnonzero(able.any(axis=1)), np.flatnonzero(able.any(axis=0))
         if not len(rows):
             return pd.DataFrame({"a": [], "b": [], "n": []}).astype("Int64")
@@ -202,8 +237,8 @@ def _met(percent: int):
     return run
 
 
-def _dense_links(members: DataFrame, heavy: DataFrame, classes: DataFrame, bodies: DataFrame, percent: int, most: int, wide: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(links and link counts, blocks, blocks that meet): all links among classes that hold a ``heavy`` token, from blocks that meet in tasks.
+def _blocks(members: DataFrame, heavy: DataFrame, percent: int, most: int, wide: int) -> tuple[DataFrame, DataFrame]:
+    """(blocks, meet): every class that holds a ``heavy`` token with its block, and the blocks lo <= hi that have to meet.
 
     Classes are range-partitioned by size and numbered by prefix sums into blocks of at most about ``most`` classes and
     ``wide`` shingles. Two blocks meet once, however many tokens their members share, and only when their sizes allow a link.
@@ -222,11 +257,28 @@ def _dense_links(members: DataFrame, heavy: DataFrame, classes: DataFrame, bodie
         left.join(right, "token").where("block_x <= block_y").where(F.lit(100) * F.col("most_x") >= F.lit(percent) * F.col("least_y"))
         .select(F.col("block_x").alias("lo"), F.col("block_y").alias("hi")).distinct()
     )
+    return blocks, meet
+
+
+def _meetings(meet: DataFrame, rows: DataFrame, run, schema: str) -> DataFrame:
+    """``run`` on the ``rows`` (with ``block``) of every two blocks that meet."""
     sides = meet.select("lo", "hi", F.col("lo").alias("block")).unionByName(meet.where("lo < hi").select("lo", "hi", F.col("hi").alias("block")))
-    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    body = blocks.select("id", "block").join(classes.select("id", "n", "need", "copies", "prefix"), "id").join(bodies, "id")
-    links = sides.join(body, "block").repartition(tasks, "lo", "hi").groupBy("lo", "hi").applyInPandas(_met(percent), LINKS)
-    return cut_lineage(links), blocks, meet
+    tasks = int(meet.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # work follows groups, not bytes: no coalescing
+    return cut_lineage(sides.join(rows, "block").repartition(tasks, "lo", "hi").groupBy("lo", "hi").applyInPandas(run, schema))
+
+
+def _bodies(base: DataFrame, posted: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(id, body): the set of every class of ``wanted(id, fp, rep)``, from one of its texts where it lies.
+
+    Only texts of repeated doc_ids, and of none, can give a class twice; they alone are compared.
+    """
+    again = cut_lineage(posted.where("fp is not null and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    reps = cut_lineage(wanted.where("rep is not null").select(F.col("rep").alias("doc_id")).distinct())
+    named = base.where(F.col("text").isNotNull()).join(small(reps), "doc_id", "left_semi")
+    once = named.join(small(again), "doc_id", "left_anti")
+    more = named.join(small(again), "doc_id", "left_semi").unionByName(base.where("doc_id is null and text is not null"))
+    sets = lambda rows: rows.select("text").mapInArrow(_sets(words), "fp binary, body binary").join(small(wanted.select("fp", "id")), "fp").select("id", "body")
+    return cut_lineage(sets(once).unionByName(sets(more).dropDuplicates(["id"])))
 
 
 def similar_documents(
@@ -266,16 +318,9 @@ def similar_documents(
     members = cut_lineage(postings.join(lists, "token"))
     heavy = lists.where(F.col("held") > light).select("token")
 
-    able = members.select("id").distinct()
-    wanted = cut_lineage(classes.join(able, "id", "left_semi").select("id", "fp", "rep"))
-    reps = wanted.where("rep is not null").select(F.col("rep").alias("doc_id")).distinct()
-    texts = base.join(reps, "doc_id", "left_semi").unionByName(base.where("doc_id is null")).where(F.col("text").isNotNull())
-    bodies = cut_lineage(
-        texts.select("text").mapInArrow(_sets(words), "fp binary, body binary").join(wanted.select("fp", "id"), "fp")
-        .dropDuplicates(["id"]).select("id", "body")
-    )
-
-    dense, blocks, meet = _dense_links(members, heavy, classes, bodies, percent, most, wide)
+    blocks, meet = _blocks(members, heavy, percent, most, wide)
+    posts = blocks.select("id", "block").join(classes.select("id", "n", "need", "copies", "prefix"), "id")
+    dense_ids = _meetings(meet, posts, _wanted(percent), "id long").distinct()
     few = members.where(F.col("held") <= light).select("token", "id", "n", "need")
     two = few.select("token", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "need")])
     counted = (
@@ -291,9 +336,13 @@ def similar_documents(
         .withColumn("lo", F.least("x", "y")).withColumn("hi", F.greatest("x", "y"))
     )
     seen = F.col("x").isNotNull() & F.col("y").isNotNull()
+    placed = cut_lineage(placed)
     pairs = cut_lineage(
         placed.where(~seen).select("a", "b").unionByName(placed.where(seen).join(meet, ["lo", "hi"], "left_anti").select("a", "b"))
     )
+    ids = cut_lineage(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(dense_ids).distinct())
+    bodies = _bodies(base, posted, cut_lineage(classes.select("id", "fp", "rep").join(ids, "id", "left_semi")), words)
+    dense = _meetings(meet, posts.join(bodies, "id"), _met(percent), LINKS)
     sparse = cut_lineage(
         pairs.join(bodies.select(F.col("id").alias("b"), F.col("body").alias("body_b")), "b")
         .join(bodies.select(F.col("id").alias("a"), F.col("body").alias("body_a")), "a")
