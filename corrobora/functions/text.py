@@ -26,15 +26,32 @@ def norm_name(c) -> Column:
     return F.trim(F.regexp_replace(F.lower(_c(c)), "[^a-z0-9]+", " "))
 
 
-@F.pandas_udf(StringType())
-def _casefold(values: pd.Series) -> pd.Series:
-    return values.str.casefold()
+def _foldings() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters whose caseless form is not their lower-case one: those with a form of one character, and of several.
+
+    Follows from the rules of Unicode as Python has them, on all characters up to the last one with a case.
+    """
+    one, many = {}, {}
+    for code in range(0x80, 0x1F000):
+        c = chr(code)
+        folded = c.casefold()
+        if folded != c and c.lower() == c:
+            (one if len(folded) == 1 else many)[c] = folded
+    return one, many
+
+
+_ONE, _MANY = _foldings()
 
 
 def casefolded(c) -> Column:
-    """Caseless form. Lower-casing does it for ASCII text; only other text crosses to Python."""
+    """Caseless form, all in the JVM: lower case, then the characters for which that is not enough."""
     c = _c(c)
-    return F.coalesce(_casefold(F.when(F.rlike(c, F.lit(r"[^\x00-\x7F]")), c)), F.lower(c))
+    lower = F.lower(c)
+    folded = F.translate(lower, "".join(_ONE), "".join(_ONE.values()))
+    spelt = F.create_map(*[F.lit(x) for pair in _MANY.items() for x in pair])
+    longer = F.array_join(F.transform(F.split(folded, ""), lambda x: F.coalesce(F.element_at(spelt, x), x)), "")
+    whole = F.when(F.rlike(folded, F.lit(f"[{''.join(_MANY)}]")), longer).otherwise(folded)
+    return F.when(F.length(c) == F.octet_length(c), lower).otherwise(whole)
 
 
 def is_blank(c) -> Column:

@@ -72,3 +72,18 @@ def test_mentions_are_caseless_and_entities_decoded(spark):
     assert row.a == "strasse b fibrosis"
     assert row.b == "Org & Co \u2019n\U0001f600 Espa\u00f1a <b> &nope; & \ufffd &lt;"
     assert row.c
+
+
+def test_casefolding_equals_the_rules_of_unicode(spark):
+    """Every character that either side changes, alone and inside a word, apart from signs that only newer tables know."""
+    import unicodedata
+
+    codes = [c for c in range(0x1F000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) != "Cn"]
+    rows = [(c, f"a{chr(c)}B") for c in codes]
+    df = spark.createDataFrame(rows, "code int, text string")
+    got = {r.code: r.folded for r in df.select("code", X.casefolded("text").alias("folded")).collect()}
+    wrong = [c for c, t in rows if got[c] != t.casefold()]
+    assert len(wrong) <= 5 and all(c > 0xA000 or c == 0x130 for c in wrong), [hex(c) for c in wrong]
+    texts = [("Straße ΣΊΣΥΦΟΣ ﬁne", ), ("", ), (None, ), ("MASSE ʼN", )]
+    folded = [r[0] for r in spark.createDataFrame(texts, "t string").select(X.casefolded("t")).collect()]
+    assert folded == [t and t.casefold() for (t,) in texts]
