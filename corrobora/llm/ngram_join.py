@@ -200,12 +200,13 @@ def _able(pdf: pd.DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def _wanted(percent: int):
-    """The classes of two blocks that have a candidate in them."""
+    """The classes of two blocks that have a candidate in them: only their sets go to the meeting."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         one, two, able = _able(pdf, percent)
         ids = pdf["id"].to_numpy()
-        return pd.DataFrame({"id": np.unique(np.concatenate((ids[one[able.any(axis=1)]], ids[two[able.any(axis=0)]])))})
+        found = np.unique(np.concatenate((ids[one[able.any(axis=1)]], ids[two[able.any(axis=0)]])))
+        return pd.DataFrame({"lo": pdf["lo"].iat[0], "hi": pdf["hi"].iat[0], "id": found}).astype("int64")
 
     return run
 
@@ -260,11 +261,10 @@ def _blocks(members: DataFrame, heavy: DataFrame, percent: int, most: int, wide:
     return blocks, meet
 
 
-def _meetings(meet: DataFrame, rows: DataFrame, run, schema: str) -> DataFrame:
-    """``run`` on the ``rows`` (with ``block``) of every two blocks that meet."""
-    sides = meet.select("lo", "hi", F.col("lo").alias("block")).unionByName(meet.where("lo < hi").select("lo", "hi", F.col("hi").alias("block")))
-    tasks = int(meet.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # work follows groups, not bytes: no coalescing
-    return cut_lineage(sides.join(rows, "block").repartition(tasks, "lo", "hi").groupBy("lo", "hi").applyInPandas(run, schema))
+def _meetings(rows: DataFrame, run, schema: str) -> DataFrame:
+    """``run`` on the ``rows(lo, hi, block, ...)`` of every two blocks that meet."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # work follows groups, not bytes: no coalescing
+    return cut_lineage(rows.repartition(tasks, "lo", "hi").groupBy("lo", "hi").applyInPandas(run, schema))
 
 
 def _bodies(base: DataFrame, posted: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -320,7 +320,8 @@ def similar_documents(
 
     blocks, meet = _blocks(members, heavy, percent, most, wide)
     posts = blocks.select("id", "block").join(classes.select("id", "n", "need", "copies", "prefix"), "id")
-    dense_ids = _meetings(meet, posts, _wanted(percent), "id long").distinct()
+    sides = meet.select("lo", "hi", F.col("lo").alias("block")).unionByName(meet.where("lo < hi").select("lo", "hi", F.col("hi").alias("block")))
+    able = _meetings(sides.join(posts, "block"), _wanted(percent), "lo long, hi long, id long")
     few = members.where(F.col("held") <= light).select("token", "id", "n", "need")
     two = few.select("token", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "need")])
     counted = (
@@ -340,9 +341,9 @@ def similar_documents(
     pairs = cut_lineage(
         placed.where(~seen).select("a", "b").unionByName(placed.where(seen).join(meet, ["lo", "hi"], "left_anti").select("a", "b"))
     )
-    ids = cut_lineage(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(dense_ids).distinct())
+    ids = cut_lineage(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(able.select("id")).distinct())
     bodies = _bodies(base, posted, cut_lineage(classes.select("id", "fp", "rep").join(ids, "id", "left_semi")), words)
-    dense = _meetings(meet, posts.join(bodies, "id"), _met(percent), LINKS)
+    dense = _meetings(able.join(posts, "id").join(bodies, "id"), _met(percent), LINKS)
     sparse = cut_lineage(
         pairs.join(bodies.select(F.col("id").alias("b"), F.col("body").alias("body_b")), "b")
         .join(bodies.select(F.col("id").alias("a"), F.col("body").alias("body_a")), "a")
