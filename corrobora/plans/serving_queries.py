@@ -107,14 +107,33 @@ def _e05(t):
 
 
 @query("e06_normalise_papers", """
-SELECT p.id, count(c.id) FILTER (c.category<>'authorship') AS claim_count, (SELECT count(*) FROM claim a WHERE a.pmid=p.id AND a.category='authorship') AS n_authors,
+, au AS (SELECT pmid, string_agg(id, ';' ORDER BY pos) AS authors FROM claim WHERE category='authorship' GROUP BY pmid),
+se AS (SELECT 'PMID:'||conv_id AS id, md5(string_agg(text, ' | ' ORDER BY turn)) AS summary FROM conversations GROUP BY conv_id)
+SELECT p.id, count(c.id) FILTER (c.category<>'authorship') AS claim_count, coalesce(any_value(au.authors), '') AS authors,
  CASE WHEN bool_and(c.polarity='affirmed') FILTER (c.category<>'authorship') THEN 'approved' ELSE 'auto_verified' END AS review_status,
- arg_min('m'||c.pos%3, c.pos) FILTER (c.category<>'authorship') AS model, coalesce(max(l.quality),0) AS n_sentences
-FROM paper p LEFT JOIN claim c ON c.pmid=p.id LEFT JOIN labels l ON 'PMID:'||l.doc_id=p.id GROUP BY p.id""")
+ arg_min('m'||c.pos%3, c.pos) FILTER (c.category<>'authorship') AS model, arg_min('v'||c.pos%2, c.pos) FILTER (c.category<>'authorship') AS prompt_version,
+ coalesce(any_value(se.summary), md5('')) AS summary, any_value('quality '||l.quality) AS summary_audit, any_value(CASE WHEN l.toxic=1 THEN 'abstract only' END) AS scope_note
+FROM paper p LEFT JOIN claim c ON c.pmid=p.id LEFT JOIN labels l ON 'PMID:'||l.doc_id=p.id LEFT JOIN au ON au.pmid=p.id LEFT JOIN se ON se.id=p.id GROUP BY p.id""")
 def _e06(t):
-    claims = t.claim.select(F.col("pmid").alias("paper"), F.col("pos").alias("seq"), "category", F.when(F.col("polarity") == "affirmed", "approved").alias("review_status"), F.concat(F.lit("m"), (F.col("pos") % 3).cast("string")).alias("model"))
-    authored = t.claim.filter("category = 'authorship'").select(F.col("pmid").alias("paper"), F.col("id").alias("name"))
-    return E.normalise_papers(t.paper.withColumn("source_id", F.col("id")), claims, authored, t.table("labels").selectExpr("concat('PMID:', doc_id) AS source_id", "quality AS n_sentences"))
+    claims = t.claim.select(
+        F.col("pmid").alias("paper"), F.col("pos").alias("seq"), "category", F.when(F.col("polarity") == "affirmed", "approved").alias("review_status"),
+        F.concat(F.lit("m"), (F.col("pos") % 3).cast("string")).alias("model"), F.concat(F.lit("v"), (F.col("pos") % 2).cast("string")).alias("prompt_version"))
+    authored = t.claim.filter("category = 'authorship'").select(F.col("pmid").alias("paper"), F.col("pos").alias("seq"), F.col("id").alias("name"))
+    sentences = t.table("conversations").selectExpr("concat('PMID:', conv_id) AS source_id", "turn AS idx", "text")
+    audits = t.table("labels").selectExpr("concat('PMID:', doc_id) AS source_id", "concat('quality ', quality) AS summary_audit", "CASE WHEN toxic = 1 THEN 'abstract only' END AS scope_note")
+    found = E.normalise_papers(t.paper.withColumn("source_id", F.col("id")), claims, authored, sentences, audits)
+    return found.select("id", "claim_count", F.array_join("authors", ";").alias("authors"), "review_status", "model", "prompt_version",
+                        F.md5(F.array_join("summary_sentences", " | ")).alias("summary"), "summary_audit", "scope_note")
+
+
+@query("e06_drop_authorship", """
+SELECT 'node' AS what, id FROM paper UNION ALL SELECT 'node', id FROM claim WHERE category<>'authorship'
+UNION ALL SELECT 'edge', edge_id FROM edges WHERE rel='CONTAINS' AND dst NOT IN (SELECT id FROM claim WHERE category='authorship')
+UNION ALL SELECT 'edge', edge_id FROM edges WHERE rel='ABOUT' AND src NOT IN (SELECT id FROM claim WHERE category='authorship')""")
+def _e06b(t):
+    nodes = t.paper.select("id", "type", F.lit(None).cast("string").alias("category")).unionByName(t.claim.select("id", "type", "category"))
+    left = E.drop_authorship_claims(EvidenceGraph(nodes, t.contains.unionByName(t.about)))
+    return left.nodes.select(F.lit("node").alias("what"), "id").unionByName(left.edges.select(F.lit("edge").alias("what"), F.col("edge_id").alias("id")))
 
 
 @query("e07_merge_enrichment", """
