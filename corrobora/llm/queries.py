@@ -72,9 +72,8 @@ post(template, label, key, tpos, word) AS (VALUES {postings}),
 mark AS MATERIALIZED (SELECT r, pos, word FROM tok WHERE word IN (SELECT word FROM post)),
 idf AS (SELECT word, ln(((SELECT count(*) FROM d) + 1.0::DOUBLE) / count(DISTINCT r)) AS idf FROM mark GROUP BY word),
 ix AS (SELECT *, sum(idf) OVER (PARTITION BY template) AS mass FROM post JOIN idf USING (word)),
-ranked AS (SELECT r, pos, word, dense_rank() OVER (PARTITION BY r ORDER BY idf DESC, word) AS k FROM mark JOIN idf USING (word)),
 votes AS (SELECT r, label, key, sum(idf) / mass AS share FROM
-  (SELECT DISTINCT r, template, label, key, mass, tpos, idf, pos - tpos AS shift FROM ranked JOIN ix USING (word) WHERE k <= 12)
+  (SELECT DISTINCT r, template, label, key, mass, tpos, idf, pos - tpos AS shift FROM mark JOIN ix USING (word))
   GROUP BY r, template, label, key, mass, shift HAVING sum(idf) >= 0.6::DOUBLE * mass),
 more AS (SELECT r, list(DISTINCT label) AS labels, max(share) AS share FROM votes JOIN d USING (r)
   WHERE contains(' ' || array_to_string(w, ' ') || ' ', ' ' || key || ' ') GROUP BY r)
