@@ -290,6 +290,32 @@ def test_lexicon_held_out_accuracy_and_exceptions(toxic_world):
     assert np.mean([(r.score >= 0.5) == bool(r.toxic) for r in rows]) > 0.97
 
 
+def plain_score(lexicon, text):
+    """Every entry looked for with plain substring search, occurrences inside an exception phrase left out."""
+    folded = f" {' '.join(toxicity.fold(text or '').split())} "
+    places = lambda needle: [i for i in range(len(folded)) if folded.startswith(needle, i)]
+    spared = [(i, i + len(p) + 2) for p in lexicon.exceptions for i in places(f" {p} ")]
+    total = 0.0
+    for entry, weight in lexicon.weights.items():
+        for i in places(" " + entry):
+            if not any(s <= i and i + 1 + len(entry) <= e for s, e in spared):
+                total += weight
+    a, b, c = lexicon.curve
+    x = a + b * np.log1p(100.0 * total / (20.0 + folded.strip().count(" "))) + c * np.log1p(total)
+    return 1.0 / (1.0 + np.exp(-max(-30.0, min(30.0, x))))
+
+
+def test_scores_equal_plain_search(spark, docs, toxic_world):
+    _, _, lexicon = toxic_world
+    rng = np.random.default_rng(8)
+    parts = ["grumblo", "GRUMBLO", "grumblos", "gr8mblo", "snarfish", "sn4rf1sh", "lovely grumblo", "lovely", "lovely grumblo grumblo", "x", "", "w1", "а"]
+    texts = [" ".join(rng.choice(parts, int(rng.integers(0, 30)))) for _ in range(400)] + [r.text for r in docs.limit(60).collect()] + [None, ""]
+    scored = toxicity.score_texts(make_docs(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]), lexicon).collect()
+    assert len(scored) == len(texts) and any(r.score > 0.5 for r in scored)
+    for r in scored:
+        assert abs(r.score - plain_score(lexicon, texts[r.doc_id])) < 1e-9
+
+
 def test_folding_and_edges(spark, toxic_world, edge, empty):
     _, labels, lexicon = toxic_world
     machine = lexicon.matcher()
