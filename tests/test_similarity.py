@@ -69,14 +69,14 @@ def test_evidence_score_scales_with_numeric_confidence_only(spark):
     assert got["e2"] == pytest.approx(0.8 * 0.9 * 0.9 * 0.5) and got["e3"] == pytest.approx(0.8 * 0.65 * 0.95)
 
 
-def test_features_ignore_paper_scoped_diseases(spark):
+def test_features_of_paper_scoped_diseases(spark):
     nodes = spark.createDataFrame([("D1", "Disease", False), ("D2", "Disease", True), ("G", "Gene", None)], "id string, type string, paper_scoped boolean")
     edge = lambda i, s: (i, s, "G", "ASSOCIATED_WITH", "observation", 1, "curated_import", [])
     edges = spark.createDataFrame([edge("1", "D1"), edge("2", "D2")], "edge_id string, src string, dst string, rel string, status string, source_tier int, method string, supported_by array<string>")
     claims = spark.createDataFrame([], "id string, confidence string")
     g = EvidenceGraph(nodes, edges)
-    assert {r.entity for r in S.feature_table(g, claims).collect()} == {"D1"}
-    assert {r.entity for r in S.feature_table(g, claims, core_only=False).collect()} == {"D1", "D2"}
+    assert {r.entity for r in S.feature_table(g, claims).collect()} == {"D1", "D2"}
+    assert {r.entity for r in S.feature_table(g, claims, core_only=True).collect()} == {"D1"}
 
 
 def test_clusters_two_cliques_and_isolated_nodes(spark):
