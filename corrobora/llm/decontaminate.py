@@ -38,29 +38,43 @@ def _tokens(text: Column) -> Column:
     return F.filter(F.split(text, _BREAK), lambda t: t != "")
 
 
-def _masked(token: Column) -> Column:
-    return token.isin(NAME, NUMBER, UNIT)
+def _codes(tokens: Column) -> Column:
+    """The hash of every token: windows of numbers are cut and hashed faster than windows of strings."""
+    return F.transform(tokens, lambda t: F.xxhash64(t))
 
 
-def _key(part: Column, raw: Column, literals: int) -> Column:
-    """The hash a window is looked up by: its template, or, when that has few plain words, its own tokens.
+def _masked(code: Column) -> Column:
+    return code.isin(*[F.xxhash64(F.lit(m)) for m in (NAME, NUMBER, UNIT)])
+
+
+def _rich(part: Column, size: int, literals: int) -> Column:
+    """Whether a window has enough plain words for its template to tell anything."""
+    return F.size(F.filter(part, _masked)) <= size - min(literals, size)
+
+
+def _key(part: Column, raw: Column, size: int, literals: int) -> Column:
+    """The hash a window of ``size`` token codes is looked up by: its template, or, when that has few plain words, its own tokens.
 
     Templates that are nearly all placeholders fit too much; such windows have to agree word for word.
     """
-    plain = F.size(F.filter(part, lambda t: ~_masked(t)))
-    return F.when(plain >= F.least(F.lit(literals), F.size(part)), F.xxhash64(part)).otherwise(F.xxhash64(F.lit("="), raw))
+    return F.when(_rich(part, size, literals), F.xxhash64(part)).otherwise(F.xxhash64(F.lit("="), raw))
+
 
+def _windows(codes: Column, raw: Column, masked: Column, sizes: list[int], literals: int) -> Column:
+    """(size, pos, hash) of every run of each of the sizes, in one array; ``masked`` are the places of the placeholders.
 
-def _windows(tokens: Column, raw: Column, any_masked: Column, sizes: list[int], literals: int) -> Column:
-    """(size, pos, hash) of every run of each of the sizes, in one array."""
+    Only a text in which enough placeholders stand close together has windows to look at one by one.
+    """
 
     def of(size: int) -> Column:
-        last = F.size(tokens) - size
+        last = F.size(codes) - size
         starts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
         part = lambda t, i: F.slice(t, i + 1, F.lit(size))
         row = lambda i, h: F.struct(F.lit(size).alias("size"), i.alias("pos"), h.alias("hash"))
-        return F.when(any_masked, F.transform(starts, lambda i: row(i, _key(part(tokens, i), part(raw, i), literals)))).otherwise(
-            F.transform(starts, lambda i: row(i, F.xxhash64(part(tokens, i)))))
+        many = size - min(literals, size) + 1  # placeholders that make a window poor
+        dense = F.exists(F.transform(masked, lambda p, k: F.get(masked, k + many - 1) - p < size), lambda near: F.coalesce(near, F.lit(False)))
+        return F.when(dense, F.transform(starts, lambda i: row(i, _key(part(codes, i), part(raw, i), size, literals)))).otherwise(
+            F.transform(starts, lambda i: row(i, F.xxhash64(part(codes, i)))))
 
     return F.flatten(F.array(*[of(n) for n in sizes])) if len(sizes) > 1 else of(sizes[0])
 
@@ -82,7 +96,7 @@ def benchmark_matches(
 
     Both sides become templates: names, numbers and units turn into typed placeholders. All windows of ``window``
     tokens (an item with fewer is one window) are joined by hash. A document holds an item if at least ``share`` of the
-    item's windows occur in it, or ``run`` consecutive tokens of the item do, on alignments whose slots are consistent:
+    item's windows, or of those with enough plain words, occur in it, or ``run`` consecutive tokens of the item do, on alignments whose slots are consistent:
     equal values of the item always stand for equal values in the document and different for different. So verbatim
     copies and re-parameterised ones are found. Windows with fewer than ``literals`` plain words count only where their
     own tokens agree, so items that are short or mostly figures are found verbatim. The first word of an item is also
@@ -102,14 +116,19 @@ def benchmark_matches(
     )
     items = cut_lineage(items)
     sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # at most ``window`` numbers
-    as_name = F.concat(F.array(F.lit(NAME)), F.slice("part", F.lit(2), F.size("part")))
+    as_name = F.concat(F.array(F.xxhash64(F.lit(NAME))), F.slice("part", F.lit(2), F.size("part")))
     parts = (
         items.withColumn("ipos", F.explode(F.sequence(F.lit(0), F.size("tokens") - F.col("size"))))
-        .select("item_id", "size", "ipos", "named", F.slice("tokens", F.col("ipos") + 1, F.col("size")).alias("part"), F.slice("raw", F.col("ipos") + 1, F.col("size")).alias("own"))
+        .select("item_id", "size", "ipos", "named", _codes(F.slice("tokens", F.col("ipos") + 1, F.col("size"))).alias("part"),
+                _codes(F.slice("raw", F.col("ipos") + 1, F.col("size"))).alias("own"))
     )
     parts = parts.unionByName(parts.where("ipos = 0 and named").withColumn("part", as_name))
-    index = cut_lineage(parts.select("item_id", "size", "ipos", _key(F.col("part"), F.col("own"), literals).alias("hash")).distinct())
-    counted = index.groupBy("item_id").agg(F.count_distinct("ipos").alias("n_windows"))
+    hash_of, rich = F.lit(None).cast("long"), F.lit(False)
+    for n in sizes:
+        hash_of = F.when(F.col("size") == n, _key(F.col("part"), F.col("own"), n, literals)).otherwise(hash_of)
+        rich = F.when(F.col("size") == n, _rich(F.col("part"), n, literals)).otherwise(rich)
+    index = cut_lineage(parts.select("item_id", "size", "ipos", hash_of.alias("hash"), rich.alias("rich")).distinct())
+    counted = index.groupBy("item_id").agg(F.count_distinct("ipos").alias("n_windows"), F.count_distinct(F.when(F.col("rich"), F.col("ipos"))).alias("n_rich"))
 
     text = F.col("text").cast("string")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).where("text is not null and text <> ''")
@@ -119,12 +138,14 @@ def benchmark_matches(
     tokenised = (
         base.select("doc_id", F.xxhash64("text").alias("text_hash"), _raw(F.col("text")).alias("raw"))
         .select(*key, F.lower("raw").alias("raw"), _template(F.col("raw")).alias("template"))
-        .select(*key, _tokens(F.col("raw")).alias("raw"), _tokens(F.col("template")).alias("tokens"), F.col("template").rlike(f"[{NAME}{NUMBER}{UNIT}]").alias("masked"))
+        .select(*key, _codes(_tokens(F.col("raw"))).alias("raw"), _codes(_tokens(F.col("template"))).alias("codes"))
+        .select(*key, "raw", "codes", F.filter(F.transform("codes", lambda t, i: F.when(_masked(t), i)), lambda i: i.isNotNull()).alias("masked"))
     )
-    windows = tokenised.select(*key, F.explode(_windows(F.col("tokens"), F.col("raw"), F.col("masked"), sizes, literals)).alias("w")).select(*key, "w.*")
-    hits = windows.join(small(index), ["size", "hash"]).select(*key, "item_id", "ipos", (F.col("pos") - F.col("ipos")).alias("shift"), "size")
+    windows = tokenised.select(*key, F.explode(_windows(F.col("codes"), F.col("raw"), F.col("masked"), sizes, literals)).alias("w")).select(*key, "w.*")
+    hits = windows.join(small(index), ["size", "hash"]).select(*key, "item_id", "ipos", (F.col("pos") - F.col("ipos")).alias("shift"), "size", "rich")
     aligned = cut_lineage(
-        hits.groupBy(*key, "item_id", "shift", "size").agg(F.collect_set("ipos").alias("starts"))
+        hits.groupBy(*key, "item_id", "shift", "size").agg(
+            F.collect_set("ipos").alias("starts"), F.collect_set(F.when(F.col("rich"), F.col("ipos"))).alias("rich_starts"))
     )
     slots = cut_lineage(items.select("item_id", F.explode("slots").alias("slot")).select("item_id", F.col("slot.pos").alias("ipos"), F.col("slot.value").alias("value")))
     if not slots.isEmpty():
@@ -133,10 +154,13 @@ def benchmark_matches(
     in_a_row = F.exists("starts", lambda i: F.size(F.filter("starts", lambda j: (j >= i) & (j < i + needed))) >= needed)
     matched = (
         aligned.withColumn("in_a_row", (F.col("size") == window) & (needed > 0) & in_a_row)
-        .select(*key, "item_id", "in_a_row", F.explode("starts").alias("ipos")).groupBy(*key, "item_id")
-        .agg(F.size(F.collect_set("ipos")).cast("long").alias("n_matched"), F.max("in_a_row").alias("in_a_row"))
+        .select(*key, "item_id", "in_a_row", "rich_starts", F.explode("starts").alias("ipos"))
+        .withColumn("rich_ipos", F.when(F.array_contains("rich_starts", F.col("ipos")), F.col("ipos"))).groupBy(*key, "item_id")
+        .agg(F.size(F.collect_set("ipos")).cast("long").alias("n_matched"), F.size(F.collect_set("rich_ipos")).alias("rich_matched"), F.max("in_a_row").alias("in_a_row"))
     )
-    held = (F.col("n_matched") >= F.lit(share) * F.col("n_windows")) | F.col("in_a_row")
+    # a re-parameterised copy cannot agree in poor windows, so the rich ones also count among themselves
+    of_rich = (F.col("n_rich") > 0) & (F.col("rich_matched") >= F.lit(share) * F.col("n_rich"))
+    held = (F.col("n_matched") >= F.lit(share) * F.col("n_windows")) | of_rich | F.col("in_a_row")
     return matched.join(small(counted), "item_id").where(held).select(*key, "item_id", "n_windows", "n_matched")
 
 
