@@ -49,7 +49,7 @@ def test_sharing_pairs_are_not_aggregated_and_told_alike(spark):
     rows = [(e, i, w) for (e, k, i), w in kinds_of(3).items() if k == "phenotype"]
     weight = {i: 1.0 / n for n, i in enumerate(sorted({r[1] for r in rows}), 1)}
     items = spark.createDataFrame([(e, i, weight[i]) for e, i, _ in rows], "entity string, item string, weight double")
-    found = P.sharing_pairs(items, block=3)
+    found = P.sharing_pairs(items, block=3, lists=True)
     told = S.shared_feature_weight(found, items)
     assert "Aggregate" not in plan_of(told)
     plain = S.shared_feature_weight(found.select("a", "b"), items)
@@ -81,3 +81,10 @@ def test_meetings_and_suggestions_never_broadcast_a_posting_list(spark):
     for df in (P.meetings(items, []), N.suggest_candidates(asked, vocabulary)):
         assert "Broadcast" not in df._jdf.queryExecution().sparkPlan().toString()
         assert df.count() == 1
+
+
+def test_long_lists_of_few_entities_do_not_travel(spark):
+    items = spark.range(40_000).selectExpr("concat('N', id % 4) AS entity", "cast(id div 8 AS string) AS item", "cast(1 AS double) AS weight").distinct()
+    found = S.jaccard_of_pairs(P.sharing_pairs(items), items)
+    assert "array_intersect" not in plan_of(found)
+    assert {(r.a, r.b): (r.n_shared, r.similarity) for r in found.collect()} == {(f"N{i}", f"N{j}"): (5_000, 1.0) for i in range(4) for j in range(i + 1, 4)}
