@@ -114,3 +114,15 @@ def test_few_candidates_fail_the_check(spark):
     titles = spark.createDataFrame([(f"a study of condition {i} of the heart and more",) for i in range(0, 400, 2)], "text string")
     hits = resolve.containment_pairs(names, titles).count()
     assert hits >= 200 and resolve.containment_candidates(names, titles).count() <= 2 * hits
+
+
+def test_a_word_is_looked_up_by_its_rarest_part(spark, monkeypatch):
+    nodes = spark.createDataFrame([(f"n{i}", "Gene", f"00000{i:03d}") for i in range(50)], "id string, type string, name string")
+    index, asked = search.build_index(nodes), []
+    matching = search.SearchIndex.matching
+    monkeypatch.setattr(search.SearchIndex, "matching", lambda self, name, keys, key: asked.append((name, keys)) or matching(self, name, keys, key))
+    words = spark.createDataFrame([("00000017",), ("000",), ("zz",)], "word string")
+    found = search.matching_terms(index, words).where("contains(term, word)").collect()
+    assert sorted((r.word, r.term) for r in found) == sorted([("00000017", "00000017")] + [("000", f"00000{i:03d}") for i in range(50)])
+    by_word = [keys for name, keys in asked if name == "parts" and "word" in keys.columns]
+    assert [sorted((r.word, r.part) for r in keys.collect()) for keys in by_word] == [[("000", "000"), ("00000017", "017")]]
