@@ -136,3 +136,20 @@ def test_containment_equals_brute_force(spark):
     got = {(r.pattern, r.text) for r in N.containment_pairs(
         spark.createDataFrame([(p,) for p in patterns], "pattern string"), spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
     assert got == {(p, t) for p in patterns for t in texts if p in t}
+
+
+def test_curated_rows_leave_the_text_of_their_source_behind(spark):
+    rows = spark.createDataFrame([
+        ("D1", "MECH:loss_of_function", "s", "two", "r"), ("D1", "MECH:loss_of_function", "s", "two", "r"), ("D1", "MECH:loss_of_function", "s", "six", "r"),
+        ("D1", "MECH:loss_of_function", "s", "", "r"), ("D1", "MECH:loss_of_function", "s", None, "r"), ("D1", "MECH:loss_of_function", "z", "one", "r"),
+        ("D1", "MECH:loss_of_function", None, "one", "r"), ("D9", "MECH:loss_of_function", "s", "one", "r"), ("D1", "MECH:none", "s", "one", "r"),
+        ("D1", "MECH:loss_of_function", "s", "one", " "), ("D1", "MECH:loss_of_function", "e", "one", "r")],
+        "disease string, mechanism string, source_id string, quote string, reviewer string")
+    sources = spark.createDataFrame([("s", "one two", "h", 2), ("e", None, "h", 2)], "source_id string, text string, sha256 string, source_tier int")
+    nodes = spark.createDataFrame([("D1", "Disease"), ("D9", "Gene")], "id string, type string")
+    out = C.import_curated_mechanisms(rows, sources, nodes, today())
+    assert sorted(r.reason for r in out.problems.collect()) == sorted(
+        ["quote not found verbatim"] * 3 + ["unknown source"] * 3 + ["unknown disease", "unknown mechanism", "curated mechanism needs a reviewer"])
+    assert [(r.src, r.dst, r.source, r.source_tier, r.start, r.end) for r in out.edges.where("rel = 'INVOLVES'").collect()] == [("D1", "MECH:loss_of_function", "s", 2, 4, 7)]
+    for df in (out.problems, out.edges, out.nodes):
+        assert "text#" not in df._jdf.queryExecution().optimizedPlan().toString()
