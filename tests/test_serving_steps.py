@@ -6,6 +6,7 @@ from collections import Counter
 
 from corrobora.model import EvidenceGraph
 from corrobora.operators import explore as Q
+from corrobora.operators import serve
 
 
 def plan_of(df) -> str:
@@ -79,3 +80,20 @@ def test_induced_edges_keep_their_columns(spark):
     found = Q.induced_edges(graph.edges, visible)
     assert found.columns == graph.edges.columns
     assert sorted(r.edge_id for r in found.collect()) == ["e0", "e1"]
+
+
+def test_assets_of_core_diseases_move_by_disease_once(spark):
+    link = lambda *rows: spark.createDataFrame(list(rows), "src string, dst string")
+    core = spark.createDataFrame([("D1",), ("D2",), (None,)], "entity string")
+    given = (link(("D1", "G1"), ("D1", "G1"), ("D2", "G1"), ("D3", "G1"), (None, "G1")), link(("G1", "F"), ("G1", "F")), link(("S", "D1"), ("S", "D3")), link(("S", "I")),
+             link(("R", "G1")), link(("P", "R")), link(("D1", "O"), ("D2", "O"), ("D2", None), ("D3", "O")))
+    found = serve.disease_assets(*given, core)
+    rows = sorted((r.entity, r.kind, r.item or "") for r in found.collect())
+    assert rows == sorted([("D1", k, i) for k, i in (("gene_groups", "F"), ("studies", "S"), ("interventions", "I"), ("researchers", "P"), ("orgs", "O"))]
+                          + [("D2", k, i) for k, i in (("gene_groups", "F"), ("researchers", "P"), ("orgs", "O"), ("orgs", ""))])
+    # distinct assets are not made distinct again
+    again = found.select("entity", "kind", "item").distinct()
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Aggregate")
+    assert plan(again) == plan(found)
+    twice = found.unionByName(found)
+    assert [(r.a, r.b, r.shared_gene_groups, r.shared_studies, r.shared_researchers, r.shared_orgs) for r in serve.shared_asset_bridges(twice).collect()] == [("D1", "D2", 1, 0, 1, 1)]
