@@ -61,6 +61,36 @@ def test_clean_graph(world):
     assert "CBAD" not in {r.id for r in clean.nodes.collect()}
 
 
+def test_clean_graph_with_repeated_and_missing_ids(world, spark):
+    graph, claims, sources = world
+    more = [("IN_GENE:V1->GX:observation", "V2", "V1", "IN_GENE"), (None, "DB", "DA", "HAS_PHENOTYPE"), (None, "PMID:1", "CBAD", "CONTAINS"),
+            ("two types", "DA", "W2", "HAS_PHENOTYPE")]
+    rows = [(i, s, d, r, "s", 1, DAY, "observation", "curated_import", []) for i, s, d, r in more]
+    nodes = graph.nodes.unionByName(spark.createDataFrame([("W2", "Phenotype", "W2"), ("W2", "Widget", "W2")], "id string, type string, name string"))
+    clean = V.clean_graph(EvidenceGraph(nodes, graph.edges.unionByName(spark.createDataFrame(rows, graph.edges.schema))), claims, sources)
+    found = [(r.edge_id, r.src, r.dst) for r in clean.edges.collect()]
+    assert clean.edges.columns == graph.edges.columns
+    assert (None, "DB", "DA") in found and len(found) == 7  # the edge without an id stays, both of the repeated id go
+
+
+def hash_exchanges(spark, make):
+    """How often rows are laid out by a key when nothing is broadcast."""
+    plain = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in plain}
+    try:
+        for k, v in plain.items():
+            spark.conf.set(k, v)
+        return make()._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_edges_are_laid_out_three_times_to_be_cleaned(world, spark):
+    """By either end and by their id; ends, ids and cited claims take the other exchanges."""
+    assert hash_exchanges(spark, lambda: V.clean_graph(*world).edges) <= 8
+
+
 def test_profiles(world):
     graph, _, _ = world
     assert {r.key for r in V.absent_vocabulary(graph).filter("kind = 'node'").collect()} == {"Study", "PatientOrg", "Registry", "Researcher", "Intervention", "Outcome"}
