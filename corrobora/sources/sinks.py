@@ -20,9 +20,10 @@ def read_graph(spark, path: str) -> EvidenceGraph:
     return EvidenceGraph(spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges"))
 
 
-def write_graph_json(graph: EvidenceGraph, path: str, mode: str = "overwrite") -> None:
-    graph.nodes.write.mode(mode).json(f"{path}/nodes")
-    graph.edges.write.mode(mode).json(f"{path}/links")
+def write_graph_json(graph: EvidenceGraph, path: str, mode: str = "overwrite", compression: str = "gzip") -> None:
+    """Nodes and links as JSON lines; Spark's JSON reader takes the compressed files as they are."""
+    graph.nodes.write.mode(mode).json(f"{path}/nodes", compression=compression)
+    graph.edges.write.mode(mode).json(f"{path}/links", compression=compression)
 
 
 def matrix(rows: DataFrame, labels: list[str]) -> DataFrame:
@@ -88,6 +89,8 @@ def export_meta(graph: EvidenceGraph, generated: str, includes_pending: bool) ->
     return nodes.withColumn("edges", edges.scalar()).withColumn("generated", F.lit(generated)).withColumn("includes_pending_papers", F.lit(includes_pending))
 
 
-def write_export(graph: EvidenceGraph, path: str, generated: str, includes_pending: bool = False, mode: str = "overwrite") -> None:
-    write_graph_json(graph, path, mode)
+def write_export(
+    graph: EvidenceGraph, path: str, generated: str, includes_pending: bool = False, mode: str = "overwrite", compression: str = "gzip"
+) -> None:
+    write_graph_json(graph, path, mode, compression)
     export_meta(graph, generated, includes_pending).write.mode(mode).json(f"{path}/meta")

@@ -25,3 +25,17 @@ def test_graph_round_trip(spark, tmp_path):
     sinks.write_graph(g, str(tmp_path / "g"))
     back = sinks.read_graph(spark, str(tmp_path / "g"))
     assert back.nodes.count() == 2 and back.of_rel("ASSOCIATED_WITH").count() == 1
+
+
+def test_export_is_compressed_and_reads_back_whole(spark, tmp_path):
+    nodes = spark.range(500).selectExpr("concat('n', id) AS id", "'Gene' AS type", "'a name that repeats' AS name")
+    edges = spark.range(400).selectExpr("concat('n', id) AS src", "concat('n', id + 1) AS dst", "'ABOUT' AS rel", "array('C1', 'C2') AS supported_by")
+    sizes = {}
+    for name, codec in (("packed", {}), ("plain", {"compression": "none"})):
+        at = tmp_path / name
+        sinks.write_export(EvidenceGraph(nodes, edges), str(at), "2026-01-01", **codec)
+        assert sorted(spark.read.schema(nodes.schema).json(f"{at}/nodes").collect()) == sorted(nodes.collect())
+        assert sorted(spark.read.schema(edges.schema).json(f"{at}/links").collect()) == sorted(edges.collect())
+        assert [r.asDict() for r in spark.read.json(f"{at}/meta").select("nodes", "edges").collect()] == [{"nodes": 500, "edges": 400}]
+        sizes[name] = sum(f.stat().st_size for part in ("nodes", "links") for f in (at / part).iterdir())
+    assert 2 * sizes["packed"] < sizes["plain"]
