@@ -81,3 +81,21 @@ def test_papers_have_authors_and_sentences_in_order(spark, status):
     one, two = sorted(serve.normalise_papers(papers, claims, authored, sentences, audits).collect())
     assert tuple(one) == ("P1", 2, ["Zoe", "Bo"], "approved" if status else "auto_verified", "m1", "v1", ["first", "last"], "{}", "abstract")
     assert tuple(two) == ("P2", 0, [], "auto_verified", None, None, [], None, None)
+
+
+def test_names_are_listed_after_nodes_were_spread(spark):
+    """One file of nodes is one task: its names must not be made distinct there, and an index of them is no broadcast."""
+    nodes = spark.createDataFrame(
+        [("A", "Big Heart", ["x-1", None], ["OMIM:1"], False), ("A", "Big Heart", ["x-1"], None, None), ("B", "big  heart", None, ["OMIM:2"], False),
+         ("C", "gone", ["x-2"], None, True), (None, "lost", None, None, False)],
+        "id string, label string, synonyms array<string>, xrefs array<string>, deprecated boolean").coalesce(1)
+    index = resolve.build_alias_index(nodes)
+    assert sorted(map(tuple, index.collect()), key=str) == sorted(
+        [("big heart", "A"), ("x 1", "A"), (None, "A"), ("omim 1", "A"), ("big heart", "B"), ("omim 2", "B"), ("lost", None)], key=str)
+    plan = index._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("RepartitionByExpression")
+    mentions = spark.createDataFrame([("BIG heart",), ("X 1",), ("gone",), ("lost",)], "mention string")
+    found = resolve.resolve_alias(mentions, index)
+    assert {(r.mention, r.n, r.id, r.status) for r in found.collect()} == {
+        ("BIG heart", 2, None, "ambiguous"), ("X 1", 1, "A", "resolved"), ("gone", 0, None, "unresolved"), ("lost", 1, None, "resolved")}
+    assert "rightHint=(strategy=merge)" in found._jdf.queryExecution().optimizedPlan().toString()
