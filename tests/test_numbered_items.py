@@ -4,8 +4,10 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from corrobora.operators import pairs as P
+from corrobora.operators import similarity as S
 
 
 def sets_of(seed, own_weights):
@@ -39,3 +41,20 @@ def test_both_sides_of_a_meeting_read_one_shuffle(spark):
     assert found.count() > 0
     found.collect()
     assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scored_rows_bring_numbers_of_terms_and_no_names(spark):
+    features = spark.range(120).selectExpr("concat('d', id % 30) AS entity", "element_at(array('mechanism', 'gene', 'phenotype'), cast(id % 3 + 1 AS int)) AS kind",
+                                           "concat('i', id % 7) AS item", "0.5D AS support").dropDuplicates(["entity", "kind", "item"])
+    closed = features.where("kind = 'phenotype'").select("entity", F.col("item").alias("term"))
+    ic = closed.groupBy("term").agg((6.0 - F.log2(F.count(F.lit(1)))).alias("ic"))
+    items = S.pair_items(features, S.weighted_terms(closed, ic))
+    lists = S.connection_lists(items)
+    term = lists.schema["list"].dataType["term"].dataType
+    assert term["keys"].dataType.elementType.simpleString() == "int" and "support" not in term.names
+    told = S.told_lists(features, closed, ic, spark.createDataFrame([("i1", "one")], "id string, name string"))
+    found = S.all_connections(features, S.weighted_terms(closed, ic), told=told)
+    assert found.count() > 0
+    pairs = S.connection_candidates(items, lists=lists, carry=told.select("entity", F.col("told_terms.keys").alias("told_keys")))
+    pairs.collect()
+    assert "ReusedExchange" in pairs._jdf.queryExecution().executedPlan().toString()
